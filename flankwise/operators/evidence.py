@@ -94,7 +94,8 @@ def score_spacer_candidates(
     spelled = motif_match_join(flanks.select("motif"), listed, "motif", "candidate_pam")
     wanted = listed.join(spelled, "candidate_pam")
     by_spacer = wanted.join(weights, [*group, "motif"]).groupBy(*group, "candidate_pam").agg(
-        F.sum("weight").alias("support"),
+        # Rounded far below any real difference, so that ranks do not depend on the order of addition.
+        F.round(F.sum("weight"), 12).alias("support"),
         F.count_distinct("spacer_sequence").alias("support_spacer_count"),
         F.sum("alignments").alias("support_alignment_count"),
     )
@@ -222,7 +223,7 @@ def best_hit_per_spacer(hits: DataFrame, *, side: str, length: int) -> DataFrame
 
 def contig_consensus(rows: DataFrame, order: str = "spacer_id") -> DataFrame:
     """Most frequent motif per target; among equals the one seen first in `order`."""
-    counts = rows.where((F.col("pam") != "") & (F.col("target_id") != "")).groupBy("target_id", "pam").agg(
+    counts = rows.where((F.col("pam") != "") & (F.col("target_id").cast("string") != "")).groupBy("target_id", "pam").agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")
     )
     return counts.groupBy("target_id").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iupac import normalize_motif
+from ..session import materialize
 from .matching import matched_windows
 
 POLICIES = ("abstain", "spacer_fallback", "legacy")
@@ -57,10 +58,14 @@ def spacer_column_names(protein_columns: list[str], spacer_columns: list[str], k
     return names
 
 
-def fuse(protein: DataFrame, spacer: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain") -> DataFrame:
+def fuse(
+    protein: DataFrame, spacer: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain",
+    lengths: list[int] = list(range(1, 11)),
+) -> DataFrame:
     """Left join of the spacer channel onto the protein rows, then status and gate.
 
-    A motif that the spacer side holds twice for one key is an error.
+    A motif that the spacer side holds twice for one key is an error. The joined
+    table is stored once, since the gate reads it along several branches.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -84,18 +89,19 @@ def fuse(protein: DataFrame, spacer: DataFrame, *, keys: list[str] = ["system_id
         ),
     )
     fused = fused.withColumn("evidence_status", F.col("_a.status")).withColumn("evidence_priority", F.col("_a.priority")).drop("_a")
-    fused = fused.withColumn("pam_length", F.length("candidate_pam"))
-    return fused.join(fusion_gate(fused, keys=keys, policy=policy), [*keys, "pam_length"])
+    fused = materialize(fused.withColumn("pam_length", F.length("candidate_pam")))
+    return fused.join(fusion_gate(fused, keys=keys, policy=policy, lengths=lengths), [*keys, "pam_length"])
 
 
 def top_candidates(rows: DataFrame, score: str, keys: list[str], candidate: str = "candidate_pam") -> DataFrame:
-    """Every candidate within 1e-12 of the best score of its group."""
-    scored = rows.where(F.col(score).isNotNull()).select(*keys, candidate, score)
-    best = scored.groupBy(*keys).agg(F.max(score).alias("_best"))
-    return scored.join(best, keys).where(F.abs(F.col(score) - F.col("_best")) <= TIE).select(*keys, candidate)
+    """Every candidate within 1e-12 of the best score of its group (a candidate list of one length)."""
+    best = F.max(score).over(Window.partitionBy(*keys))
+    return rows.select(*keys, candidate, score, best.alias("_best")).where(
+        F.abs(F.col(score) - F.col("_best")) <= TIE
+    ).select(*keys, candidate)
 
 
-def top_distances(fused: DataFrame, keys: list[str], max_length: int = 10) -> DataFrame:
+def top_distances(fused: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
     """Smallest Hamming distance between the two top sets, where it is within max(1, length / 4).
 
     A mismatch join on keys, since tied tops can be numerous. No row = nothing within the tolerance.
@@ -108,7 +114,7 @@ def top_distances(fused: DataFrame, keys: list[str], max_length: int = 10) -> Da
             protein.where(F.col("pam_length") == n), spacer.where(F.col("pam_length") == n), n, max(1, n // 4), keys=group
         ) if n > 1 else protein.where("pam_length = 1").join(spacer.where("pam_length = 1"), group).select(
             *group, "query", "window", F.expr("int(query <> window)").alias("mismatches"))
-        for n in range(1, max_length + 1)
+        for n in lengths
     ]
     pairs = parts[0]
     for part in parts[1:]:
@@ -116,7 +122,9 @@ def top_distances(fused: DataFrame, keys: list[str], max_length: int = 10) -> Da
     return pairs.groupBy(*group).agg(F.min("mismatches").alias("top_distance"))
 
 
-def fusion_gate(fused: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain", max_length: int = 10) -> DataFrame:
+def fusion_gate(
+    fused: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain", lengths: list[int] = list(range(1, 11))
+) -> DataFrame:
     """One gate per (keys, pam_length): do the channels' top sets agree, and what follows if not."""
     group = [*keys, "pam_length"]
     present = fused.groupBy(*group).agg(
@@ -128,7 +136,7 @@ def fusion_gate(fused: DataFrame, *, keys: list[str] = ["system_id"], policy: st
         gates = present.withColumn("top_distance", F.lit(None).cast("int"))
         gate = F.when(missing, F.lit("abstain_missing_scored_source")).otherwise(F.lit("legacy_joint_ranking"))
     else:
-        gates = present.join(top_distances(fused, keys, max_length), group, "left")
+        gates = present.join(top_distances(fused, keys, lengths), group, "left")
         other = "spacer_fallback_severe_top_disagreement" if policy == "spacer_fallback" else "abstain_severe_top_disagreement"
         gate = (
             F.when(missing, F.lit("abstain_missing_scored_source"))

@@ -17,6 +17,10 @@ from ..functions.dna import normalize_dna, reverse_complement
 from ..functions.iupac import chars, free_pattern, hide_free, is_subset, restricted_keys, symbol_mask, valid_motif
 
 
+# Wanted length of a join key: long enough to be selective, short enough for few keys per window.
+KEY_BASES = 9
+
+
 def block_count(length: int, mismatches: int, key_bases: int) -> int:
     """Fewest blocks such that the exact ones jointly hold at least `key_bases` bases.
 
@@ -31,17 +35,24 @@ def block_count(length: int, mismatches: int, key_bases: int) -> int:
     return best
 
 
-def block_keys(sequence: Column, length: int, mismatches: int, key_bases: int = 12) -> Column:
+def block_keys(sequence: Column, length: int, mismatches: int, key_bases: int = KEY_BASES) -> Column:
     """Keys of which two sequences within `mismatches` of each other share at least one."""
     if length <= mismatches:
         return F.array(F.lit("*"))
     blocks = block_count(length, mismatches, key_bases)
     edges = [i * length // blocks for i in range(blocks + 1)]
-    parts = [F.substring(sequence, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(blocks)]
-    return F.array(*[
-        F.concat(F.lit("".join(chr(48 + i) for i in chosen) + ":"), *[parts[i] for i in chosen])
-        for chosen in combinations(range(blocks), blocks - mismatches)
-    ])
+    keys = []
+    for chosen in combinations(range(blocks), blocks - mismatches):
+        # Neighbouring blocks are cut as one run: at most k + 1 pieces per key.
+        runs: list[list[int]] = []
+        for block in chosen:
+            if runs and runs[-1][1] == edges[block]:
+                runs[-1][1] = edges[block + 1]
+            else:
+                runs.append([edges[block], edges[block + 1]])
+        name = "".join(chr(48 + i) for i in chosen) + ":"
+        keys.append(F.concat(F.lit(name), *[F.substring(sequence, a + 1, b - a) for a, b in runs]))
+    return F.array(*keys)
 
 
 def mismatch_count(left: str, right: str, length: int) -> Column:
@@ -67,7 +78,7 @@ def windows(targets: DataFrame, length: int, sequence: str = "target_sequence")
 
 
 def matched_windows(
-    queries: DataFrame, window_rows: DataFrame, length: int, mismatches: int, key_bases: int = 12, keys: list[str] = []
+    queries: DataFrame, window_rows: DataFrame, length: int, mismatches: int, key_bases: int = KEY_BASES, keys: list[str] = []
 ) -> DataFrame:
     """Distinct (keys, query, window, mismatches) within the bound. Queries all have `length` bases."""
     distinct_queries = queries.select(*keys, "query").distinct()
@@ -94,7 +105,7 @@ def matched_windows(
     )
 
 
-def hamming_matches(queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int], key_bases: int = 12) -> DataFrame:
+def hamming_matches(queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int], key_bases: int = KEY_BASES) -> DataFrame:
     """All ungapped placements of `queries(query)` in `targets(target_id, target_sequence)`."""
     parts = []
     for length in lengths:
@@ -126,7 +137,7 @@ def spacer_hits(
     flank_length: int,
     lengths: list[int],
     keys: list[str] = [],
-    key_bases: int = 12,
+    key_bases: int = KEY_BASES,
 ) -> DataFrame:
     """Both-strand placements of spacers in targets with flanks turned to the spacer's strand.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.iupac import normalize_motif
 from .fusion import TIE
 from .matching import motif_subset_join
+from .ordering import dense_position
 
 RECALL_AT = (1, 3, 5)
 METRICS = ("mrr", "recall_at_1", "recall_at_3", "recall_at_5")
@@ -33,14 +34,13 @@ def gold_rank_by_length(scored: DataFrame, golds: DataFrame, *, score: str, keys
     pairs = motif_subset_join(rows.select("candidate_pam"), golds, "candidate_pam", "gold_pam")
     is_gold = golds.join(pairs, "gold_pam").select(*keys, "candidate_pam").distinct().withColumn("gold", F.lit(True))
     rows = rows.join(is_gold, [*keys, "candidate_pam"], "left").withColumn("gold", F.coalesce("gold", F.lit(False)))
-    best = rows.groupBy(*group).agg(
-        F.max(F.when(F.col("gold"), F.col("score"))).alias("best"), F.count(F.lit(1)).alias("scored_candidates")
-    )
+    # A group is one candidate list of one length, so the best gold score is a bounded window.
+    rows = rows.withColumn("best", F.max(F.when(F.col("gold"), F.col("score"))).over(Window.partitionBy(*group)))
     better = F.count_if(F.col("score") > F.col("best") + TIE)
     tied = F.count_if(~F.col("gold") & (F.abs(F.col("score") - F.col("best")) <= TIE))
-    ranks = rows.join(best, group).groupBy(*group).agg(
+    ranks = rows.groupBy(*group).agg(
         F.any_value("best").alias("best_gold_score"),
-        F.any_value("scored_candidates").alias("scored_candidates"),
+        F.count(F.lit(1)).alias("scored_candidates"),
         (better + 1).alias("optimistic_rank"),
         (better + tied + 1).alias("rank"),
     )
@@ -130,15 +130,13 @@ def hashed_index(seed: int, iteration: Column, draw: Column, size: Column) -> Co
 
 
 def bootstrap_mean_interval(
-    values: DataFrame, *, value: str, order: list[str], keys: list[str] = [], iterations: int = 2000, seed: int = 17
+    values: DataFrame, *, value: str, identity: list[str], keys: list[str] = [], iterations: int = 2000, seed: int = 17
 ) -> DataFrame:
     """Bootstrap interval of the mean per key with digest-driven draws.
 
     The draws are rows, so the resampling itself is one join and one aggregate.
     """
-    from .ordering import dense_position
-
-    placed = dense_position(values.where(F.col(value).isNotNull()), order, keys, "place")
+    placed = dense_position(values.where(F.col(value).isNotNull()), identity, keys, "place")
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     draws = placed.join(sizes, keys) if keys else placed.withColumn("size", sizes.select("size").scalar())
     draws = draws.select(*keys, "size", F.col("place").alias("draw")).withColumn(
@@ -158,8 +156,6 @@ def bootstrap_mean_interval(
 
 def cluster_bootstrap_ratio(items: DataFrame, *, cluster: str, value: str, iterations: int = 2000, seed: int = 20260927) -> DataFrame:
     """Component bootstrap: resample clusters, ratio of sums, 2.5 and 97.5 percent quantiles."""
-    from .ordering import dense_position
-
     sums = items.where(F.col(value).isNotNull()).groupBy(cluster).agg(
         F.sum(value).alias("total"), F.count(F.lit(1)).alias("items")
     )
@@ -207,7 +203,7 @@ def spearman(rows: DataFrame, *, left: str, right: str, keys: list[str]) -> Data
     ranked = pairs.join(l, [*keys, left]).join(r, [*keys, right])
     s = lambda e: F.sum(F.col("n") * e)
     sums = ranked.groupBy(*keys).agg(
-        F.sum("n").alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"),
+        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"), F.sum("n").alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"),
         s(F.col("x") * F.col("y")).alias("sxy"), s(F.col("x") * F.col("x")).alias("sxx"), s(F.col("y") * F.col("y")).alias("syy"),
     )
     n = F.col("n")
@@ -215,7 +211,7 @@ def spearman(rows: DataFrame, *, left: str, right: str, keys: list[str]) -> Data
     vy = n * F.col("syy") - F.col("sy") * F.col("sy")
     cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
     return sums.select(
-        *keys, "n", F.when((vx > 1e-9 * n * n) & (vy > 1e-9 * n * n), cov / F.sqrt(vx) / F.sqrt(vy)).alias("spearman")
+        *keys, "n", F.when(F.col("varies"), cov / F.sqrt(vx) / F.sqrt(vy)).alias("spearman")
     )
 
 

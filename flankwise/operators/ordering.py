@@ -1,25 +1,27 @@
-"""Global and per-key positions without putting a whole table or a hot key into one task."""
+"""Dense row numbers without putting a whole table or a hot key into one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKET_DIGITS = 3
 
-def dense_position(rows: DataFrame, order: list[str], keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in (keys, order).
 
-    Rows are range-partitioned into buckets by (keys, order); positions inside a
-    bucket are added to the sizes of the earlier buckets, which are few numbers.
+def dense_position(rows: DataFrame, identity: list[str], keys: list[str], name: str) -> DataFrame:
+    """0-based dense number of each row inside its key, in digest order of `identity`.
+
+    `identity` must be unique within a key. Rows fall into 4096 buckets by digest,
+    are numbered inside their bucket, and the sizes of the earlier buckets are
+    added. The numbering depends on the values alone, not on partitions or retries.
     """
-    spark = rows.sparkSession
-    parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = rows.repartitionByRange(parts, *keys, *order).withColumn("_bucket", F.spark_partition_id())
-    inner = Window.partitionBy("_bucket", *keys).orderBy(*order)
-    ranked = placed.withColumn("_in", F.row_number().over(inner) - 1)
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in identity]))
+    placed = rows.withColumn("_bucket", F.substring(digest, 1, BUCKET_DIGITS))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(*identity)
+    numbered = placed.withColumn("_in", F.row_number().over(inner) - 1)
     sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    return ranked.join(offsets, [*keys, "_bucket"]).withColumn(name, (F.col("_offset") + F.col("_in")).cast("long")).drop(
-        "_bucket", "_in", "_offset"
-    )
+    return numbered.join(offsets, [*keys, "_bucket"]).withColumn(
+        name, (F.col("_offset") + F.col("_in")).cast("long")
+    ).drop("_bucket", "_in", "_offset")

@@ -13,6 +13,7 @@ def build_session(master: str = "local[8]", **conf: str) -> SparkSession:
     cpus = master[6:-1] if master.startswith("local[") else ""
     defaults = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -51,3 +52,13 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a table once where several branches of a plan read it.
+
+    A reliable checkpoint in the shared folder: it survives lost executors and
+    keeps the plans that follow small.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
