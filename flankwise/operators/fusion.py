@@ -112,8 +112,7 @@ def top_distances(fused: DataFrame, keys: list[str], lengths: list[int]) -> Data
     parts = [
         matched_windows(
             protein.where(F.col("pam_length") == n), spacer.where(F.col("pam_length") == n), n, max(1, n // 4), keys=group
-        ) if n > 1 else protein.where("pam_length = 1").join(spacer.where("pam_length = 1"), group).select(
-            *group, "query", "window", F.expr("int(query <> window)").alias("mismatches"))
+        )
         for n in lengths
     ]
     pairs = parts[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import normalize_dna, reverse_complement
 from ..functions.iupac import chars, free_pattern, hide_free, is_subset, restricted_keys, symbol_mask, valid_motif
+from ..session import at_most
 
 
 # Wanted length of a join key: long enough to be selective, short enough for few keys per window.
@@ -35,45 +36,83 @@ def block_count(length: int, mismatches: int, key_bases: int) -> int:
     return best
 
 
-def block_keys(sequence: Column, length: int, mismatches: int, key_bases: int = KEY_BASES) -> Column:
-    """Keys of which two sequences within `mismatches` of each other share at least one."""
-    if length <= mismatches:
-        return F.array(F.lit("*"))
-    blocks = block_count(length, mismatches, key_bases)
-    edges = [i * length // blocks for i in range(blocks + 1)]
-    keys = []
-    for chosen in combinations(range(blocks), blocks - mismatches):
-        # Neighbouring blocks are cut as one run: at most k + 1 pieces per key.
-        runs: list[list[int]] = []
-        for block in chosen:
-            if runs and runs[-1][1] == edges[block]:
-                runs[-1][1] = edges[block + 1]
-            else:
-                runs.append([edges[block], edges[block + 1]])
-        name = "".join(chr(48 + i) for i in chosen) + ":"
-        keys.append(F.concat(F.lit(name), *[F.substring(sequence, a + 1, b - a) for a, b in runs]))
-    return F.array(*keys)
+# Bases per packed integer: three bits each, 63 bits in all.
+CHUNK = 21
+
+
+def packed(digits: Column, length: int) -> list[Column]:
+    """Octal digit text as integers of `CHUNK` digits, so that places compare by bit operations."""
+    return [
+        F.conv(F.substring(digits, at + 1, min(CHUNK, length - at)), 8, 10).cast("long") for at in range(0, length, CHUNK)
+    ]
 
 
-def mismatch_count(left: str, right: str, length: int) -> Column:
-    """Differing places of two strings of that length, as one flat (code-generated) sum."""
-    return F.expr(" + ".join(
-        f"int(substring({left}, {i}, 1) <> substring({right}, {i}, 1))" for i in range(1, length + 1)
-    ))
+def digits_of(sequence: Column, other: str) -> Column:
+    """A, C, G, T as 0..3 and anything else as `other` (4 in windows, 5 in queries: equal to nothing)."""
+    return F.regexp_replace(F.translate(sequence, "ACGT", "0123"), "[^0-3]", other)
 
 
-def only_bases(sequence: Column) -> Column:
-    """Anything but A, C, G, T becomes a letter that equals nothing in a query."""
-    return F.regexp_replace(sequence, "[^ACGT]", "*")
+def block_masks(length: int, mismatches: int, key_bases: int) -> list[list[int]]:
+    """Per key and packed integer, the bits of the blocks that key compares."""
+    if length <= mismatches:
+        return [[0] * len(range(0, length, CHUNK))]
+    blocks = block_count(length, mismatches, key_bases)
+    edges = [i * length // blocks for i in range(blocks + 1)]
+    masks = []
+    for chosen in combinations(range(blocks), blocks - mismatches):
+        wanted = {place for b in chosen for place in range(edges[b], edges[b + 1])}
+        row = []
+        for at in range(0, length, CHUNK):
+            width = min(CHUNK, length - at)
+            row.append(sum(7 << (3 * (width - 1 - k)) for k in range(width) if at + k in wanted))
+        masks.append(row)
+    return masks
+
+
+def with_keys(rows: DataFrame, digits: Column, length: int, masks: list[list[int]], prefix: str) -> DataFrame:
+    """One row per key: (`key_number`, `key`) plus the packed integers `prefix`0, `prefix`1, ..."""
+    names = [f"{prefix}{i}" for i in range(len(masks[0]))]
+    for name, value in zip(names, packed(digits, length)):
+        rows = rows.withColumn(name, value)
+    keys = F.array(*[
+        F.xxhash64(F.lit(n), *[F.col(name).bitwiseAND(F.lit(bits)) for name, bits in zip(names, row)])
+        for n, row in enumerate(masks)
+    ])
+    return rows.select("*", F.posexplode(keys).alias("key_number", "key"))
+
+
+def verified_pairs(pairs: DataFrame, length: int, mismatches: int, masks: list[list[int]]) -> DataFrame:
+    """Count mismatches of joined rows by bits; a pair stays under the first key it shares only."""
+    chunks = range(len(masks[0]))
+    for i in chunks:
+        pairs = pairs.withColumn(f"d{i}", F.col(f"q{i}").bitwiseXOR(F.col(f"w{i}")))
+    ones = lambda i: sum(1 << (3 * k) for k in range(min(CHUNK, length - i * CHUNK)))
+    differing = lambda i: F.bit_count(
+        F.expr(f"(d{i} | shiftright(d{i}, 1) | shiftright(d{i}, 2)) & {ones(i)}L")
+    )
+    first = None
+    for n, row in enumerate(masks):
+        shared = F.lit(True)
+        for i, bits in enumerate(row):
+            shared = shared & (F.col(f"d{i}").bitwiseAND(F.lit(bits)) == 0)
+        first = F.when(shared, n) if first is None else first.when(shared, n)
+    return (
+        pairs.withColumn("mismatches", sum((differing(i) for i in chunks), F.lit(0)))
+        .where((F.col("mismatches") <= mismatches) & (F.col("key_number") == first))
+        .drop("key_number", "key", *[f"{c}{i}" for i in chunks for c in "qwd"])
+    )
 
 
 def windows(targets: DataFrame, length: int, sequence: str = "target_sequence") -> DataFrame:
-    """Every placement of `length` bases as (columns of targets, start, window)."""
+    """Every placement of `length` bases as (columns of targets, start, window, window_digits)."""
     last = F.length(sequence) - length
     return (
         targets.where(last >= 0)
+        .withColumn("_digits", digits_of(F.col(sequence), "4"))
         .withColumn("start", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("window", F.expr(f"substring({sequence}, start + 1, {length})"))
+        .withColumn("window_digits", F.expr(f"substring(_digits, start + 1, {length})"))
+        .drop("_digits")
     )
 
 
@@ -83,26 +122,11 @@ def matched_windows(
     """Distinct (keys, query, window, mismatches) within the bound. Queries all have `length` bases."""
     distinct_queries = queries.select(*keys, "query").distinct()
     distinct_windows = window_rows.select(*keys, "window").distinct()
-    if mismatches == 0:
-        return distinct_queries.where(F.col("query").rlike("^[ACGT]+$")).join(
-            distinct_windows.withColumn("query", F.col("window")), [*keys, "query"]
-        ).select(*keys, "query", "window", F.lit(0).alias("mismatches"))
-    keyed_queries = distinct_queries.withColumn("query_keys", block_keys(F.col("query"), length, mismatches, key_bases))
-    keyed_windows = distinct_windows.withColumn("bases", only_bases(F.col("window"))).withColumn(
-        "window_keys", block_keys(F.col("bases"), length, mismatches, key_bases)
-    )
-    shared = F.filter(
-        F.zip_with("query_keys", "window_keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()
-    )
-    # A pair may share several keys. It is kept under the first shared one only, which spares a distinct.
-    return (
-        keyed_queries.withColumn("key", F.explode("query_keys"))
-        .join(keyed_windows.withColumn("key", F.explode("window_keys")), [*keys, "key"])
-        .withColumn("mismatches", mismatch_count("query", "bases", length))
-        .where(F.col("mismatches") <= mismatches)
-        .where(F.col("key") == F.get(shared, F.lit(0)))
-        .select(*keys, "query", "window", "mismatches")
-    )
+    masks = block_masks(length, mismatches, key_bases)
+    left = with_keys(distinct_queries, digits_of(F.col("query"), "5"), length, masks, "q")
+    right = with_keys(distinct_windows, digits_of(F.col("window"), "4"), length, masks, "w")
+    pairs = left.join(right, [*keys, "key_number", "key"])
+    return verified_pairs(pairs, length, mismatches, masks).select(*keys, "query", "window", "mismatches")
 
 
 def hamming_matches(queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int], key_bases: int = KEY_BASES) -> DataFrame:
@@ -165,17 +189,22 @@ def spacer_hits(
     return hits
 
 
+# Distinct spacer strands that may be copied to every executor: some 200 bytes each with their keys.
+MAX_COPIED_QUERIES = 200_000
+
+
 def _placed_hits(strands, targets, mismatches, flank_length, length, keys, key_bases) -> DataFrame:
     fitting = strands.where(F.length("query") == length)
     window_rows = windows(targets, length)
-    pairs = matched_windows(fitting, window_rows, length, mismatches, key_bases, keys)
-    placed = window_rows.select(
-        *keys, "target_id", "start", "window",
-        F.expr(f"substring(target_sequence, greatest(start - {flank_length}, 0) + 1, least(start, {flank_length}))").alias("left_flank"),
-        F.expr(f"substring(target_sequence, start + {length} + 1, {flank_length})").alias("right_flank"),
-    )
+    if at_most(fitting, MAX_COPIED_QUERIES):
+        found = _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases)
+    else:
+        pairs = matched_windows(fitting, window_rows, length, mismatches, key_bases, keys)
+        found = window_rows.join(pairs.join(fitting, [*keys, "query"]), [*keys, "window"])
     plus = F.col("strand") == "+"
-    return placed.join(pairs.join(fitting, [*keys, "query"]), [*keys, "window"]).select(
+    left = F.expr(f"substring(target_sequence, greatest(start - {flank_length}, 0) + 1, least(start, {flank_length}))")
+    right = F.expr(f"substring(target_sequence, start + {length} + 1, {flank_length})")
+    return found.select(
         *keys,
         "spacer_id",
         "spacer_sequence",
@@ -185,12 +214,21 @@ def _placed_hits(strands, targets, mismatches, flank_length, length, keys, key_b
         "strand",
         F.col("mismatches").cast("long").alias("mismatches"),
         F.when(plus, F.col("window")).otherwise(reverse_complement("window")).alias("protospacer"),
-        F.when(plus, F.col("left_flank")).otherwise(reverse_complement("right_flank")).alias("upstream_flank"),
-        F.when(plus, F.col("right_flank")).otherwise(reverse_complement("left_flank")).alias("downstream_flank"),
+        F.when(plus, left).otherwise(reverse_complement(right)).alias("upstream_flank"),
+        F.when(plus, right).otherwise(reverse_complement(left)).alias("downstream_flank"),
         "orientation_weight",
     )
 
 
+def _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases) -> DataFrame:
+    """Few queries (counted): their keys go to every executor and the targets are read once, unshuffled."""
+    masks = block_masks(length, mismatches, key_bases)
+    queries = with_keys(fitting, digits_of(F.col("query"), "5"), length, masks, "q")
+    placed = with_keys(window_rows, F.col("window_digits"), length, masks, "w").drop("window_digits")
+    pairs = placed.join(F.broadcast(queries), [*keys, "key_number", "key"])
+    return verified_pairs(pairs, length, mismatches, masks)
+
+
 def duplicate_targets(targets: DataFrame, keys: list[str] = []) -> DataFrame:
     """Target ids that occur more than once; a hit search refuses them."""
     return targets.groupBy(*keys, "target_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -204,8 +242,8 @@ def motif_match_join(concrete: DataFrame, motifs: DataFrame, sequence: str, moti
     """Pairs (concrete string, motif) where the string spells the motif.
 
     Motifs are spelled out except in their free positions, which are blanked on
-    both sides; there are at most 2^length blanking shapes, so only shapes and
-    never motifs are copied to the strings.
+    both sides. There are at most 2^length blanking shapes of motifs of one length
+    (motifs have at most ten positions here), so these few rows are what is copied.
     """
     wanted = (
         motifs.select(F.col(motif).alias("_motif")).distinct().where(valid_motif("_motif"))
@@ -218,7 +256,7 @@ def motif_match_join(concrete: DataFrame, motifs: DataFrame, sequence: str, moti
         concrete.select(F.col(sequence).alias("_string")).distinct()
         .where(F.col("_string").rlike("^[ACGT]+$"))
         .withColumn("_len", F.length("_string"))
-        .join(shapes, "_len")
+        .join(F.broadcast(shapes), "_len")
         .withColumn("_key", hide_free(F.col("_string"), F.col("_shape")))
     )
     return strings.join(wanted, ["_len", "_shape", "_key"]).select(

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +20,7 @@ class Registry:
         def wrap(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = fn
+            self.queries[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
             if sql is not None:
                 self.sql[name] = sql
             return fn

@@ -62,3 +62,26 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let only measured sizes decide about broadcasts.
+
+    Size estimates of exploded rows (windows, candidates, k-mers) are far too low,
+    so the static rule is off and adaptive execution chooses after the shuffle,
+    with skewed partitions split.
+    """
+    for key, value in {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }.items():
+        spark.conf.set(key, value)
+    return spark
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a table has no more than `rows` rows; counting stops just beyond."""
+    return df.limit(rows + 1).count() <= rows
