@@ -25,3 +25,22 @@ def dense_position(rows: DataFrame, identity: list[str], keys: list[str], name:
     return numbered.join(offsets, [*keys, "_bucket"]).withColumn(
         name, (F.col("_offset") + F.col("_in")).cast("long")
     ).drop("_bucket", "_in", "_offset")
+
+
+def ordered_position(rows: DataFrame, order: str, ties: list[str], keys: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """1-based number of each row inside its key, by the numeric column `order` and then `ties`.
+
+    The column's quantiles cut the rows into ranges. Rows are numbered inside
+    their range and the sizes of the earlier ranges are added, so a key that
+    holds most of the rows is spread over all ranges.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.002)))
+    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    placed = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(order))))
+    numbered = placed.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order, *ties)))
+    sizes = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    return numbered.join(offsets, [*keys, "_range"]).withColumn(
+        name, (F.col("_offset") + F.col("_in")).cast("long")
+    ).drop("_range", "_in", "_offset")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matrix import valid_logo
+from .ordering import ordered_position
 
 # The corpus columns in their order.
 CORPUS_COLUMNS = ["crispr_type", "cas_family", "source", "protein_id", "citation", "doi", "protein_sequence", "pid_sequence",
@@ -66,13 +67,15 @@ def sequential_ids(rows: DataFrame, order: list[str], key: str = "system_id", na
     return rows.withColumn(name, F.concat(F.col(key).cast("string"), F.lit("-"), F.lpad(n.cast("string"), 4, "0")))
 
 
-def stable_row_ids(rows: DataFrame, columns: list[str], supplied: str = "row_id", tiebreak: list[str] = []) -> DataFrame:
-    """The supplied id, else a digest of the row's content with a repeat counter."""
+def stable_row_ids(rows: DataFrame, columns: list[str], position: str, supplied: str = "row_id") -> DataFrame:
+    """The supplied id, else a digest of the row's content with its repeat count in order of `position`."""
     payload = F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in sorted(columns)]))
     rows = rows.withColumn("_d", F.substring(F.sha2(payload, 256), 1, 16)).withColumn("_blank", F.coalesce(F.trim(supplied), F.lit("")) == "")
-    n = F.row_number().over(Window.partitionBy("_d", "_blank").orderBy(*(tiebreak or columns)))
-    made = F.concat(F.lit("bench-"), F.col("_d"), F.lit("-"), F.lpad(n.cast("string"), 3, "0"))
-    return rows.withColumn(supplied, F.when(F.col("_blank"), made).otherwise(F.trim(supplied))).drop("_d", "_blank")
+    counted = ordered_position(rows, position, [], ["_d", "_blank"], "_n")
+    number = F.col("_n").cast("string")
+    number = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
+    made = F.concat(F.lit("bench-"), F.col("_d"), F.lit("-"), number)
+    return counted.withColumn(supplied, F.when(F.col("_blank"), made).otherwise(F.trim(supplied))).drop("_d", "_blank", "_n")
 
 
 def spectrum_by_length(rows: DataFrame, keys: list[str], motif: str = "pam", order: str = "position") -> DataFrame:

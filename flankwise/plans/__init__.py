@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["evidence_queries", "ranking_queries", "similarity_queries", "metric_queries", "literature_queries"]
+MODULES = [
+    "evidence_queries", "ranking_queries", "similarity_queries", "metric_queries", "literature_queries", "table_queries",
+]
 
 
 def load_queries():
