@@ -197,14 +197,14 @@ def average_rank(rows: DataFrame, *, value: str, keys: list[str], descending: bo
 
 def spearman(rows: DataFrame, *, left: str, right: str, keys: list[str]) -> DataFrame:
     """Pearson correlation of mid-ranks per key; null when a side is constant."""
-    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("n"))
-    l = value_ranks(rows, value=left, keys=keys).select(*keys, left, F.col("mid_rank").alias("x"))
-    r = value_ranks(rows, value=right, keys=keys).select(*keys, right, F.col("mid_rank").alias("y"))
+    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_n"))
+    l = value_ranks(rows, value=left, keys=keys).select(*keys, left, F.col("mid_rank").alias("_x"))
+    r = value_ranks(rows, value=right, keys=keys).select(*keys, right, F.col("mid_rank").alias("_y"))
     ranked = pairs.join(l, [*keys, left]).join(r, [*keys, right])
-    s = lambda e: F.sum(F.col("n") * e)
+    s = lambda e: F.sum(F.col("_n") * e)
     sums = ranked.groupBy(*keys).agg(
-        ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"), F.sum("n").alias("n"), s(F.col("x")).alias("sx"), s(F.col("y")).alias("sy"),
-        s(F.col("x") * F.col("y")).alias("sxy"), s(F.col("x") * F.col("x")).alias("sxx"), s(F.col("y") * F.col("y")).alias("syy"),
+        ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("varies"), F.sum("_n").alias("n"), s(F.col("_x")).alias("sx"), s(F.col("_y")).alias("sy"),
+        s(F.col("_x") * F.col("_y")).alias("sxy"), s(F.col("_x") * F.col("_x")).alias("sxx"), s(F.col("_y") * F.col("_y")).alias("syy"),
     )
     n = F.col("n")
     vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
@@ -224,11 +224,11 @@ def top_membership(rows: DataFrame, *, value: str, keys: list[str], k: int) -> D
 
 def top_overlap(rows: DataFrame, *, left: str, right: str, keys: list[str], k: int = 5) -> DataFrame:
     """Dot product of two fractional top-k memberships, divided by k."""
-    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("n"))
-    l = top_membership(rows, value=left, keys=keys, k=k).select(*keys, left, F.col("membership").alias("a"))
-    r = top_membership(rows, value=right, keys=keys, k=k).select(*keys, right, F.col("membership").alias("b"))
+    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_n"))
+    l = top_membership(rows, value=left, keys=keys, k=k).select(*keys, left, F.col("membership").alias("_a"))
+    r = top_membership(rows, value=right, keys=keys, k=k).select(*keys, right, F.col("membership").alias("_b"))
     return pairs.join(l, [*keys, left]).join(r, [*keys, right]).groupBy(*keys).agg(
-        (F.sum(F.col("n") * F.col("a") * F.col("b")) / float(k)).alias("overlap")
+        (F.sum(F.col("_n") * F.col("_a") * F.col("_b")) / float(k)).alias("overlap")
     )
 
 
