@@ -243,20 +243,23 @@ def deduplicate_papers(papers: DataFrame) -> DataFrame:
     keyed = papers.select("position", keys.alias("keys"))
     bare = keyed.where(F.size("keys") == 0).select("position", F.col("position").alias("kept_position"))
     long = materialize(keyed.select("position", F.explode("keys").alias("k")).select("position", "k.rank", "k.value"))
-    open_rows, settled = long, bare
+    open_rows, heads = long, None
     while True:
         first = open_rows.groupBy("value").agg(F.min("position").alias("first"))
-        heads = open_rows.join(first, "value").groupBy("position").agg(
+        found = open_rows.join(first, "value").groupBy("position").agg(
             F.bool_and(F.col("position") == F.col("first")).alias("head")
         ).where("head").select("position")
-        owned = open_rows.join(heads, "position", "left_semi").select("value", F.col("position").alias("kept_position"))
-        done = materialize(
-            open_rows.join(owned, "value").groupBy("position").agg(F.min_by("kept_position", "rank").alias("kept_position"))
-        )
-        settled = settled.unionByName(done)
-        open_rows = materialize(open_rows.join(done.select("position"), "position", "left_anti"))
+        owned = materialize(open_rows.join(found, "position", "left_semi").select("value", F.col("position").alias("kept_position")))
+        heads = owned if heads is None else heads.unionByName(owned)
+        settled = open_rows.join(owned, "value").select("position").distinct()
+        open_rows = materialize(open_rows.join(settled, "position", "left_anti"))
         if open_rows.isEmpty():
-            return settled
+            break
+    # A kept record owns its keys alone; a record follows the owner of its best key among earlier ones.
+    assigned = long.join(heads, "value").where("kept_position <= position").groupBy("position").agg(
+        F.min_by("kept_position", "rank").alias("kept_position")
+    )
+    return bare.unionByName(assigned)
 
 
 def merged_papers(papers: DataFrame, kept: DataFrame, labels: str = "matched_query") -> DataFrame:
