@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iupac import normalize_motif
+from ..session import at_most, materialize
 from .fusion import TIE
 from .matching import motif_subset_join
 from .ordering import dense_position
@@ -123,32 +124,44 @@ def bootstrap_picks(iterations: int) -> tuple[int, int]:
     return low + 1, high + 1
 
 
-def hashed_index(seed: int, iteration: Column, draw: Column, size: Column) -> Column:
-    """Draw in 0..size-1 from a digest of (seed, iteration, draw): the same on every engine and any partitioning."""
-    text = F.concat_ws("-", F.lit(str(seed)), iteration.cast("string"), draw.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % size
+def hashed_draws(seed: int, block: Column, draw: Column, size: Column) -> Column:
+    """Four draws in 0..size-1 from one digest of (seed, block, draw): the same on every engine and any partitioning."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), block.cast("string"), draw.cast("string")))
+    return F.array(*[F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % size for at in (1, 9, 17, 25)])
+
+
+def resampled(placed: DataFrame, sizes: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
+    """(keys, iteration, place): every draw of every resample as a row."""
+    draws = placed.join(sizes, keys) if keys else placed.withColumn("size", sizes.select("size").scalar())
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((iterations + 3) // 4 - 1)))
+    drawn = draws.select(*keys, "size", F.col("place").alias("draw"), blocks.alias("block")).select(
+        *keys, "block", F.posexplode(hashed_draws(seed, F.col("block"), F.col("draw"), F.col("size"))).alias("slot", "place")
+    )
+    return drawn.select(*keys, (F.col("block") * 4 + F.col("slot")).alias("iteration"), "place").where(F.col("iteration") < iterations)
+
+
+# Resampled values that may be copied to every executor (some 50 bytes each).
+MAX_COPIED_VALUES = 1_000_000
+
+
+def drawn_values(drawn: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The values at the drawn places with `times`; few values are copied to the draws, many are met after counting."""
+    if at_most(placed, MAX_COPIED_VALUES):
+        return drawn.join(F.broadcast(placed), [*keys, "place"]).withColumn("times", F.lit(1))
+    counted = drawn.groupBy(*keys, "iteration", "place").agg(F.count(F.lit(1)).alias("times"))
+    return counted.join(placed, [*keys, "place"])
 
 
 def bootstrap_mean_interval(
     values: DataFrame, *, value: str, identity: list[str], keys: list[str] = [], iterations: int = 2000, seed: int = 17
 ) -> DataFrame:
-    """Bootstrap interval of the mean per key with digest-driven draws.
-
-    The draws are rows, so the resampling itself is one join and one aggregate.
-    """
-    placed = dense_position(values.where(F.col(value).isNotNull()), identity, keys, "place")
+    """Bootstrap interval of the mean per key with digest-driven draws; resampling is one join and one aggregate."""
+    placed = materialize(dense_position(values.where(F.col(value).isNotNull()), identity, keys, "place").select(*keys, "place", value))
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    draws = placed.join(sizes, keys) if keys else placed.withColumn("size", sizes.select("size").scalar())
-    draws = draws.select(*keys, "size", F.col("place").alias("draw")).withColumn(
-        "iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))
-    )
-    drawn = draws.withColumn("place", hashed_index(seed, F.col("iteration"), F.col("draw"), F.col("size")))
-    # Equal draws are counted first; a value then travels once per (iteration, place).
-    counted = drawn.groupBy(*keys, "iteration", "place").agg(F.count(F.lit(1)).alias("times"), F.any_value("size").alias("size"))
-    means = counted.join(placed.select(*keys, "place", value), [*keys, "place"]).groupBy(*keys, "iteration").agg(
-        (F.sum(F.col(value) * F.col("times")) / F.any_value("size")).alias("mean")
-    )
+    drawn = drawn_values(resampled(placed, sizes, keys, iterations, seed), placed, keys)
+    means = drawn.groupBy(*keys, "iteration").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
     low, high = bootstrap_picks(iterations)
+    # One row per resample and key.
     ranked = means.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "iteration")))
     pick = lambda n, name: F.max(F.when(F.col("n") == n, F.col("mean"))).alias(name)
     return ranked.groupBy(*keys).agg(pick(low, "ci_low"), pick(high, "ci_high"))
@@ -159,14 +172,9 @@ def cluster_bootstrap_ratio(items: DataFrame, *, cluster: str, value: str, itera
     sums = items.where(F.col(value).isNotNull()).groupBy(cluster).agg(
         F.sum(value).alias("total"), F.count(F.lit(1)).alias("items")
     )
-    placed = dense_position(sums, [cluster], [], "place")
-    draws = placed.withColumn("size", sums.select(F.count(F.lit(1))).scalar()).select(
-        "size", F.col("place").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration")
-    )
-    counted = draws.groupBy("iteration", hashed_index(seed, F.col("iteration"), F.col("draw"), F.col("size")).alias("place")).agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    ratios = counted.join(placed, "place").groupBy("iteration").agg(
+    placed = materialize(dense_position(sums, [cluster], [], "place").select("place", "total", "items"))
+    drawn = drawn_values(resampled(placed, placed.agg(F.count(F.lit(1)).alias("size")), [], iterations, seed), placed, [])
+    ratios = drawn.groupBy("iteration").agg(
         (F.sum(F.col("total") * F.col("times")) / F.sum(F.col("items") * F.col("times"))).alias("ratio")
     )
     return ratios.agg(

@@ -87,7 +87,7 @@ BOOT = 200
     SQL_METHODS, SQL_DELTAS,
     """placed as (select *, row_number() over (partition by comparison order by substr(md5(cast(system_id as varchar)), 1, 3), system_id) - 1 as place,
       count(*) over (partition by comparison) as size from deltas),
-    draws as (select comparison, it, ('0x' || substr(md5('17-' || cast(it as varchar) || '-' || cast(place as varchar)), 1, 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
+    draws as (select comparison, it, ('0x' || substr(md5('17-' || cast(it // 4 as varchar) || '-' || cast(place as varchar)), cast(1 + 8 * (it % 4) as int), 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
     means as (select comparison, it, avg(delta) as m from draws join placed using (comparison, place) group by all),
     ordered as (select *, row_number() over (partition by comparison order by m, it) as n from means)""",
     final=f"""select comparison, {MICRO('max(m) filter (where n = 5)')} as low_micro, {MICRO('max(m) filter (where n = 196)')} as high_micro from ordered group by comparison""",
@@ -102,7 +102,7 @@ def q_bootstrap(spark, sf_dir):
     SQL_METHODS, SQL_DELTAS,
     """clusters as (select system_id // 10 as cluster, sum(delta) as total, count(*) as items from deltas group by all),
     placed as (select *, row_number() over (order by substr(md5(cast(cluster as varchar)), 1, 3), cluster) - 1 as place, count(*) over () as size from clusters),
-    draws as (select it, ('0x' || substr(md5('20260927-' || cast(it as varchar) || '-' || cast(place as varchar)), 1, 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
+    draws as (select it, ('0x' || substr(md5('20260927-' || cast(it // 4 as varchar) || '-' || cast(place as varchar)), cast(1 + 8 * (it % 4) as int), 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
     ratios as (select it, sum(total) / sum(items) as ratio from draws join placed using (place) group by it)""",
     final=f"select {MICRO('quantile_cont(ratio, 0.025)')} as low_micro, {MICRO('quantile_cont(ratio, 0.975)')} as high_micro from ratios",
 ))

@@ -165,13 +165,15 @@ def test_candidates(spark):
         ca.concrete_candidates(spark.createDataFrame([("x", [9])], "system_id string, pam_lengths array<int>")).collect()
 
 
-def test_bootstrap_matches_plain_python(spark):
+@pytest.mark.parametrize("copied", [1_000_000, 0])
+def test_bootstrap_matches_plain_python(spark, monkeypatch, copied):
+    monkeypatch.setattr(me, "MAX_COPIED_VALUES", copied)
     from hashlib import md5
 
     values = [0.1, 0.4, 0.9, 0.3, 0.7]
     rows = spark.createDataFrame(list(enumerate(values)), "id long, v double")
     got = me.bootstrap_mean_interval(rows, value="v", identity=["id"], iterations=100, seed=3).first()
     order = sorted(range(5), key=lambda i: (md5(str(i).encode()).hexdigest()[:3], i))
-    index = lambda it, j: int(md5(f"3-{it}-{j}".encode()).hexdigest()[:8], 16) % 5
+    index = lambda it, j: int(md5(f"3-{it // 4}-{j}".encode()).hexdigest()[it % 4 * 8:it % 4 * 8 + 8], 16) % 5
     means = sorted(sum(values[order[index(it, j)]] for j in range(5)) / 5 for it in range(100))
     assert isclose(got.ci_low, means[1]) and isclose(got.ci_high, means[97])
