@@ -238,17 +238,21 @@ def canonical_hit_order(hits: DataFrame) -> DataFrame:
     return hits.orderBy("spacer_id", "target_id", "start", "strand")
 
 
+MAX_MOTIF = 16
+
+
 def motif_match_join(concrete: DataFrame, motifs: DataFrame, sequence: str, motif: str) -> DataFrame:
     """Pairs (concrete string, motif) where the string spells the motif.
 
     Motifs are spelled out except in their free positions, which are blanked on
-    both sides. There are at most 2^length blanking shapes of motifs of one length
-    (motifs have at most ten positions here), so these few rows are what is copied.
+    both sides. There are at most 2^length blanking shapes of motifs of one length,
+    and the length is bounded, so these few rows are what is copied.
     """
     wanted = (
         motifs.select(F.col(motif).alias("_motif")).distinct().where(valid_motif("_motif"))
-        .withColumn("_shape", free_pattern("_motif"))
-        .withColumn("_len", F.length("_shape"))
+        .withColumn("_len", F.length("_motif"))
+        .withColumn("_shape", F.when(F.col("_len") <= MAX_MOTIF, free_pattern("_motif")).otherwise(
+            F.raise_error(F.concat(F.lit("motif too long: "), F.col("_motif")))))
         .withColumn("_key", F.explode(restricted_keys("_motif")))
     )
     shapes = wanted.select("_len", "_shape").distinct()

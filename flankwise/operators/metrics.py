@@ -9,7 +9,7 @@ from ..functions.iupac import normalize_motif
 from ..session import at_most, materialize
 from .fusion import TIE
 from .matching import motif_subset_join
-from .ordering import dense_position
+from .ordering import dense_position, running_total
 
 RECALL_AT = (1, 3, 5)
 METRICS = ("mrr", "recall_at_1", "recall_at_3", "recall_at_5")
@@ -182,16 +182,19 @@ def cluster_bootstrap_ratio(items: DataFrame, *, cluster: str, value: str, itera
     )
 
 
+# Distinct (key, value) rows up to which one key's values are ranked in one window.
+MAX_WINDOW_VALUES = 2_000_000
+
+
 def value_ranks(rows: DataFrame, *, value: str, keys: list[str], descending: bool = False) -> DataFrame:
-    """Mid-rank, first place and copies of every distinct value of a key.
+    """Mid-rank, preceding rows and copies of every distinct value of a key.
 
-    Only distinct values are ranked, so a key with very many rows stays small
-    as long as its values repeat.
+    Only distinct values are ranked, so a key with very many rows stays small as
+    long as its values repeat. Very many distinct values are ranked in ranges.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    order = Window.partitionBy(*keys).orderBy(F.desc(value) if descending else F.asc(value))
-    before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("before", before).withColumn("mid_rank", F.col("before") + (F.col("copies") + 1) / 2.0)
+    counts = materialize(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies")))
+    ranked = running_total(counts, "copies", value, keys, "before", descending, whole=at_most(counts, MAX_WINDOW_VALUES))
+    return ranked.withColumn("mid_rank", F.col("before") + (F.col("copies") + 1) / 2.0)
 
 
 def average_rank(rows: DataFrame, *, value: str, keys: list[str], descending: bool = False) -> DataFrame:
@@ -203,41 +206,58 @@ def average_rank(rows: DataFrame, *, value: str, keys: list[str], descending: bo
     return checked.join(ranks, [*keys, value])
 
 
+def ranked_columns(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Distinct value combinations with their count `_n` and, per column, mid-rank and copies from either end.
+
+    The combinations are stored once; every column is ranked on its own distinct values.
+    """
+    combos = materialize(rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n")))
+    whole = at_most(combos, MAX_WINDOW_VALUES)
+    out = combos.join(combos.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    for c in columns:
+        counts = combos.groupBy(*keys, c).agg(F.sum("_n").alias("_copies"))
+        ranks = running_total(counts, "_copies", c, keys, "_before", whole=whole)
+        out = out.join(ranks.select(
+            *keys, c, (F.col("_before") + (F.col("_copies") + 1) / 2.0).alias(f"_rank_{c}"),
+            F.col("_before").alias(f"_below_{c}"), F.col("_copies").alias(f"_copies_{c}"),
+        ), [*keys, c])
+    return out
+
+
+def _correlation(left: str, right: str) -> Column:
+    """Pearson of two rank columns over weighted rows, as an aggregate; null when a side is constant."""
+    x, y, n = F.col(f"_rank_{left}"), F.col(f"_rank_{right}"), F.sum("_n")
+    s = lambda e: F.sum(F.col("_n") * e)
+    cov = n * s(x * y) - s(x) * s(y)
+    vx, vy = n * s(x * x) - s(x) * s(x), n * s(y * y) - s(y) * s(y)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), cov / F.sqrt(vx) / F.sqrt(vy))
+
+
+def _membership(column: str, k: int) -> Column:
+    """Share in the top k of a value; ties at the cutoff share the places left."""
+    copies = F.col(f"_copies_{column}")
+    above = F.col("_total") - F.col(f"_below_{column}") - copies
+    return F.greatest(F.lit(0.0), F.least(copies.cast("double"), F.lit(float(k)) - above)) / copies
+
+
+def _overlap(left: str, right: str, k: int) -> Column:
+    return F.sum(F.col("_n") * _membership(left, k) * _membership(right, k)) / float(k)
+
+
 def spearman(rows: DataFrame, *, left: str, right: str, keys: list[str]) -> DataFrame:
     """Pearson correlation of mid-ranks per key; null when a side is constant."""
-    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_n"))
-    l = value_ranks(rows, value=left, keys=keys).select(*keys, left, F.col("mid_rank").alias("_x"))
-    r = value_ranks(rows, value=right, keys=keys).select(*keys, right, F.col("mid_rank").alias("_y"))
-    ranked = pairs.join(l, [*keys, left]).join(r, [*keys, right])
-    s = lambda e: F.sum(F.col("_n") * e)
-    sums = ranked.groupBy(*keys).agg(
-        ((F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))).alias("varies"), F.sum("_n").alias("n"), s(F.col("_x")).alias("sx"), s(F.col("_y")).alias("sy"),
-        s(F.col("_x") * F.col("_y")).alias("sxy"), s(F.col("_x") * F.col("_x")).alias("sxx"), s(F.col("_y") * F.col("_y")).alias("syy"),
-    )
-    n = F.col("n")
-    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    cov = n * F.col("sxy") - F.col("sx") * F.col("sy")
-    return sums.select(
-        *keys, "n", F.when(F.col("varies"), cov / F.sqrt(vx) / F.sqrt(vy)).alias("spearman")
-    )
+    return ranked_columns(rows, [left, right], keys).groupBy(*keys).agg(
+        F.sum("_n").alias("n"), _correlation(left, right).alias("spearman"))
 
 
 def top_membership(rows: DataFrame, *, value: str, keys: list[str], k: int) -> DataFrame:
-    """Membership of each distinct value in the top k; ties at the cutoff share the places left."""
-    ranks = value_ranks(rows, value=value, keys=keys, descending=True)
-    left = F.greatest(F.lit(0.0), F.least(F.col("copies").cast("double"), F.lit(float(k)) - F.col("before")))
-    return ranks.select(*keys, value, (left / F.col("copies")).alias("membership"))
+    """Membership of each distinct value in the top k."""
+    return ranked_columns(rows, [value], keys).select(*keys, value, _membership(value, k).alias("membership"))
 
 
 def top_overlap(rows: DataFrame, *, left: str, right: str, keys: list[str], k: int = 5) -> DataFrame:
     """Dot product of two fractional top-k memberships, divided by k."""
-    pairs = rows.groupBy(*keys, left, right).agg(F.count(F.lit(1)).alias("_n"))
-    l = top_membership(rows, value=left, keys=keys, k=k).select(*keys, left, F.col("membership").alias("_a"))
-    r = top_membership(rows, value=right, keys=keys, k=k).select(*keys, right, F.col("membership").alias("_b"))
-    return pairs.join(l, [*keys, left]).join(r, [*keys, right]).groupBy(*keys).agg(
-        (F.sum(F.col("_n") * F.col("_a") * F.col("_b")) / float(k)).alias("overlap")
-    )
+    return ranked_columns(rows, [left, right], keys).groupBy(*keys).agg(_overlap(left, right, k).alias("overlap"))
 
 
 def variant_metrics(measures: DataFrame, control: DataFrame, *, variant: str, item: str, k: int = 5) -> DataFrame:
@@ -246,14 +266,12 @@ def variant_metrics(measures: DataFrame, control: DataFrame, *, variant: str, it
     measures: (variant, item, prediction, target); control: (item, control), one
     value per item. The deltas are variant minus control.
     """
-    rows = measures.join(control, item)
-    own = spearman(rows, left="prediction", right="target", keys=[variant]).select(variant, "spearman")
-    base = spearman(rows, left="control", right="target", keys=[variant]).select(variant, F.col("spearman").alias("control_spearman"))
-    top = top_overlap(rows, left="prediction", right="target", keys=[variant], k=k).withColumnRenamed("overlap", "top_overlap")
-    ctop = top_overlap(rows, left="control", right="target", keys=[variant], k=k).withColumnRenamed("overlap", "control_top_overlap")
-    return own.join(base, variant).join(top, variant).join(ctop, variant).withColumn(
-        "delta_spearman", F.col("spearman") - F.col("control_spearman")
-    ).withColumn("delta_top_overlap", F.col("top_overlap") - F.col("control_top_overlap"))
+    ranked = ranked_columns(measures.join(control, item), ["prediction", "target", "control"], [variant])
+    return ranked.groupBy(variant).agg(
+        _correlation("prediction", "target").alias("spearman"), _correlation("control", "target").alias("control_spearman"),
+        _overlap("prediction", "target", k).alias("top_overlap"), _overlap("control", "target", k).alias("control_top_overlap"),
+    ).withColumn("delta_spearman", F.col("spearman") - F.col("control_spearman")).withColumn(
+        "delta_top_overlap", F.col("top_overlap") - F.col("control_top_overlap"))
 
 
 def group_summary(per_variant: DataFrame, labels: list[str]) -> DataFrame:

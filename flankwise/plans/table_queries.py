@@ -273,7 +273,7 @@ def per_variant(spark, sf_dir):
 
     m = measurements(spark, sf_dir)
     key = F.concat(F.col("variant_id").cast("string"), F.col("pam_group"))
-    rows = materialize(m.select("variant_id", F.col("pam_group").alias("item"), d.nibble("y", key, 1).alias("prediction"), F.col("ranking_target_log10_k").alias("target")))
+    rows = m.select("variant_id", F.col("pam_group").alias("item"), d.nibble("y", key, 1).alias("prediction"), F.col("ranking_target_log10_k").alias("target"))
     control = rows.select("item").distinct().select("item", d.nibble("x", F.col("item"), 1).alias("control"))
     return me.variant_metrics(rows, control, variant="variant_id", item="item")
 

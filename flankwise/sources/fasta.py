@@ -45,15 +45,15 @@ def checked_alphabet(records: DataFrame, alphabet: str) -> DataFrame:
 
 def unique_records(records: DataFrame, *, allow_duplicates: bool = False) -> DataFrame:
     """(record_id, sequence, header): one row per id; with duplicates allowed their fragments are joined in file order."""
-    parts = records.groupBy("record_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("header", "position").alias("header"),
-        F.array_sort(F.collect_list(F.struct("position", "sequence"))).alias("parts"),
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["sequence"]), "")
     if not allow_duplicates:
         twice = F.concat(F.lit("duplicate FASTA id "), F.col("record_id"))
-        joined = F.when(F.col("n") == 1, joined).otherwise(F.raise_error(twice))
-    return parts.select("record_id", joined.alias("sequence"), "header")
+        first = records.groupBy("record_id").agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("sequence", "position").alias("sequence"), F.min_by("header", "position").alias("header"))
+        return first.select("record_id", F.when(F.col("n") == 1, F.col("sequence")).otherwise(F.raise_error(twice)).alias("sequence"), "header")
+    # The fragments of one id are one sequence in the end, so gathering them is what is asked for.
+    parts = records.groupBy("record_id").agg(
+        F.min_by("header", "position").alias("header"), F.array_sort(F.collect_list(F.struct("position", "sequence"))).alias("parts"))
+    return parts.select("record_id", F.array_join(F.transform("parts", lambda p: p["sequence"]), "").alias("sequence"), "header")
 
 
 def fasta_record(records: DataFrame, record_id: str | None = None) -> DataFrame:
@@ -72,16 +72,15 @@ def single_protein(records: DataFrame) -> DataFrame:
 
 
 def union_targets(records: DataFrame) -> DataFrame:
-    """(target_id, target_sequence): an id met again takes its file's stem, then a counter."""
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    rows = records.withColumn("stem", stem)
-    by_id = Window.partitionBy("record_id").orderBy("file", "position")
-    rows = rows.withColumn("n", F.row_number().over(by_id)).withColumn(
-        "name", F.when(F.col("n") == 1, F.col("record_id")).otherwise(F.concat_ws(":", "stem", "record_id")))
-    by_name = Window.partitionBy("name").orderBy("file", "position")
-    rows = rows.withColumn("m", F.row_number().over(by_name))
-    return rows.select(
-        F.when(F.col("m") == 1, F.col("name")).otherwise(F.concat_ws(":", "name", F.col("m").cast("string"))).alias("target_id"),
+    """(target_id, target_sequence): the first record of an id keeps it, later ones take their file's stem, then a counter."""
+    rows = records.withColumn("stem", F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    first = rows.groupBy("record_id").agg(F.min(F.struct("file", "position")).alias("first"))
+    rows = rows.join(first, "record_id").withColumn("keeps", F.struct("file", "position") == F.col("first"))
+    within = Window.partitionBy("record_id", "stem", "keeps").orderBy("file", "position")
+    name = F.concat_ws(":", "stem", "record_id")
+    n = F.row_number().over(within)
+    return rows.withColumn("n", n).select(
+        F.when(F.col("keeps"), F.col("record_id")).when(F.col("n") == 1, name).otherwise(F.concat_ws(":", name, F.col("n").cast("string"))).alias("target_id"),
         F.col("sequence").alias("target_sequence"),
     )
 

@@ -145,7 +145,9 @@ def test_not_applicable_leaves_the_denominator(spark):
     assert delta.comparison == "fusion_minus_protein_only" and delta.mrr_delta == 0.5
 
 
-def test_rank_statistics(spark):
+@pytest.mark.parametrize("whole", [2_000_000, 0])
+def test_rank_statistics(spark, monkeypatch, whole):
+    monkeypatch.setattr(me, "MAX_WINDOW_VALUES", whole)
     rows = spark.createDataFrame([("g", i, float(v), float(w)) for i, (v, w) in enumerate([(1, 1), (2, 3), (2, 2), (4, 4)])] + [("c", 9, 1.0, 1.0), ("c", 10, 1.0, 2.0)],
                                  "k string, i int, x double, y double")
     ranks = {r.i: r.mid_rank for r in me.average_rank(rows, value="x", keys=["k"]).collect()}
