@@ -86,30 +86,28 @@ def score_spacer_candidates(
         enough = weights.groupBy(*group).agg(F.count_distinct("spacer_sequence").alias("n")).where(F.col("n") >= minimum_spacers)
         flanks = flanks.join(enough.drop("n"), group, "left_semi")
         weights = weights.join(enough.drop("n"), group, "left_semi")
-    effective = _per_length(flanks, weights, keys)
-
+    # One row per (motif, spacer) and one per (motif, target): both counts come from a single join.
+    seen = flanks.select(*group, "motif", "target_id").distinct()
+    observed = weights.select(*group, "motif", "spacer_sequence", "weight", "alignments").unionByName(seen, allowMissingColumns=True)
+    effective = observed.groupBy(*group).agg(
+        F.count_distinct("spacer_sequence").alias("effective_spacer_count"),
+        F.count_distinct("target_id").alias("eligible_target_count"),
+        F.sum("alignments").alias("eligible_alignment_count"),
+    )
     listed = candidates.where(valid_motif("candidate_pam")).select(
         *keys, F.upper(F.trim("candidate_pam")).alias("candidate_pam")
     ).distinct().withColumn("motif_length", F.length("candidate_pam"))
     spelled = motif_match_join(flanks.select("motif"), listed, "motif", "candidate_pam")
-    wanted = listed.join(spelled, "candidate_pam")
-    by_spacer = wanted.join(weights, [*group, "motif"]).groupBy(*group, "candidate_pam").agg(
+    supported = listed.join(spelled, "candidate_pam").join(observed, [*group, "motif"]).groupBy(*group, "candidate_pam").agg(
         # Rounded far below any real difference, so that ranks do not depend on the order of addition.
         F.round(F.sum("weight"), 12).alias("support"),
         F.count_distinct("spacer_sequence").alias("support_spacer_count"),
         F.sum("alignments").alias("support_alignment_count"),
+        F.count_distinct("target_id").alias("support_target_count"),
     )
-    seen_targets = flanks.select(*group, "motif", "target_id").distinct()
-    by_target = wanted.join(seen_targets, [*group, "motif"]).groupBy(*group, "candidate_pam").agg(
-        F.count_distinct("target_id").alias("support_target_count")
-    )
-    scored = (
-        listed.join(by_spacer, [*group, "candidate_pam"], "left")
-        .join(by_target, [*group, "candidate_pam"], "left")
-        .join(effective, group, "left")
-        .fillna(0, ["support", "support_spacer_count", "support_alignment_count", "support_target_count",
-                    "effective_spacer_count", "eligible_target_count", "eligible_alignment_count"])
-    )
+    scored = listed.join(supported, [*group, "candidate_pam"], "left").join(effective, group, "left").fillna(
+        0, ["support", "support_spacer_count", "support_alignment_count", "support_target_count",
+            "effective_spacer_count", "eligible_target_count", "eligible_alignment_count"])
     if keys:
         scored = scored.join(background, keys)
     else:
@@ -119,16 +117,6 @@ def score_spacer_candidates(
     return rank_spacer_candidates(_evidence_columns(scored.withColumn("background_probability", q), prior_strength), keys)
 
 
-def _per_length(flanks: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    group = [*keys, "motif_length"]
-    spacers = weights.groupBy(*group).agg(
-        F.count_distinct("spacer_sequence").alias("effective_spacer_count"),
-        F.sum("alignments").alias("eligible_alignment_count"),
-    )
-    targets = flanks.groupBy(*group).agg(F.count_distinct("target_id").alias("eligible_target_count"))
-    return spacers.join(targets, group)
-
-
 def _evidence_columns(scored: DataFrame, prior_strength: float) -> DataFrame:
     w, s, q = F.col("effective_spacer_count"), F.col("support"), F.col("background_probability")
     alpha = F.lit(float(prior_strength))
