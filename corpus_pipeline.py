@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flankwise.llm.common import stored
-from flankwise.llm.exact_dedup import stream_exact_dedup
+from flankwise.llm.exact_dedup import exact_survivors
 from flankwise.llm.mixing import mix_sources
-from flankwise.llm.near_dup import near_duplicates
+from flankwise.llm.near_dup import near_survivors
 from flankwise.llm.packing import harmonic_packing
 from flankwise.llm.queries import held_out
 from flankwise.llm.toxicity import toxicity_scores
@@ -27,12 +27,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id."""
-    return stream_exact_dedup(docs).where("kept").select("doc.*")
+    return exact_survivors(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies the row with the smallest doc_id."""
-    return near_duplicates(docs).where("kept").select("doc.*")
+    return near_survivors(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

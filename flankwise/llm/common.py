@@ -62,3 +62,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+#: Size of the fixed bit table that tells which rows may be concerned: 2 MB, whatever the data.
+FILTER_BITS = 1 << 24
+
+
+def row_key(doc: str, text: str | Column) -> Column:
+    """Names a row by its id and its bytes; rows of equal key are repeats of each other."""
+    return F.xxhash64(F.col(doc), text_or_empty(text))
+
+
+def flagged(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
+    """`df` with the boolean column `_flag`: false only where `key` is surely not in the one column of `listed`.
+
+    The bit table has a fixed size, so it may be copied to all tasks: rows without a flag need no join and no
+    shuffle. The more keys are listed the more rows get a flag in vain; results never depend on it.
+    """
+    spot = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    bits = listed.select(spot(F.col(listed.columns[0])).alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    probed = df.withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    place = F.bitmap_bit_position("_spot").cast("int")
+    byte = F.conv(F.hex(F.substr(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1
+    return probed.join(F.broadcast(bits), "_bucket", "left").withColumn("_flag", F.coalesce(bit, F.lit(False))).drop("_spot", "_bucket", "_bits")
+
+
+def rows_kept(docs: DataFrame, verdicts: DataFrame, doc: str, text: str) -> DataFrame:
+    """The rows of `docs` whose verdict (key, kept) keeps them; of repeats of a kept row one stays.
+
+    Only rows that may have been dropped meet the verdicts; all others pass as they are.
+    """
+    dropped = verdicts.where("not kept").select("key").distinct()
+    once = verdicts.where("kept").select("key").join(dropped, "key", "left_semi").distinct()
+    rows = flagged(docs.select(F.struct("*").alias("_doc"), row_key(doc, text).alias("key")), F.col("key"), dropped)
+    rest = rows.where("_flag")
+    stay = rest.join(dropped, "key", "left_anti")
+    kept = rows.where("not _flag").unionByName(stay)
+    if not once.isEmpty():
+        kept = kept.unionByName(rest.join(once, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("_doc.*")

@@ -10,6 +10,8 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows per range of hash keys: bounds what one running sum has to order.
 RANGE_ROWS = 20_000
+#: Up to so many sources their cuts are copied to all tasks; more are joined by source.
+COPIED_SOURCES = 50_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -40,6 +42,33 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, epochs:
         "source", "n", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
+def source_cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source where its budget ends: (source, source_size, target, passes, cut_key, cut_words).
+
+    `passes` whole epochs are taken, and of one more the rows of smaller key than `cut_key` and
+    `cut_words` of each row of that key. Ranges of equal key width are summed and added up;
+    only in the range where the goal falls are rows put in order.
+    """
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    unit = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 11).cast("double") / float(1 << 53)
+    sized = targets.withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS)).withColumn(
+        "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    ).withColumn("goal", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
+    ranged = rows.alias("r").join(sized.alias("t"), same("r", "t")).select(
+        "r.*", "goal", F.floor(unit * F.col("ranges")).cast("int").alias("range"))
+    keys = ranged.groupBy("source", "range", "key", "goal").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+    sums = keys.groupBy("source", "range", "goal").agg(F.sum("words").alias("words"))
+    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    crossed = sums.withColumn("start", F.coalesce(F.sum("words").over(ahead), F.lit(0))).where(
+        "goal > 0 and start < goal and start + words >= goal").select("source", "range", "start")
+    inner = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    inside = keys.alias("k").join(crossed.alias("c"), same("k", "c") & (F.col("k.range") == F.col("c.range"))).select("k.*", "start")
+    cut = inside.withColumn("at", F.col("start") + F.coalesce(F.sum("words").over(inner), F.lit(0))).where(
+        "at < goal and at + words >= goal").select("source", "key", F.floor((F.col("goal") - F.col("at")) / F.col("rows")).alias("cut_words"))
+    return sized.alias("t").join(cut.alias("c"), same("t", "c"), "left").select(
+        "t.source", "source_size", "target", "passes", F.col("c.key").alias("cut_key"), F.col("c.cut_words"))
+
+
 def mix_sources(
     docs: DataFrame, weights: list[float] = (5.0, 2.0, 1.0), share: float = 1.0, epochs: float = 3.0, seed: int = 20,
     doc: str = "doc_id", text: str = "text", source: str = "source",
@@ -50,35 +79,24 @@ def mix_sources(
     equal key width whose sums give each range its start. The target is taken as
     whole epochs of the source plus the first words of that order, cut inside the
     row where the budget ends: `taken` words. `copies` rounds the cut row to
-    whole documents. Both depend on seed and rows alone.
+    whole documents. Both depend on seed and rows alone. The cut is one key per source, so each
+    row is decided where it is read and no text moves.
 
-    Null text has size 0, null is a source of its own (the last one), rows of equal
-    key (repeats) are alike, an empty table gives an empty mix. Columns keep their
+    Null text has size 0, null is a source of its own (the last one), repeated rows have one key
+    and share the cut evenly, an empty table gives an empty mix. Columns keep their
     names inside the struct `row`.
     """
     key = F.xxhash64(F.lit(seed), F.col(doc), F.col(text))
-    rows = stored(docs.select(
-        F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key")
-    ), "mix-rows")
+    sized = docs.select(
+        F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), key.alias("key"))
+    rows = stored(sized.select("source", "size", "key"), "mix-rows")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, list(weights), share, epochs).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    unit = F.shiftrightunsigned("key", 11).cast("double") / float(1 << 53)
-    ranged = rows.alias("r").join(targets.alias("t"), same("r", "t")).select(
-        "r.*", "source_size", "target", F.floor(unit * F.col("ranges")).cast("int").alias("range"))
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("range_start"))
-    inner = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    start = F.col("range_start") + F.col("inside")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = F.round("target").cast("long")
-    cut = F.least(F.greatest(goal - F.col("passes") * F.col("source_size") - F.col("start"), F.lit(0)), F.col("size"))
-    return summed.alias("s").join(starts.alias("o"), same("s", "o") & (F.col("s.range") == F.col("o.range"))).select(
-        "row", "size", "source_size", "target", start.alias("start"), passes.cast("long").alias("passes")
-    ).withColumn("cut", cut).select(
-        "row", "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.col("cut")).cast("long").alias("taken"),
-        (F.col("passes") + F.when((F.col("size") > 0) & (2 * F.col("cut") >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
-    )
+    targets = stored(source_targets(sizes, list(weights), share, epochs), "mix-targets")
+    cuts = stored(source_cuts(rows, targets), "mix-cuts")
+    if cuts.count() <= COPIED_SOURCES:
+        cuts = F.broadcast(cuts)
+    extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
+    passes = F.col("passes")
+    return sized.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select(
+        "row", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"),
+        (passes + F.when((F.col("size") > 0) & (2 * extra >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"))

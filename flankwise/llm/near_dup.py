@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clusters import contract
-from .common import WORD_BYTES, mix64, runs, stored, text_or_empty
+from .common import WORD_BYTES, flagged, mix64, row_key, rows_kept, runs, stored, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -111,14 +111,14 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sum(x[common] / (above[common] + ratio[common] * below[common])))
 
 
-SKETCH = "row long, digest string, sketch array<int>, bands array<long>, members binary"
+SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members binary"
 
 
 def sketch_batches(batches):
-    """(row, text) -> sketch rows. `digest` names the multiset of shingles, of a text without words its bytes."""
+    """(id, key, text) -> sketch rows. `digest` names the multiset of shingles, of a text without words its bytes."""
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
         for part in runs(texts):
             owner, hashes, counts = weighted(*shingles(texts[part]))
             n = part.stop - part.start
@@ -137,9 +137,9 @@ def sketch_batches(batches):
                 banded.append(bands[i].view(np.int64) if len(full) else [])
             small = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys[part], pa.int64()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
+                pa.array(ids[part], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
                 pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.binary()),
-            ], names=["row", "digest", "sketch", "bands", "members"])
+            ], names=["id", "key", "digest", "sketch", "bands", "members"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -154,64 +154,66 @@ def promising(a: Column, b: Column) -> Column:
     return agree >= LEAST_EQUAL
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, busy: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle multisets have a probability Jaccard similarity of 0.8 or more."""
-    left = classes.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("members").alias("mu"))
-    right = classes.select(F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("members").alias("mv"))
+    left = busy.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("members").alias("mu"))
+    right = busy.select(F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("members").alias("mv"))
     near = pairs.join(left, "u").join(right, (pairs["v"] == right["v"]) & promising(F.col("su"), F.col("sv")))
     return near.where(similar("mu", "mv")).select("u", pairs["v"])
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Verdict per row: (doc {carried columns}, class_id, class_size, kept).
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Verdict per row: (id, key, class_id, class_size, kept); `near_survivors` applies them.
 
     Texts of equal shingle multisets are one node; the sketches of nodes fall into 24 bands of
     6 registers. In a bucket every node is checked against the smallest one first, which ties
     tight groups together without pairs. Only in buckets that still hold several
     components are the nodes of different components compared, all of them: a pair
     inside a component cannot change it. Components are the classes; class_id is the
-    smallest id, and its row stays.
+    smallest id, and its row stays. Sketches and shingles move only for nodes that share a bucket.
 
     The sketch of a pair at similarity 0.8 meets in a band with probability 0.9993. Weights are
     the counts of a shingle. Null text is empty; texts without words are alike only
     if equal; texts of one to four words are one shingle. Null ids come first, repeated rows
-    are one class of which one row stays, an empty table has no verdicts. Columns keep
-    their names inside the struct `doc`.
+    are one class of which one row stays, an empty table has no verdicts. Other columns of `docs` are not
+    read, so none can clash.
     """
-    kept = F.struct(*[F.col(c) for c in (carry if carry is not None else docs.columns)])
-    rows = docs.select(
-        kept.alias("doc"), F.col(doc).alias("id"), text_or_empty(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    base = stored(rows, "near-rows")
-    features = stored(base.select("row", "text").mapInArrow(sketch_batches, SKETCH), "near-sketches")
-    named = base.select("row", "id").join(features.select("row", "digest"), "row")
-    copies = stored(named.groupBy("digest").agg(
+    rows = docs.select(F.col(doc).cast("long").alias("id"), row_key(doc, text).alias("key"), text_or_empty(text).alias("text"))
+    features = stored(rows.mapInArrow(sketch_batches, SKETCH).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    copies = stored(features.groupBy("digest").agg(
         F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")), "near-copies")
     nodes = copies.select(F.col("first.row").alias("node"))
-    classes = features.join(nodes, features["row"] == nodes["node"]).select("node", "sketch", "bands", "members")
 
-    placed = classes.select("node", F.explode("bands").alias("bucket"))
+    banded = features.select(F.col("row").alias("node"), "bands").join(nodes, "node")
+    placed = banded.select("node", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(placed.join(buckets.select("bucket", "low"), "bucket"), "near-buckets")
+    wanted = shared.select("node").distinct()
+    wide = features.select(F.col("row").alias("node"), "sketch", "members")
+    busy = stored(flagged(wide, F.col("node"), wanted).where("_flag").drop("_flag").join(wanted, "node"), "near-busy")
+
     stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    tied = stored(verified(stars, classes), "near-stars")
+    tied = stored(verified(stars, busy), "near-stars")
     parts = contract(tied)
-
     labelled = shared.join(parts.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").select(
         "bucket", "node", "low", F.coalesce("top", "node").alias("part"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
-    open_ = stored(labelled.join(mixed, "bucket").join(classes.select("node", "sketch"), "node"), "near-open")
+    open_ = labelled.join(mixed, "bucket").join(busy.select("node", "sketch"), "node")
     a, b = open_.alias("a"), open_.alias("b")
     across = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node"))
                     & (F.col("a.low") != F.col("a.node")) & promising(F.col("a.sketch"), F.col("b.sketch")))
     rest = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    more = verified(rest, classes)
-    components = contract(stored(tied.unionByName(more), "near-ties"))
+    components = contract(tied.unionByName(verified(rest, busy)))
 
-    tops = copies.select("digest", "first", "n").join(
-        components.select(F.col("u").alias("node"), "v"), F.col("first.row") == F.col("node"), "left").select(
+    tops = copies.join(components.select(F.col("u").alias("node"), "v"), F.col("first.row") == F.col("node"), "left").select(
         "digest", "first", "n", F.coalesce("v", "first.row").alias("top"))
     best = tops.groupBy("top").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     verdicts = tops.join(best, "top").select("digest", "best", "class_size")
-    of_row = named.join(verdicts, "digest").select("row", "best", "class_size")
-    return base.select("doc", "row").join(of_row, "row").select(
-        "doc", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    return features.select("id", "key", "row", "digest").join(verdicts, "digest").select(
+        "id", "key", F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
+
+
+def near_survivors(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, one of each class, with all their columns."""
+    verdicts = stored(near_duplicates(docs, doc, text).select("key", "kept"), "near-verdicts")
+    return rows_kept(docs, verdicts, doc, text)

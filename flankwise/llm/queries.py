@@ -126,7 +126,7 @@ def op5_nb_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return stream_exact_dedup(docs).select("doc.doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return stream_exact_dedup(docs).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 SQL["op6_stream_exact_dedup"] = """
@@ -140,7 +140,7 @@ FROM t WINDOW w AS (PARTITION BY body)
 @query
 def op7_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs, carry=["doc_id"]).select("doc.doc_id", "class_id", "class_size", "kept")
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
 @query
