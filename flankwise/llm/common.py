@@ -45,7 +45,7 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))
 
 
-def runs(texts: list[bytes], most_bytes: int = 4_000_000, most_rows: int = 1000) -> Iterator[slice]:
+def runs(texts: list[bytes], most_bytes: int = 800_000, most_rows: int = 1000) -> Iterator[slice]:
     """Cut a batch into slices of bounded size; a longer text is a slice by itself."""
     start, total = 0, 0
     for i, text in enumerate(texts):

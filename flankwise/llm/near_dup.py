@@ -116,7 +116,7 @@ SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>
 
 def sketch_batches(batches):
     """(id, key, text) -> sketch rows. `digest` names the multiset of shingles, of a text without words its bytes."""
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
         for part in runs(texts):

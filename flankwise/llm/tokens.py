@@ -20,7 +20,7 @@ CUTS = {
     "ByteLevel": re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+"),
     "Sequence": re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+"),
 }
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 _open: dict[str, Encoder] = {}
 
 

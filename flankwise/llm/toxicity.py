@@ -76,17 +76,17 @@ def fit(vectors: list[np.ndarray], labels: np.ndarray) -> Model:
     empty = Model(bias, np.empty(0, np.int64), np.empty(0, np.float32))
     if not n or positives in (0, n):
         return empty
-    owner = np.repeat(np.arange(n, dtype=np.int32), [len(v) for v in vectors])
-    column = np.concatenate(vectors)
-    p = np.bincount(column[labels[owner] == 1], minlength=1 << BITS) + 1.0
-    q = np.bincount(column[labels[owner] == 0], minlength=1 << BITS) + 1.0
+    p, q = np.ones(1 << BITS), np.ones(1 << BITS)
+    for vector, label in zip(vectors, labels):
+        (p if label else q)[vector] += 1
     share_p, share_q = p / (positives + 2), q / (n - positives + 2)
     ratio = np.log(share_p / share_q)
     error = np.sqrt(1 / p + 1 / q)
     certain = np.sqrt(2 * np.log(2 * min(positives, n - positives)))
     used = np.abs(ratio) > certain * error
-    keep = used[column]
-    owner, column = owner[keep], column[keep]
+    vectors = [v[used[v]] for v in vectors]
+    owner = np.repeat(np.arange(n), [len(v) for v in vectors])
+    column = np.concatenate(vectors)
     names, column = np.unique(column, return_inverse=True)
     if not len(names):
         return empty
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, doc: str, text: st
     chosen = labelled_sample(labels, doc, label, usable, sample)
 
     def vectors(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = batch.column(0).to_pylist()
             known = batch.column(1).to_pylist()
             for part in runs([t.encode("utf-8", "surrogatepass") for t in texts]):
