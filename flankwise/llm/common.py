@@ -79,7 +79,7 @@ def flagged(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
     The bit table has a fixed size, so it may be copied to all tasks: rows without a flag need no join and no
     shuffle. The more keys are listed the more rows get a flag in vain; results never depend on it.
     """
-    spot = lambda k: F.pmod(k, F.lit(FILTER_BITS))
+    spot = lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS))
     bits = listed.select(spot(F.col(listed.columns[0])).alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
     probed = df.withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))

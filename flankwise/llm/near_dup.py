@@ -111,7 +111,7 @@ def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sum(x[common] / (above[common] + ratio[common] * below[common])))
 
 
-SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members binary"
+SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members array<int>, plain boolean"
 
 
 def sketch_batches(batches):
@@ -128,24 +128,24 @@ def sketch_batches(batches):
             for i in range(ROWS):
                 bands = mix64(bands * np.uint64(0x100000001B3) + wide[:, :, i])
             cuts = np.searchsorted(owner, np.arange(n + 1))
-            digests, members, banded = [], [], []
+            digests, members, banded, plain = [], [], [], []
             for i in range(n):
                 own = slice(cuts[i], cuts[i + 1])
                 full = np.repeat(hashes[own], counts[own])
                 digests.append(hashlib.sha256(full.tobytes() if len(full) else b"text:" + texts[part.start + i]).hexdigest())
-                members.append(np.sort((full >> np.uint64(32)).astype(np.uint32)).tobytes())
+                members.append(np.sort((full >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                plain.append(bool((counts[own] == 1).all()))
                 banded.append(bands[i].view(np.int64) if len(full) else [])
             small = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[part], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
-                pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.binary()),
-            ], names=["id", "key", "digest", "sketch", "bands", "members"])
+                pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int32())), pa.array(plain),
+            ], names=["id", "key", "digest", "sketch", "bands", "members", "plain"])
 
 
 @F.pandas_udf(T.BooleanType())
 def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    read = lambda m: np.frombuffer(m, np.uint32)
-    return pd.Series([probability_jaccard(read(x), read(y)) >= SIMILARITY - 1e-9 for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([probability_jaccard(x, y) >= SIMILARITY - 1e-9 for x, y in zip(a, b)], dtype=bool)
 
 
 def promising(a: Column, b: Column) -> Column:
@@ -154,20 +154,35 @@ def promising(a: Column, b: Column) -> Column:
     return agree >= LEAST_EQUAL
 
 
+def close_sets(a: Column, b: Column) -> Column:
+    """Whether two arrays without repeats have a Jaccard similarity of 0.8 or more."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= (SIMILARITY - 1e-9) * (F.size(a) + F.size(b) - both)
+
+
+def linked(u: str, v: str) -> Column:
+    """What a pair needs in a join: enough equal registers, and where no shingle repeats in a text the exact similarity.
+
+    Without repeats all weights are one and the probability Jaccard similarity is the plain one.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    return promising(c(u, "sketch"), c(v, "sketch")) & (
+        ~(c(u, "plain") & c(v, "plain")) | close_sets(c(u, "members"), c(v, "members")))
+
+
 def verified(pairs: DataFrame, busy: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle multisets have a probability Jaccard similarity of 0.8 or more."""
-    left = busy.select(F.col("node").alias("u"), F.col("sketch").alias("su"), F.col("members").alias("mu"))
-    right = busy.select(F.col("node").alias("v"), F.col("sketch").alias("sv"), F.col("members").alias("mv"))
-    near = pairs.join(left, "u").join(right, (pairs["v"] == right["v"]) & promising(F.col("su"), F.col("sv")))
-    return near.where(similar("mu", "mv")).select("u", pairs["v"])
+    p, a, b = pairs.alias("p"), busy.alias("a"), busy.alias("b")
+    near = p.join(a, F.col("p.u") == F.col("a.node")).join(b, (F.col("p.v") == F.col("b.node")) & linked("a", "b"))
+    return near.where((F.col("a.plain") & F.col("b.plain")) | similar("a.members", "b.members")).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Verdict per row: (id, key, class_id, class_size, kept); `near_survivors` applies them.
 
     Texts of equal shingle multisets are one node; the sketches of nodes fall into 24 bands of
-    6 registers. In a bucket every node is checked against the smallest one first, which ties
-    tight groups together without pairs. Only in buckets that still hold several
+    6 registers. In a bucket every node is checked first against the hub, the node with the most
+    company over all its buckets, which ties tight groups together without pairs. Only in buckets that still hold several
     components are the nodes of different components compared, all of them: a pair
     inside a component cannot change it. Components are the classes; class_id is the
     smallest id, and its row stays. Sketches and shingles move only for nodes that share a bucket.
@@ -186,23 +201,27 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
     banded = features.select(F.col("row").alias("node"), "bands").join(nodes, "node")
     placed = banded.select("node", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(placed.join(buckets.select("bucket", "low"), "bucket"), "near-buckets")
+    filled = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    company = stored(placed.join(filled, "bucket"), "near-buckets")
+    weight = company.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = company.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("most"))
+    shared = stored(company.join(hubs, "bucket").select("bucket", "node", (-F.col("most")["col2"]).alias("hub")), "near-shared")
     wanted = shared.select("node").distinct()
-    wide = features.select(F.col("row").alias("node"), "sketch", "members")
+    wide = features.select(F.col("row").alias("node"), "sketch", "bands", "members", "plain")
     busy = stored(flagged(wide, F.col("node"), wanted).where("_flag").drop("_flag").join(wanted, "node"), "near-busy")
 
-    stars = shared.where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
+    stars = shared.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     tied = stored(verified(stars, busy), "near-stars")
     parts = contract(tied)
     labelled = shared.join(parts.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").select(
-        "bucket", "node", "low", F.coalesce("top", "node").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(busy.select("node", "sketch"), "node")
+        "bucket", "node", "hub", F.coalesce("top", "node").alias("part"))
+    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
+    open_ = labelled.where("node <> hub").join(mixed, "bucket").join(busy, "node")
     a, b = open_.alias("a"), open_.alias("b")
-    across = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.part") != F.col("b.part")) & (F.col("a.node") < F.col("b.node"))
-                    & (F.col("a.low") != F.col("a.node")) & promising(F.col("a.sketch"), F.col("b.sketch")))
-    rest = across.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    c = F.col
+    first_shared = F.element_at(F.filter(F.zip_with(c("a.bands"), c("b.bands"), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    rest = a.join(b, (c("a.bucket") == c("b.bucket")) & (c("a.part") != c("b.part")) & (c("a.node") < c("b.node"))
+                  & (first_shared == c("a.bucket")) & linked("a", "b")).select(c("a.node").alias("u"), c("b.node").alias("v")).distinct()
     components = contract(tied.unionByName(verified(rest, busy)))
 
     tops = copies.join(components.select(F.col("u").alias("node"), "v"), F.col("first.row") == F.col("node"), "left").select(

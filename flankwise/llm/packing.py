@@ -12,6 +12,8 @@ from .common import stored, text_or_empty
 from .tokens import encoder
 
 SMALLEST_EXACT = 64
+#: Up to so many counts (13 per task at most) are copied to all tasks; more are joined by class and task.
+COPIED_OFFSETS = 200_000
 PIECES = "part int, doc long, start long, length int, ids binary, doc_tokens long, slot int, exact boolean, nth long"
 
 
@@ -89,7 +91,9 @@ def harmonic_packing(
         F.coalesce(F.sum(left).over(above), F.lit(0)).alias("left_before"),
         F.sum("full").over(larger.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_full"),
     )
-    placed = offsets.drop("n").join(F.broadcast(classes), ["slot", "exact"])
+    placed = stored(offsets.drop("n").join(F.broadcast(classes), ["slot", "exact"]), "piece-offsets")
+    if placed.count() <= COPIED_OFFSETS:
+        placed = F.broadcast(placed)
     number = F.col("before") + F.col("nth")
     inside = F.col("number") < F.col("full") * per
     bins = pieces.join(placed, ["slot", "exact", "part"]).withColumn("number", number).withColumn(
