@@ -177,14 +177,51 @@ def verified(pairs: DataFrame, busy: DataFrame) -> DataFrame:
     return near.where((F.col("a.plain") & F.col("b.plain")) | similar("a.members", "b.members")).select("u", "v")
 
 
+def open_members(shared: DataFrame, ties: DataFrame, busy: DataFrame) -> DataFrame:
+    """The members, but for the hubs, of buckets that hold several parts; `main` is the part with most members there.
+
+    A hub has been checked against its whole bucket, so it has no open pair.
+    """
+    parts = contract(ties)
+    labelled = shared.join(parts.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").select(
+        "bucket", "node", "hub", F.coalesce("top", "node").alias("part")).where("node <> hub")
+    sizes = labelled.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("main")).where("parts > 1")
+    return stored(labelled.join(mixed.select("bucket", "main"), "bucket").join(busy, "node"), "near-open")
+
+
+def open_pair(a: str, b: str) -> Column:
+    """A pair of different parts in the first bucket the two share, near enough to be linked."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    first = F.element_at(F.filter(
+        F.zip_with(c(a, "bands"), c(b, "bands"), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    return (c(a, "bucket") == c(b, "bucket")) & (c(a, "part") != c(b, "part")) & (first == c(a, "bucket")) & linked(a, b)
+
+
+def ties_to_main_part(members: DataFrame) -> DataFrame:
+    """(u, v) for members with any link into the main part of a bucket: u is the main part, one row a member."""
+    exact = members.where("plain")
+    a, b = exact.where("part <> main").alias("a"), exact.where("part = main").alias("b")
+    found = a.join(b, open_pair("a", "b"), "left_semi")
+    return found.select(F.col("main").alias("u"), F.col("node").alias("v")).distinct()
+
+
+def links_between_parts(members: DataFrame) -> DataFrame:
+    """(u, v): every pair of members of different parts that may be linked."""
+    a, b = members.alias("a"), members.alias("b")
+    return a.join(b, open_pair("a", "b") & (F.col("a.node") < F.col("b.node"))).select(
+        F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Verdict per row: (id, key, class_id, class_size, kept); `near_survivors` applies them.
 
     Texts of equal shingle multisets are one node; the sketches of nodes fall into 24 bands of
     6 registers. In a bucket every node is checked first against the hub, the node with the most
     company over all its buckets, which ties tight groups together without pairs. Only in buckets that still hold several
-    components are the nodes of different components compared, all of them: a pair
-    inside a component cannot change it. Components are the classes; class_id is the
+    components are nodes of different components compared: first each with the bucket's
+    largest component until one link is found, then all that are still apart. A pair
+    inside a component cannot change it, so no link between classes is lost. Components are the classes; class_id is the
     smallest id, and its row stays. Sketches and shingles move only for nodes that share a bucket.
 
     The sketch of a pair at similarity 0.8 meets in a band with probability 0.9993. Weights are
@@ -212,17 +249,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
     stars = shared.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     tied = stored(verified(stars, busy), "near-stars")
-    parts = contract(tied)
-    labelled = shared.join(parts.select(F.col("u").alias("node"), F.col("v").alias("top")), "node", "left").select(
-        "bucket", "node", "hub", F.coalesce("top", "node").alias("part"))
-    mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-    open_ = labelled.where("node <> hub").join(mixed, "bucket").join(busy, "node")
-    a, b = open_.alias("a"), open_.alias("b")
-    c = F.col
-    first_shared = F.element_at(F.filter(F.zip_with(c("a.bands"), c("b.bands"), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    rest = a.join(b, (c("a.bucket") == c("b.bucket")) & (c("a.part") != c("b.part")) & (c("a.node") < c("b.node"))
-                  & (first_shared == c("a.bucket")) & linked("a", "b")).select(c("a.node").alias("u"), c("b.node").alias("v")).distinct()
-    components = contract(tied.unionByName(verified(rest, busy)))
+    joined = stored(tied.unionByName(ties_to_main_part(open_members(shared, tied, busy))), "near-joined")
+    rest = links_between_parts(open_members(shared, joined, busy))
+    components = contract(joined.unionByName(verified(rest, busy)))
 
     tops = copies.join(components.select(F.col("u").alias("node"), "v"), F.col("first.row") == F.col("node"), "left").select(
         "digest", "first", "n", F.coalesce("v", "first.row").alias("top"))
