@@ -12,6 +12,8 @@ from .common import stored
 
 #: Rows per range of the last permutation: bounds what one task has to number.
 RANGE_ROWS = 20_000
+#: Up to so many parts their cuts are copied to all tasks; more are joined by part.
+COPIED_PARTS = 50_000
 
 
 def hypergeometric(good: int, total: int, draws: int, u: float) -> int:
@@ -84,7 +86,9 @@ def hypergeometric_shards(rows: DataFrame, shards: int = 24, seed: int = 8) -> D
         firsts.append((part, ends))
     cuts = spark.createDataFrame(firsts, "part int, ends array<long>")
     local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "place"), "place")
-    dealt = kept.withColumn("nth", F.row_number().over(local)).join(F.broadcast(cuts), "part").select(
+    if len(firsts) <= COPIED_PARTS:
+        cuts = F.broadcast(cuts)
+    dealt = kept.withColumn("nth", F.row_number().over(local)).join(cuts, "part").select(
         "row", "place", F.size(F.filter("ends", lambda e: e < F.col("nth"))).alias("shard"))
     ranges = max(1, math.ceil(total / shards / RANGE_ROWS))
     key = F.xxhash64(F.lit(seed + 1), "place")
