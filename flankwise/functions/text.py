@@ -205,7 +205,8 @@ def literal_list(text: Column | str) -> Column:
     t = F.trim(col(text))
     ok = t.rlike(r"^[\[(].*[\])]$")
     body = F.regexp_replace(F.regexp_replace(t, r"^[\[(]\s*", ""), r"\s*,?\s*[\])]$", "")
-    items = F.transform(F.split(body, r"\s*,\s*"), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
+    item = F.lit(r"""\s*('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,'"]+)\s*(?:,|$)""")
+    items = F.transform(F.regexp_extract_all(body, item, F.lit(1)), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
     return F.when(ok, F.when(body == "", F.array().cast("array<string>")).otherwise(items)).otherwise(
         F.raise_error(F.concat(F.lit("malformed list: "), F.coalesce(t, F.lit("null")))).cast("array<string>")
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 CODE_LENGTH = 6
-MAX_JOINED_NAMES = 50_000
 
 
 def signatures(names: DataFrame, distance: int = 2, length: int = CODE_LENGTH) -> DataFrame:
@@ -71,22 +70,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def component_fingerprints(components: DataFrame) -> DataFrame:
-    """SHA-256 of a component's sorted names joined by bars.
-
-    A component with more names than fit one row is digested in sorted runs of
-    equal first letters, and the digests are digested.
-    """
-    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = components.join(sizes, "component")
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "|"), 256)
-    small = sized.where(F.col("size") <= MAX_JOINED_NAMES).groupBy("component").agg(joined("name").alias("fingerprint"))
-    runs = sized.where(F.col("size") > MAX_JOINED_NAMES).groupBy("component", F.substring("name", 1, 4).alias("run")).agg(
-        joined("name").alias("part")
-    )
-    large = runs.groupBy("component").agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "part"))), lambda x: x["part"]), "|"), 256).alias("fingerprint")
-    )
-    return small.unionByName(large)
+    """SHA-256 of a component's sorted names joined by bars, the same rule at every size."""
+    joined = F.array_join(F.array_sort(F.collect_list("name")), "|")
+    return components.groupBy("component").agg(F.sha2(joined, 256).alias("fingerprint"))
 
 
 def component_split(components: DataFrame, previously_used: DataFrame) -> DataFrame:

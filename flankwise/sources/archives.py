@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRID_SCHEMA = "file string, sheet string, row int, cells array<string>"
@@ -129,13 +129,21 @@ def as_sheets(grid: DataFrame) -> DataFrame:
         F.concat_ws("::", "file", "sheet").alias("sheet_id"), F.col("row").cast("long").alias("row"), "cells")
 
 
+def column_letters(column: Column) -> Column:
+    """A, B ... Z, AA ... for the 0-based number of a worksheet column (three letters at most)."""
+    letter = lambda n: F.chr(F.pmod(n, F.lit(26)) + 65)
+    two, three = column - 26, column - 26 - 26 * 26
+    return F.when(column < 26, letter(column)).when(two < 26 * 26, F.concat(letter(F.floor(two / 26)), letter(two))).otherwise(
+        F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26)), letter(three)))
+
+
 def motif_cells(grid: DataFrame, length: int = 7) -> DataFrame:
     """(file, sheet, address, motif) of the text cells below A1; each must be a distinct ACGT motif of that length."""
     cells = grid.select("file", "sheet", "row", F.posexplode("cells").alias("column", "motif")).where(
         (F.trim("motif") != "") & ((F.col("row") > 0) | (F.col("column") > 0)))
     counted = cells.groupBy("file", "sheet", "motif").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "column")).alias("at"))
     good = (F.col("n") == 1) & F.col("motif").rlike(f"^[ACGT]{{{length}}}$")
-    address = F.concat(F.chr(F.col("at.column") + 65), (F.col("at.row") + 1).cast("string"))
+    address = F.concat(column_letters(F.col("at.column")), (F.col("at.row") + 1).cast("string"))
     bad = F.concat(F.lit("not a distinct motif: "), F.col("motif"))
     return counted.select("file", "sheet", F.when(good, address).otherwise(F.raise_error(bad)).alias("address"), "motif")
 

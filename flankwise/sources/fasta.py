@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,16 @@ MIN_GENOME_BASES = 1
 def read_fasta(spark: SparkSession, paths: str | list[str], *, kind: str = "dna") -> DataFrame:
     """(file, record_id, header, sequence, position) of all records.
 
-    The record mark is the line separator, so files are split between records.
+    A line break with the record mark behind it is the separator, so files are split between
+    records and a mark inside a header is text. Positions follow the order of `paths`.
     A protein record without an id is named after its position; an empty record
     is an error, and so is text in front of the first mark, which has no sequence
     lines of its own.
     """
-    raw = spark.read.text(paths, lineSep=">").select(
-        "value", F.col("_metadata.file_path").alias("file"),
+    read = [spark.read.text(p, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("file"))
+            for p in ([paths] if isinstance(paths, str) else paths)]
+    raw = reduce(DataFrame.unionByName, read).select(
+        F.regexp_replace(F.regexp_replace("value", r"^\s*>", ""), "\r", "").alias("value"), "file",
         F.monotonically_increasing_id().alias("position"),
     ).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     header = F.trim(F.regexp_extract("value", r"^([^\n]*)", 1))
@@ -72,15 +77,16 @@ def single_protein(records: DataFrame) -> DataFrame:
 
 
 def union_targets(records: DataFrame) -> DataFrame:
-    """(target_id, target_sequence): the first record of an id keeps it, later ones take their file's stem, then a counter."""
+    """(target_id, target_sequence): in the order of the paths the first record of an id keeps it, later ones take their file's stem, then a counter."""
     rows = records.withColumn("stem", F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    first = rows.groupBy("record_id").agg(F.min(F.struct("file", "position")).alias("first"))
-    rows = rows.join(first, "record_id").withColumn("keeps", F.struct("file", "position") == F.col("first"))
-    within = Window.partitionBy("record_id", "stem", "keeps").orderBy("file", "position")
-    name = F.concat_ws(":", "stem", "record_id")
-    n = F.row_number().over(within)
-    return rows.withColumn("n", n).select(
-        F.when(F.col("keeps"), F.col("record_id")).when(F.col("n") == 1, name).otherwise(F.concat_ws(":", name, F.col("n").cast("string"))).alias("target_id"),
+    first = rows.groupBy("record_id").agg(F.min("position").alias("first"))
+    rows = rows.join(first, "record_id").withColumn("keeps", F.col("position") == F.col("first")).withColumn(
+        "name", F.when(F.col("keeps"), F.col("record_id")).otherwise(F.concat_ws(":", "stem", "record_id")))
+    # A made name counts on where a record really has it.
+    given = first.select(F.col("record_id").alias("name"), F.lit(1).alias("given"))
+    n = F.row_number().over(Window.partitionBy("name", "keeps").orderBy("position")) + F.coalesce("given", F.lit(0))
+    return rows.join(given, "name", "left").withColumn("n", n).select(
+        F.when(F.col("keeps") | (F.col("n") == 1), F.col("name")).otherwise(F.concat_ws(":", "name", F.col("n").cast("string"))).alias("target_id"),
         F.col("sequence").alias("target_sequence"),
     )
 

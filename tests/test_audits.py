@@ -91,12 +91,13 @@ def test_chain_contracts(spark):
     assert {(r.u, r.v) for r in cl.contract(edges).collect()} == {(f"n{i:03d}", "n000") for i in range(1, 61)}
 
 
-def test_fingerprint_of_large_components(spark, monkeypatch):
-    rows = spark.createDataFrame([("AAAAAA", "AAAAAA"), ("CCAAAA", "AAAAAA"), ("TTTTTT", "TTTTTT")], "name string, component string")
-    small = {r.component: r.fingerprint for r in cl.component_fingerprints(rows).collect()}
-    monkeypatch.setattr(cl, "MAX_JOINED_NAMES", 1)
-    large = {r.component: r.fingerprint for r in cl.component_fingerprints(rows).collect()}
-    assert small["TTTTTT"] == large["TTTTTT"] and small["AAAAAA"] != large["AAAAAA"]
+def test_fingerprint_has_one_rule(spark):
+    from hashlib import sha256
+
+    names = [f"N{i:05d}" for i in range(60_000)]
+    rows = spark.createDataFrame([(n, "N00000") for n in reversed(names)] + [("TTTTTT", "TTTTTT")], "name string, component string")
+    prints = {r.component: r.fingerprint for r in cl.component_fingerprints(rows).collect()}
+    assert prints == {"N00000": sha256("|".join(names).encode()).hexdigest(), "TTTTTT": sha256(b"TTTTTT").hexdigest()}
 
 
 def test_family_predicates_differ(spark):

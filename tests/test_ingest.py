@@ -246,3 +246,29 @@ def test_predictor_and_resume(spark, tmp_path):
     assert inc.resume(spark, distinct.where("sequence = 'MA'"), path, "sequence", "r1", compute).count() == 1
     assert inc.resume(spark, distinct, path, "sequence", "r1", compute).count() == 2
     assert inc.resume(spark, distinct, path, "sequence", "r2", compute).count() == 2 and calls == [1, 1, 2]
+
+
+def test_marks_inside_headers_and_argument_order(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">p1 variant A>G note\r\nAC\r\nGT\r\n>p2\nGG\n")
+    (tmp_path / "b.fa").write_text(">p1\nTT\n>a:p1\nCC\n")
+    rows = fa.read_fasta(spark, [str(tmp_path / "b.fa"), str(tmp_path / "a.fa")])
+    assert {(r.record_id, r.header, r.sequence) for r in rows.collect()} == {
+        ("p1", "p1 variant A>G note", "ACGT"), ("p2", "p2", "GG"), ("p1", "p1", "TT"), ("a:p1", "a:p1", "CC")}
+    named = {r.target_id: r.target_sequence for r in fa.union_targets(rows).collect()}
+    assert named == {"p1": "TT", "a:p1": "CC", "p2": "GG", "a:p1:2": "ACGT"}
+
+
+def test_column_letters(spark):
+    df = spark.createDataFrame([(c,) for c in (0, 25, 26, 51, 52, 701, 702, 16383)], "c int")
+    assert [r[0] for r in df.select(ar.column_letters(df["c"])).collect()] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "XFD"]
+
+
+def test_quoted_commas_stay_in_list_items(spark):
+    from flankwise.functions.text import literal_list
+
+    df = spark.createDataFrame([("['a, b', \"c,d\", e]",), ("[]",), ("('x',)",)], "t string")
+    assert [r[0] for r in df.select(literal_list("t")).collect()] == [["a, b", "c,d", "e"], [], ["x"]]
+
+
+def test_reports_print_every_row(spark):
+    assert ta.markdown_report(spark.range(1500)).count("\n") == 1502
