@@ -92,8 +92,9 @@ def mix_sources(
     rows = stored(sized.select("source", "size", "key"), "mix-rows")
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, list(weights), share, epochs), "mix-targets")
-    cuts = stored(source_cuts(rows, targets), "mix-cuts")
-    if cuts.count() <= COPIED_SOURCES:
+    few = targets.count() <= COPIED_SOURCES
+    cuts = stored(source_cuts(rows, F.broadcast(targets) if few else targets), "mix-cuts")
+    if few:
         cuts = F.broadcast(cuts)
     extra = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.col("cut_words")).otherwise(0)
     passes = F.col("passes")
