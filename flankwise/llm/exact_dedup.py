@@ -43,6 +43,8 @@ def keyed_state(rows: DataFrame, path: str, files_per_trigger: int) -> DataFrame
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(name, spark.conf.get(name))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Else every state partition sets some megabytes of disk aside, whatever it holds.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     checkpoint = shared_path(spark, "dedup-state")
     arriving = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     state = arriving.groupBy("digest").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -75,10 +77,10 @@ def stream_exact_dedup(
         return slim.select("id", "key", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     state = keyed_state(slim, path, files_per_trigger)
 
-    repeated = slim.join(state.where("n > 1"), "digest").select("key", "digest", F.col("keep.key").alias("keep_key")).distinct()
-    repeated = stored(repeated, "dedup-repeated")
-    texts = flagged(body.select("key", "body"), F.col("key"), repeated.select("key")).where("_flag").drop("_flag")
-    members = texts.join(repeated, "key")
+    groups = state.where("n > 1").select("digest", F.col("keep.key").alias("keep_key"))
+    listed = slim.join(groups, "digest", "left_semi").select("key")
+    texts = flagged(body.select("key", "body"), F.col("key"), listed).where("_flag").select("key", "body", digest("body").alias("digest"))
+    members = texts.join(groups, "digest")
     keepers = members.where("key = keep_key").groupBy("digest").agg(F.any_value("body").alias("keep_body"))
     hits = members.where("key <> keep_key").select("digest", "body")
     differing = stored(hits.join(keepers, "digest").where(~same_bytes("body", "keep_body")).select("digest").distinct(), "dedup-differing")
