@@ -5,11 +5,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.clusters import contract
 from .common import WORD_BYTES, flagged, mix64, row_key, rows_kept, runs, stored, text_or_empty
@@ -93,29 +91,14 @@ def prob_min_hash(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, te
     return sketch.reshape(texts, REGISTERS)
 
 
-def probability_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact probability Jaccard of two multisets given as sorted values with repeats.
-
-    A common element with ratio r of its two counts adds x / sum(max(x', r y')); sorted by ratio these sums are prefix sums.
-    """
-    both, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x = np.bincount(place[:len(a)], minlength=len(both)).astype(float)
-    y = np.bincount(place[len(a):], minlength=len(both)).astype(float)
-    ratio = np.divide(x, y, out=np.full(len(both), np.inf), where=y > 0)
-    order = np.argsort(ratio, kind="stable")
-    x, y, ratio = x[order], y[order], ratio[order]
-    end = np.searchsorted(ratio, ratio, side="right")
-    below = np.concatenate([[0.0], np.cumsum(y)])[end]
-    above = x.sum() - np.concatenate([[0.0], np.cumsum(x)])[end]
-    common = (x > 0) & (y > 0)
-    return float(np.sum(x[common] / (above[common] + ratio[common] * below[common])))
-
-
-SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members array<int>, plain boolean"
+SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members array<int>, counts array<int>, plain boolean"
 
 
 def sketch_batches(batches):
-    """(id, key, text) -> sketch rows. `digest` names the multiset of shingles, of a text without words its bytes."""
+    """(id, key, text) -> sketch rows. `digest` names the multiset of shingles, of a text without words its bytes.
+
+    `members` are the distinct shingles in 32 bits, `counts` how often each occurs; `plain` is a text without repeats.
+    """
     for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
         ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
@@ -128,24 +111,22 @@ def sketch_batches(batches):
             for i in range(ROWS):
                 bands = mix64(bands * np.uint64(0x100000001B3) + wide[:, :, i])
             cuts = np.searchsorted(owner, np.arange(n + 1))
-            digests, members, banded, plain = [], [], [], []
+            digests, members, numbers, banded, plain = [], [], [], [], []
             for i in range(n):
                 own = slice(cuts[i], cuts[i + 1])
                 full = np.repeat(hashes[own], counts[own])
                 digests.append(hashlib.sha256(full.tobytes() if len(full) else b"text:" + texts[part.start + i]).hexdigest())
-                members.append(np.sort((full >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                plain.append(bool((counts[own] == 1).all()))
+                distinct, often = np.unique((full >> np.uint64(32)).astype(np.uint32).view(np.int32), return_counts=True)
+                members.append(distinct)
+                numbers.append(often.astype(np.int32))
+                plain.append(bool((often == 1).all()))
                 banded.append(bands[i].view(np.int64) if len(full) else [])
             small = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[part], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
-                pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int32())), pa.array(plain),
-            ], names=["id", "key", "digest", "sketch", "bands", "members", "plain"])
-
-
-@F.pandas_udf(T.BooleanType())
-def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([probability_jaccard(x, y) >= SIMILARITY - 1e-9 for x, y in zip(a, b)], dtype=bool)
+                pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int32())),
+                pa.array(numbers, pa.list_(pa.int32())), pa.array(plain),
+            ], names=["id", "key", "digest", "sketch", "bands", "members", "counts", "plain"])
 
 
 def promising(a: Column, b: Column) -> Column:
@@ -160,21 +141,51 @@ def close_sets(a: Column, b: Column) -> Column:
     return both >= (SIMILARITY - 1e-9) * (F.size(a) + F.size(b) - both)
 
 
+def bound(value: Column, body) -> Column:
+    """`body` of a value that is computed once however often `body` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def probability_jaccard(a: Column, b: Column) -> Column:
+    """Exact probability Jaccard similarity of two maps of shingle counts.
+
+    A common shingle of counts x and y adds 1 / sum(max(x' / x, y' / y)) over all shingles; shingles of
+    the same two counts are one class, and only classes are compared with each other.
+    """
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    both = F.map_values(F.map_zip_with(a, b, lambda k, x, y: F.shiftleft(count(x), 32).bitwiseOR(count(y))))
+
+    def classes(all_: Column) -> Column:
+        return F.transform(F.array_distinct(all_), lambda c: F.struct(
+            F.shiftright(c, 32).cast("double").alias("x"), c.bitwiseAND(F.lit((1 << 32) - 1)).cast("double").alias("y"),
+            F.size(F.filter(all_, lambda other: other == c)).cast("double").alias("n")))
+
+    def total(found: Column) -> Column:
+        wide = lambda c: F.aggregate(found, F.lit(0.0), lambda s, o: s + o["n"] * F.greatest(o["x"] / c["x"], o["y"] / c["y"]))
+        common = lambda c: (c["x"] > 0) & (c["y"] > 0)
+        return F.aggregate(found, F.lit(0.0), lambda s, c: s + F.when(common(c), c["n"] / wide(c)).otherwise(F.lit(0.0)))
+
+    return bound(bound(both, classes), total)
+
+
 def linked(u: str, v: str) -> Column:
-    """What a pair needs in a join: enough equal registers, and where no shingle repeats in a text the exact similarity.
+    """The whole check of a pair inside a join: enough equal registers, then the exact similarity.
 
-    Without repeats all weights are one and the probability Jaccard similarity is the plain one.
+    Where no shingle repeats in either text all weights are one and the probability Jaccard similarity is the plain one.
     """
     c = lambda side, name: F.col(f"{side}.{name}")
-    return promising(c(u, "sketch"), c(v, "sketch")) & (
-        ~(c(u, "plain") & c(v, "plain")) | close_sets(c(u, "members"), c(v, "members")))
+    weights = lambda side: F.coalesce(c(side, "weights"), F.map_from_arrays(
+        c(side, "members"), F.transform(c(side, "members"), lambda x: F.lit(1))))
+    exact = F.when(c(u, "plain") & c(v, "plain"), close_sets(c(u, "members"), c(v, "members"))).otherwise(
+        probability_jaccard(weights(u), weights(v)) >= SIMILARITY - 1e-9)
+    return promising(c(u, "sketch"), c(v, "sketch")) & exact
 
 
 def verified(pairs: DataFrame, busy: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle multisets have a probability Jaccard similarity of 0.8 or more."""
     p, a, b = pairs.alias("p"), busy.alias("a"), busy.alias("b")
     near = p.join(a, F.col("p.u") == F.col("a.node")).join(b, (F.col("p.v") == F.col("b.node")) & linked("a", "b"))
-    return near.where((F.col("a.plain") & F.col("b.plain")) | similar("a.members", "b.members")).select("u", "v")
+    return near.select("u", "v")
 
 
 def open_members(shared: DataFrame, ties: DataFrame, busy: DataFrame) -> DataFrame:
@@ -200,14 +211,13 @@ def open_pair(a: str, b: str) -> Column:
 
 def ties_to_main_part(members: DataFrame) -> DataFrame:
     """(u, v) for members with any link into the main part of a bucket: u is the main part, one row a member."""
-    exact = members.where("plain")
-    a, b = exact.where("part <> main").alias("a"), exact.where("part = main").alias("b")
+    a, b = members.where("part <> main").alias("a"), members.where("part = main").alias("b")
     found = a.join(b, open_pair("a", "b"), "left_semi")
     return found.select(F.col("main").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def links_between_parts(members: DataFrame) -> DataFrame:
-    """(u, v): every pair of members of different parts that may be linked."""
+    """(u, v): every linked pair of members of different parts."""
     a, b = members.alias("a"), members.alias("b")
     return a.join(b, open_pair("a", "b") & (F.col("a.node") < F.col("b.node"))).select(
         F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
@@ -244,14 +254,16 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     hubs = company.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"))).alias("most"))
     shared = stored(company.join(hubs, "bucket").select("bucket", "node", (-F.col("most")["col2"]).alias("hub")), "near-shared")
     wanted = shared.select("node").distinct()
-    wide = features.select(F.col("row").alias("node"), "sketch", "bands", "members", "plain")
+    # Counts go along only where a shingle repeats.
+    weights = F.when(~F.col("plain"), F.map_from_arrays("members", "counts")).alias("weights")
+    wide = features.select(F.col("row").alias("node"), "sketch", "bands", "members", weights, "plain")
     busy = stored(flagged(wide, F.col("node"), wanted).where("_flag").drop("_flag").join(wanted, "node"), "near-busy")
 
     stars = shared.where("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     tied = stored(verified(stars, busy), "near-stars")
     joined = stored(tied.unionByName(ties_to_main_part(open_members(shared, tied, busy))), "near-joined")
     rest = links_between_parts(open_members(shared, joined, busy))
-    components = contract(joined.unionByName(verified(rest, busy)))
+    components = contract(joined.unionByName(rest))
 
     tops = copies.join(components.select(F.col("u").alias("node"), "v"), F.col("first.row") == F.col("node"), "left").select(
         "digest", "first", "n", F.coalesce("v", "first.row").alias("top"))
