@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.iupac import normalize_motif
+from ..functions.iupac import chars, normalize_motif
 from ..session import materialize
-from .matching import matched_windows
 
 POLICIES = ("abstain", "spacer_fallback", "legacy")
 SUPPORT_ABOVE = 60.0
@@ -60,7 +59,6 @@ def spacer_column_names(protein_columns: list[str], spacer_columns: list[str], k
 
 def fuse(
     protein: DataFrame, spacer: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain",
-    lengths: list[int] = list(range(1, 11)),
 ) -> DataFrame:
     """Left join of the spacer channel onto the protein rows, then status and gate.
 
@@ -90,7 +88,7 @@ def fuse(
     )
     fused = fused.withColumn("evidence_status", F.col("_a.status")).withColumn("evidence_priority", F.col("_a.priority")).drop("_a")
     fused = materialize(fused.withColumn("pam_length", F.length("candidate_pam")))
-    return fused.join(fusion_gate(fused, keys=keys, policy=policy, lengths=lengths), [*keys, "pam_length"])
+    return fused.join(fusion_gate(fused, keys=keys, policy=policy), [*keys, "pam_length"])
 
 
 def top_candidates(rows: DataFrame, score: str, keys: list[str], candidate: str = "candidate_pam") -> DataFrame:
@@ -101,28 +99,53 @@ def top_candidates(rows: DataFrame, score: str, keys: list[str], candidate: str
     ).select(*keys, candidate)
 
 
-def top_distances(fused: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+def blanked(tops: DataFrame, text: str, most: int) -> DataFrame:
+    """One row per top and choice of 1 to max(1, length / 4) positions: `masked` has them blanked."""
+    rows = tops.withColumn("masked", F.col(text)).withColumn("_last", F.lit(0))
+    steps = []
+    for step in range(1, most + 1):
+        rows = rows.where((step <= tolerance()) & (F.col("_last") < F.col("pam_length"))).withColumn(
+            "_last", F.explode(F.sequence(F.col("_last") + 1, F.col("pam_length")))
+        ).withColumn("masked", F.overlay("masked", F.lit("."), F.col("_last"), F.lit(1)))
+        steps.append(rows.drop("_last"))
+    out = steps[0]
+    for rows in steps[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def tolerance() -> Column:
+    return F.greatest(F.lit(1), F.floor(F.col("pam_length") / 4).cast("int"))
+
+
+def top_distances(fused: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest Hamming distance between the two top sets, where it is within max(1, length / 4).
 
-    A mismatch join on keys, since tied tops can be numerous. No row = nothing within the tolerance.
+    Letters are compared as they stand, of all 15 symbols. A shared top is distance 0; only groups without
+    one go on, by equal texts with a few positions blanked. Tops of the smaller set (of equal ones the
+    protein's) may turn into plain bases only. No row = nothing within the tolerance.
     """
     group = [*keys, "pam_length"]
     protein = top_candidates(fused, "specificity_adjusted_score", group).withColumnRenamed("candidate_pam", "query")
     spacer = top_candidates(fused, "spacer_evidence_score", group).withColumnRenamed("candidate_pam", "window")
-    parts = [
-        matched_windows(
-            protein.where(F.col("pam_length") == n), spacer.where(F.col("pam_length") == n), n, max(1, n // 4), keys=group
-        )
-        for n in lengths
-    ]
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    return pairs.groupBy(*group).agg(F.min("mismatches").alias("top_distance"))
+    shared = protein.join(spacer.withColumnRenamed("window", "query"), [*group, "query"], "left_semi").select(*group).distinct()
+    sizes = protein.groupBy(*group).agg(F.count(F.lit(1)).alias("_left")).join(
+        spacer.groupBy(*group).agg(F.count(F.lit(1)).alias("_right")), group
+    ).join(shared, group, "left_anti").select(*group, (F.col("_left") <= F.col("_right")).alias("_from_protein"))
+    longest = fused.agg(F.max("pam_length")).first()[0] or 1
+    most = max(1, longest // 4)
+    left = blanked(protein.join(sizes, group), "query", most)
+    right = blanked(spacer.join(sizes.select(*group), group), "window", most)
+    letters = F.arrays_zip(chars("query").alias("a"), chars("window").alias("b"))
+    differing = F.filter(letters, lambda x: x["a"] != x["b"])
+    plain = F.forall("_differing", lambda x: F.when(F.col("_from_protein"), x["b"]).otherwise(x["a"]).isin("A", "C", "G", "T"))
+    near = left.join(right, [*group, "masked"]).withColumn("_differing", differing).where(plain).groupBy(*group).agg(
+        F.min(F.size("_differing")).alias("top_distance"))
+    return shared.withColumn("top_distance", F.lit(0)).unionByName(near)
 
 
 def fusion_gate(
-    fused: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain", lengths: list[int] = list(range(1, 11))
+    fused: DataFrame, *, keys: list[str] = ["system_id"], policy: str = "abstain"
 ) -> DataFrame:
     """One gate per (keys, pam_length): do the channels' top sets agree, and what follows if not."""
     group = [*keys, "pam_length"]
@@ -130,12 +153,11 @@ def fusion_gate(
         F.count("specificity_adjusted_score").alias("_p"), F.count("spacer_evidence_score").alias("_s")
     )
     missing = (F.col("_p") == 0) | (F.col("_s") == 0)
-    tolerance = F.greatest(F.lit(1), F.floor(F.col("pam_length") / 4).cast("int"))
     if policy == "legacy":
         gates = present.withColumn("top_distance", F.lit(None).cast("int"))
         gate = F.when(missing, F.lit("abstain_missing_scored_source")).otherwise(F.lit("legacy_joint_ranking"))
     else:
-        gates = present.join(top_distances(fused, keys, lengths), group, "left")
+        gates = present.join(top_distances(fused, keys), group, "left")
         other = "spacer_fallback_severe_top_disagreement" if policy == "spacer_fallback" else "abstain_severe_top_disagreement"
         gate = (
             F.when(missing, F.lit("abstain_missing_scored_source"))
@@ -143,7 +165,7 @@ def fusion_gate(
             .otherwise(F.lit(other))
         )
     return gates.select(
-        *group, gate.alias("fusion_gate"), tolerance.alias("fusion_top_hamming_tolerance"),
+        *group, gate.alias("fusion_gate"), tolerance().alias("fusion_top_hamming_tolerance"),
         F.when(~missing, F.col("top_distance")).alias("fusion_top_distance_within_tolerance"),
     )
 

@@ -281,7 +281,7 @@ SQL_BOTH = [*eq.SQL_SPACER_CHANNEL, sql_matrix(), SQL_PROTEIN, """fused as (sele
 
 
 def fused_rows(spark, sf_dir, policy: str = "abstain"):
-    return fu.fuse(protein_rows(spark, sf_dir), spacer_rows(spark, sf_dir), policy=policy, lengths=d.LENGTHS)
+    return fu.fuse(protein_rows(spark, sf_dir), spacer_rows(spark, sf_dir), policy=policy)
 
 
 PRIORITY_SQL = """case when status = 'no_scored_evidence' then 'insufficient_evidence' when status = 'protein_only_unverified' then 'needs_spacer_evidence'

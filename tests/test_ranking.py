@@ -99,7 +99,7 @@ def channels(spark, protein, spacer, n=5):
 
 def test_fusion_gates(spark):
     far = channels(spark, [("AAA", 90.0), ("TTT", 20.0)], [("AAA", 10.0), ("TTT", 95.0)])
-    gate = lambda pair, policy: fu.fuse(*pair, policy=policy, lengths=[3])
+    gate = lambda pair, policy: fu.fuse(*pair, policy=policy)
     assert {r.fusion_gate for r in gate(far, "abstain").collect()} == {"abstain_severe_top_disagreement"}
     assert {r.fusion_gate for r in gate(far, "legacy").collect()} == {"legacy_joint_ranking"}
     back = gate(far, "spacer_fallback").withColumn("k", fu.fusion_rank_score(F.col("specificity_adjusted_score"), F.col("spacer_evidence_score"), F.col("fusion_gate")))
@@ -112,10 +112,22 @@ def test_fusion_gates(spark):
     assert gate(none, "abstain").first().fusion_gate == "abstain_missing_scored_source"
 
 
+@pytest.mark.parametrize("protein, spacer, distance", [
+    (["NNGRRT"], ["NNGRRT"], 0), (["NNGRRT"], ["NNGRAT"], 1), (["NNGRRT"], ["NNGRYT"], None), (["NNGRAT"], ["NNGRRT"], None),
+    (["NNGRAT", "CCCCCC"], ["NNGRRT"], 1), (["ACGTACGTACG"], ["ACGTTCGTACC"], 2), (["ACGTACGTACG"], ["TCGTTCGTACC"], None),
+])
+def test_gate_of_degenerate_and_long_tops(spark, protein, spacer, distance):
+    # Differing letters of the larger set must be plain bases.
+    rows = [("x", m, 90.0, None) for m in protein] + [("x", m, None, 90.0) for m in spacer]
+    fused = spark.createDataFrame(rows, "system_id string, candidate_pam string, specificity_adjusted_score double, spacer_evidence_score double")
+    got = fu.fusion_gate(fused.withColumn("pam_length", F.length("candidate_pam"))).first()
+    assert got.fusion_top_distance_within_tolerance == distance
+
+
 def test_fusion_refuses_duplicates_and_policies(spark):
     p, s = channels(spark, [("AAA", 90.0)], [("AAA", 1.0), ("aaa ", 2.0)])
     with pytest.raises(Exception, match="duplicate spacer evidence"):
-        fu.fuse(p, s, lengths=[3])
+        fu.fuse(p, s)
     with pytest.raises(ValueError):
         fu.fuse(p, s, policy="other")
 
