@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,39 @@ def read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of one Arrow batch between an executor and its Python workers, a single longer text aside.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose texts go to Python in batches bounded by bytes: 10,000 rows of long texts would fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def release() -> None:
+    """Give a worker's free memory back to the system.
+
+    Workers live on between tasks and stages; what their allocators keep would count beside the next stage's needs.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker function that releases its memory at the end of each task."""
+
+    @functools.wraps(work)
+    def frugal(batches):
+        yield from work(batches)
+        release()
+
+    return frugal
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(column if isinstance(column, Column) else F.col(column), F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flagged, read_back, row_key, rows_kept, shared_path, stored, text_or_empty, write_shared
+from .common import flagged, read_back, row_key, rows_kept, shared_path, small_batches, stored, text_or_empty, write_shared
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "digest string, keep struct<id: bigint, key: bigint>, n bigint"
@@ -45,6 +45,8 @@ def keyed_state(rows: DataFrame, path: str, files_per_trigger: int) -> DataFrame
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # Else every state partition sets some megabytes of disk aside, whatever it holds.
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # One bound for all state partitions of an executor.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     checkpoint = shared_path(spark, "dedup-state")
     arriving = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     state = arriving.groupBy("digest").agg(F.max(F.struct("id", "key")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -69,7 +71,7 @@ def stream_exact_dedup(
     has no verdicts; other columns of `docs` are not read, so none can clash.
     """
     spark = docs.sparkSession
-    body = docs.select(F.col(doc).alias("id"), text_or_empty(text).alias("body"), row_key(doc, text).alias("key"))
+    body = small_batches(docs).select(F.col(doc).alias("id"), text_or_empty(text).alias("body"), row_key(doc, text).alias("key"))
     slim = body.select("id", "key", digest("body").alias("digest"))
     path = write_shared(slim, "dedup-digests")
     slim = read_back(slim, path)

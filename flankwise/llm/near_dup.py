@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import contract
-from .common import WORD_BYTES, flagged, mix64, row_key, rows_kept, runs, stored, text_or_empty
+from .common import WORD_BYTES, flagged, mix64, row_key, rows_kept, runs, small_batches, stored, text_or_empty, tidy
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -240,8 +240,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     are one class of which one row stays, an empty table has no verdicts. Other columns of `docs` are not
     read, so none can clash.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("id"), row_key(doc, text).alias("key"), text_or_empty(text).alias("text"))
-    features = stored(rows.mapInArrow(sketch_batches, SKETCH).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    rows = small_batches(docs).select(F.col(doc).cast("long").alias("id"), row_key(doc, text).alias("key"), text_or_empty(text).alias("text"))
+    features = stored(rows.mapInArrow(tidy(sketch_batches), SKETCH).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
     copies = stored(features.groupBy("digest").agg(
         F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")), "near-copies")
     nodes = copies.select(F.col("first.row").alias("node"))

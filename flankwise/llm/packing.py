@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import small_batches, stored, text_or_empty, tidy
 from .tokens import encoder
 
 SMALLEST_EXACT = 64
@@ -53,7 +53,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, do
                         pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))],
                     names=["part", "doc", "start", "length", "ids", "doc_tokens", "slot", "exact", "nth"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc"), text_or_empty(text).alias("text")).mapInArrow(cut, PIECES)
+    rows = small_batches(docs).select(F.col(doc).cast("long").alias("doc"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(tidy(cut), PIECES)
 
 
 def harmonic_packing(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty, tidy
 from .range_coder import BLOCK, decode_blocks, encode_blocks
 from .tokens import encoder
 
@@ -76,9 +76,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield flush()
 
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), text_or_empty(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc")
-    ordered.mapInArrow(code, FORMAT).write.parquet(path)
+    ordered.mapInArrow(tidy(code), FORMAT).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +110,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield pieces(held)
 
-    return spark.read.schema(FORMAT).parquet(path).mapInArrow(decode, PIECES)
+    return spark.read.schema(FORMAT).parquet(path).mapInArrow(tidy(decode), PIECES)
 
 
 def shift_table(length: int) -> list[int]:

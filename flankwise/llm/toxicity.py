@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import runs, text_or_empty
+from .common import release, runs, small_batches, text_or_empty, tidy
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, doc: str, text: st
 
     # The sample is bounded by its parameter, so it may be copied.
     meet = docs.select(F.col(doc).alias("_id"), text_or_empty(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = meet.select("_text", "_label").mapInArrow(vectors, "features binary, label int").groupBy().applyInPandas(
+    rows = meet.select("_text", "_label").mapInArrow(tidy(vectors), "features binary, label int").groupBy().applyInPandas(
         fitted, "bias double, features binary, weights binary").collect()
     if not rows:
         return Model(0.0, np.empty(0, np.int64), np.empty(0, np.float32))
@@ -168,7 +168,7 @@ def toxicity_scores(
     labels and null ids are not learned from; without labels every score is 0.5.
     Columns keep their names inside the struct `row`.
     """
-    model = train(docs, labels, usable, doc, text, label, sample)
+    model = train(small_batches(docs), labels, usable, doc, text, label, sample)
     names, weights, bias = model.features, model.weights, model.bias
 
     @F.pandas_udf(T.DoubleType())
@@ -180,5 +180,6 @@ def toxicity_scores(
             for part in runs([t.encode("utf-8", "surrogatepass") for t in texts]):
                 out.append(score_texts(texts[part], table, bias))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
+        release()
 
     return docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("_text")).select("row", score("_text").alias("score"))
