@@ -132,9 +132,14 @@ class Scanner:
         self.base = len(base)
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.automaton = Automaton([[self.vocabulary[w] for w in t] for t in texts])
-        self.phrases = [  # per state the base phrases that end with it, by the length they need
-            [(n, self.automaton.sizes[n]) for n, end in s.ends if n < self.base and end == self.automaton.sizes[n] - 1]
-            for s in self.automaton.states]
+        sizes, states = self.automaton.sizes, self.automaton.states
+        self.least = min([LEAST_MATCH, *(n for n in sizes[:self.base] if n)])
+        # Per state the base phrases that end with it, by the length they need: a phrase is the longest string of its own
+        # state, and every state that links there, through others or not, ends with it as well.
+        self.phrases: list[list[tuple[int, int]]] = [[] for _ in states]
+        for state in sorted(range(1, len(states)), key=lambda i: states[i].length):
+            own = [(n, sizes[n]) for n, end in states[state].ends if n < self.base and end + 1 == sizes[n] == states[state].length]
+            self.phrases[state] = own + self.phrases[states[state].link]
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
         """(words, base places (label, first, end), spans (label, first, end, cover)) of a whole text."""
@@ -149,7 +154,7 @@ class Scanner:
             firsts = known[np.concatenate([[0], breaks + 1])] - 1
             ends = known[np.concatenate([breaks, [len(known) - 1]])]
             for first, end in zip(firsts.tolist(), ends.tolist()):
-                if end - first >= 2:
+                if end - first >= self.least:
                     self._run(ids[first:end].tolist(), first, places, chains)
         return len(words), places, self._spans(chains)
 
