@@ -15,6 +15,8 @@ from .common import stored
 SHARD_ROWS, QUERY_BLOCK = 12_000, 10_000
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED = 24, 48, 80, 1.2
 INSERT = 400
+#: Vectors of a shard whose norms differ by more than 2 ** BAND_BITS get graphs of their own; so few points are scanned whole.
+BAND_BITS, SCAN_ROWS = 3, 256
 
 
 def usable(vector: Column) -> Column:
@@ -23,27 +25,43 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def bands(vectors: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors by bands of like norms, the middle band around the median norm.
+
+    One far longer vector would leave the others no digits in the lifting. Norms are taken as
+    logarithms, so none overflows.
+    """
+    most = np.abs(vectors).max(axis=1)
+    bits = np.log2(most) + 0.5 * np.log2(((vectors / most[:, None]) ** 2).sum(axis=1))
+    band = np.rint((bits - np.median(bits)) / BAND_BITS)
+    return [np.flatnonzero(band == b) for b in np.unique(band)]
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector divided by the power of two above its largest component: exact, and no product overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """One more component makes all norms equal; then the largest inner product is the smallest distance."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    """Scaled together, and one more component makes all norms equal; then the largest inner product is the smallest distance."""
+    vectors = np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max())[1]))
+    squares = (vectors ** 2).sum(axis=1)
     extra = np.sqrt(np.maximum(squares.max() - squares, 0))
-    return np.hstack([vectors.astype(np.float64), extra[:, None]]).astype(np.float32)
+    return np.hstack([vectors, extra[:, None]])
 
 
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, squared distances) of the `beam` nearest points found for each query, all queries step by step.
+    """(indices, negative inner products) of the `beam` nearest points found for each query, all queries step by step.
 
-    Each query walks greedily: it opens the nearest point of its beam not opened yet and adds that point's
+    Points have equal norms, so the inner product alone ranks them: the norms would only cost digits. Each query walks greedily: it opens the nearest point of its beam not opened yet and adds that point's
     neighbours, until its whole beam is opened. Missing places are -1.
     """
     n, q = len(points), len(queries)
-    norms = (points.astype(np.float32) ** 2).sum(axis=1)
-    own = (queries ** 2).sum(axis=1)
     ids = np.full((q, beam), -1, np.int64)
-    far = np.full((q, beam), np.inf, np.float32)
+    far = np.full((q, beam), np.inf)
     opened = np.ones((q, beam), bool)
     ids[:, 0], opened[:, 0] = entry, False
-    far[:, 0] = norms[entry] + own - 2 * queries @ points[entry]
+    far[:, 0] = -(queries @ points[entry])
     seen = np.zeros((q, n), bool)
     seen[:, entry] = True
     live = np.arange(q)
@@ -58,8 +76,7 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
         near = links[ids[live, place]]
         known = (near < 0) | seen[live[:, None], np.maximum(near, 0)]
         near = np.where(known, 0, near)
-        away = norms[near] + own[live, None] - 2 * np.einsum("qd,qkd->qk", queries[live], points[near])
-        away = np.where(known, np.inf, away).astype(np.float32)
+        away = np.where(known, np.inf, -np.einsum("qd,qkd->qk", queries[live], points[near]))
         seen[live[:, None], near] |= ~known
         all_ids = np.hstack([ids[live], np.where(known, -1, near)])
         all_far = np.hstack([far[live], away])
@@ -126,7 +143,7 @@ def build_graph(points: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def build_index(vectors: DataFrame, key: str, vector: str, neighbours: int) -> DataFrame:
-    """The written index: a row per shard with its distinct vectors, the smallest ids of each and the graph.
+    """The written index: a row per shard and band of norms with its distinct vectors, the smallest ids of each and the graph.
 
     Equal vectors are one point, so a vector that makes up a third of the rows is no cluster of
     zero distances; of its ids the neighbours + 1 smallest can ever be asked for. Shards are
@@ -141,11 +158,13 @@ def build_index(vectors: DataFrame, key: str, vector: str, neighbours: int) -> D
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("first")
         data = np.array(group["vector"].tolist(), dtype=np.float64)
-        links, entry = build_graph(lifted(data))
-        return pd.DataFrame({
-            "shard": [group["shard"].iloc[0]], "n": [len(data)], "entry": [entry], "vectors": [data.tobytes()],
-            "links": [links.astype(np.int32).tobytes()], "ids": [np.concatenate(group["ids"].tolist()).astype(np.int64).tobytes()],
-            "counts": [np.array([len(i) for i in group["ids"]], np.int32).tobytes()]})
+        rows = []
+        for places in bands(data):
+            own, ids = data[places], [group["ids"].iloc[i] for i in places]
+            links, entry = build_graph(lifted(own)) if len(own) > SCAN_ROWS else (np.empty(0), 0)
+            rows.append((group["shard"].iloc[0], len(own), entry, own.tobytes(), links.astype(np.int32).tobytes(),
+                         np.concatenate(ids).astype(np.int64).tobytes(), np.array([len(i) for i in ids], np.int32).tobytes()))
+        return pd.DataFrame(rows, columns=["shard", "n", "entry", "vectors", "links", "ids", "counts"])
 
     spread = points.select("vector", "ids", F.element_at("ids", 1).alias("first")).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(3), "first"), F.lit(shards)).cast("int"))
@@ -158,8 +177,8 @@ def graph_nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest other rows by inner product, nearest first.
 
-    Every usable row is in the graph of one shard; a query beam-searches each shard's graph, in blocks
-    of queries. Scores are inner products of the original vectors in double precision; ties go to the
+    Every usable row is in the graph of one shard and band of norms; a query beam-searches each graph, in blocks
+    of queries, and scans small bands whole. Scores are inner products of the original vectors in double precision; ties go to the
     smaller id. A query without other candidates has no rows; null, zero and non-finite vectors and null keys
     take no part, equal ids and vectors are rows like others, an empty table gives nothing. Vectors
     must have one length; columns beside the two are not read.
@@ -173,28 +192,31 @@ def graph_nearest(
     sent = asked.select("query_id", "asked", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def search(graph: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def search(graphs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
-        if len(graph) and len(wanted):
-            g = graph.iloc[0]
-            data = np.frombuffer(g["vectors"], np.float64).reshape(g["n"], -1)
-            links = np.frombuffer(g["links"], np.int32).reshape(g["n"], DEGREE).astype(np.int64)
-            counts = np.frombuffer(g["counts"], np.int32)
-            ids, first = np.frombuffer(g["ids"], np.int64), np.concatenate([[0], np.cumsum(counts)])
-            points = lifted(data)
-            for start in range(0, len(wanted), 500):
-                some = wanted.iloc[start:start + 500]
-                exact = np.array(some["asked"].tolist(), dtype=np.float64)
-                seek = np.hstack([exact, np.zeros((len(exact), 1))]).astype(np.float32)
-                found, _ = beam_search(points, links, seek, int(g["entry"]), SEARCH_BEAM)
-                for query, own, row in zip(some["query_id"], exact, found):
+        for start in range(0, len(wanted) if len(graphs) else 0, 500):
+            some = wanted.iloc[start:start + 500]
+            exact = np.array(some["asked"].tolist(), dtype=np.float64)
+            near: list[list[tuple[float, int]]] = [[] for _ in exact]
+            for g in graphs.itertuples():
+                data = np.frombuffer(g.vectors, np.float64).reshape(g.n, -1)
+                ids, first = np.frombuffer(g.ids, np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(g.counts, np.int32))])
+                if g.n > SCAN_ROWS:
+                    links = np.frombuffer(g.links, np.int32).reshape(g.n, DEGREE).astype(np.int64)
+                    seek = np.hstack([scaled(exact), np.zeros((len(exact), 1))])
+                    found, _ = beam_search(lifted(data), links, seek, int(g.entry), SEARCH_BEAM)
+                else:
+                    found = np.broadcast_to(np.arange(g.n), (len(exact), g.n))
+                for query, own, row, all_ in zip(some["query_id"], exact, found, near):
                     row = row[row >= 0]
                     scores = (data[row] * own).sum(axis=1)
-                    near = [(-s, int(i)) for r, s in zip(row, scores) for i in ids[first[r]:first[r + 1]] if i != query]
-                    for s, i in sorted(near)[:neighbours]:
-                        out["query_id"].append(query)
-                        out["vec_id"].append(i)
-                        out["score"].append(-s)
+                    new = [(-s, int(i)) for r, s in zip(row, scores) for i in ids[first[r]:first[r + 1]] if i != query]
+                    all_[:] = sorted(all_ + new)[:neighbours]
+            for query, best in zip(some["query_id"], near):
+                for s, i in best:
+                    out["query_id"].append(query)
+                    out["vec_id"].append(i)
+                    out["score"].append(-s)
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(

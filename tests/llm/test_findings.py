@@ -3,7 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from flankwise.llm import license_scan
+from flankwise.llm.graph_search import graph_nearest
 
 
 # licences
@@ -35,3 +39,25 @@ def test_nested_and_one_word_base_phrases():
     texts = [" ".join(rng.choices("by cc under x y nc licensed all z".split(), k=40)) for _ in range(200)]
     for text in [*texts, "by", "z by z", "granted y by", "x by"]:
         assert sorted(scanner.scan(text)[1]) == plain_places(text, base)
+
+
+# nearest neighbours
+
+@pytest.mark.parametrize("norms", [[1e3], [1e4], [3e38, -3e38, 2e19], [10.0 ** k for k in range(-30, 31, 6) for _ in range(30)]])
+def test_graph_keeps_its_digits_beside_long_vectors(spark, norms):
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(1500, 16))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    data[:len(norms)] = data[:len(norms)] * np.array(norms)[:, None] if max(norms) < 1e38 else np.eye(16)[0] * np.array(norms)[:, None]
+    data = data.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(3)
+    found = graph_nearest(df, df.where("vec_id % 20 = 0"), neighbours=20).collect()
+    hits = 0
+    for q in range(0, 1500, 20):
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -scores))[:20]
+        own = [r.vec_id for r in found if r.query_id == q]
+        assert len(own) == 20
+        hits += len(set(best) & set(own))
+    assert hits / 1500 >= 0.95
