@@ -49,18 +49,19 @@ class Encoder:
 
     The vocabularies cut a text into words and merge inside a word only, so ids of
     a plain text are the joined ids of its words. Other texts, and other
-    vocabularies, go to the library whole. Control strings in a text count as text.
+    vocabularies, go to the library whole, and so do texts with the content of an added token,
+    which the library turns into that token's id.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         kind = type(self.tokenizer.pre_tokenizer).__name__
         known = os.path.basename(path) in ("byte_bpe_50k.json", "word_bpe_49k.json") and sys.byteorder == "little"
         self.cut = CUTS.get(kind) if known else None
         self.lower = kind == "Sequence"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self.tokenizer.model)
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -72,7 +73,7 @@ class Encoder:
             return self.library(texts)
         out, find, get = [], self.cut.findall, self.words.__getitem__
         for text in texts:
-            if PLAIN.fullmatch(text):
+            if PLAIN.fullmatch(text) and not any(a in text for a in self.added):
                 out.append(b"".join(map(get, find(text.lower() if self.lower else text))))
             else:
                 out += self.library([text])

@@ -2,12 +2,18 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from flankwise.llm import license_scan
 from flankwise.llm.graph_search import graph_nearest
+from flankwise.llm.packing import harmonic_packing
+from flankwise.llm.token_files import document_digests, read_token_files, write_token_files
+from flankwise.llm.tokens import Encoder
 
 
 # licences
@@ -61,3 +67,35 @@ def test_graph_keeps_its_digits_beside_long_vectors(spark, norms):
         assert len(own) == 20
         hits += len(set(best) & set(own))
     assert hits / 1500 >= 0.95
+
+
+# tokens
+
+CONTROLS = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|><|endoftext|>y", "a  <|endoftext|>  b", "é 你 <|endoftext|> \x00",
+            "<|ENDOFTEXT|> <|endof text|>", "plain words only"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_control_strings_get_the_ids_of_the_library_as_loaded(name):
+    path = public_tokenizers.path(name)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|end", "oftext|>", "word", " ", "  ", "\n", "İ", "9", "'s", "<|", "|>"]
+    rng = random.Random(5)
+    texts = CONTROLS + ["".join(rng.choices(bits, k=rng.randint(1, 12))) for _ in range(500)]
+    expected = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in Encoder(path).encode(texts)] == [e.ids for e in expected]
+
+
+def test_control_strings_in_token_files_and_packing(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(CONTROLS)), "doc_id long, text string").repartition(2)
+    ids = {}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        found = Tokenizer.from_file(public_tokenizers.path(name)).encode_batch(CONTROLS, add_special_tokens=False)
+        ids[name] = [e.ids for e in found]
+    write_token_files(df, f"file://{tmp_path}/tokens", public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    digests = {r.doc: r for r in document_digests(read_token_files(spark, f"file://{tmp_path}/tokens")).collect()}
+    for doc, own in enumerate(ids["byte_bpe_50k.json"]):
+        own = np.array([*own, 0], "<u4")
+        assert (digests[doc].n_tokens, digests[doc].ids_crc32) == (len(own), zlib.crc32(own.tobytes()))
+    packed = harmonic_packing(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    totals = {r.doc: r.doc_tokens for r in packed}
+    assert all(totals[doc] - len(own) == totals[6] - len(ids["word_bpe_49k.json"][6]) for doc, own in enumerate(ids["word_bpe_49k.json"]))
