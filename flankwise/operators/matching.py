@@ -129,8 +129,23 @@ def matched_windows(
     return verified_pairs(pairs, length, mismatches, masks).select(*keys, "query", "window", "mismatches")
 
 
-def hamming_matches(queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int], key_bases: int = KEY_BASES) -> DataFrame:
-    """All ungapped placements of `queries(query)` in `targets(target_id, target_sequence)`."""
+def searched_lengths(sequences: DataFrame, sequence: Column, lengths: list[int] | None) -> list[int]:
+    """The lengths to search: by default those of the sequences; given ones must list them all, so that none is lost."""
+    found = sequences.select(F.length(sequence).alias("n")).where("n > 0").distinct().collect()
+    found = sorted(row.n for row in found)
+    if lengths is None:
+        return found or [1]
+    unlisted = sorted(set(found) - set(lengths))
+    if unlisted:
+        raise ValueError(f"sequences of lengths {unlisted} would be lost, only {sorted(lengths)} are searched")
+    return lengths
+
+
+def hamming_matches(
+    queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int] | None = None, key_bases: int = KEY_BASES
+) -> DataFrame:
+    """All ungapped placements of `queries(query)` in `targets(target_id, target_sequence)`; `lengths` as in `spacer_hits`."""
+    lengths = searched_lengths(queries, F.col("query"), lengths)
     parts = []
     for length in lengths:
         fitting = queries.where(F.length("query") == length)
@@ -159,17 +174,19 @@ def spacer_hits(
     *,
     mismatches: int,
     flank_length: int,
-    lengths: list[int],
+    lengths: list[int] | None = None,
     keys: list[str] = [],
     key_bases: int = KEY_BASES,
 ) -> DataFrame:
     """Both-strand placements of spacers in targets with flanks turned to the spacer's strand.
 
     spacers: (keys, spacer_id, spacer_sequence[, spacer_order]); targets: (keys,
-    target_id, target_sequence). `lengths` are the spacer lengths to search, `keys`
+    target_id, target_sequence). `lengths` are the spacer lengths to search,
+    by default all that the spacers have; a spacer of a length not listed raises ValueError. `keys` are
     the columns within which spacers and targets belong together. A palindromic
     spacer is reported on both strands at weight 0.5 each.
     """
+    lengths = searched_lengths(spacers, normalize_dna("spacer_sequence"), lengths)
     spacers = first_spacers(spacers, keys)
     turned = reverse_complement("spacer_sequence")
     strands = spacers.withColumn(
