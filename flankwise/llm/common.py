@@ -110,6 +110,34 @@ def row_key(doc: str, text: str | Column) -> Column:
     return F.xxhash64(F.col(doc), text_or_empty(text))
 
 
+def row_digest(doc: str, text: str | Column) -> Column:
+    """Names a row by 128 bits of the SHA-256 of its id and its text; null text is empty, a null id is no other id."""
+    named = F.when(F.col(doc).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(doc).cast("string")))
+    return F.unhex(F.substring(F.sha2(F.concat(named, F.lit("\n"), text_or_empty(text)), 256), 1, 32))
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `shared_path` named, on whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def term_bytes(keep: str) -> bytes:
+    """Byte table for `terms`: A-Z lower-cased, what is neither an ASCII character of `keep` nor above ASCII a blank."""
+    return bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b) in keep else 32 for b in range(256))
+
+
+def terms(text: bytes, table: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The terms of a text, in lists of bounded size; pieces end between terms, but for one that is longer than a piece."""
+    start = 0
+    while start < len(text):
+        end = min(start + piece, len(text))
+        while end < len(text) and table[text[end]] != 32:
+            end += 1
+        yield text[start:end].translate(table).split()
+        start = end
+
+
 def flagged(df: DataFrame, key: Column, listed: DataFrame) -> DataFrame:
     """`df` with the boolean column `_flag`: false only where `key` is surely not in the one column of `listed`.
 

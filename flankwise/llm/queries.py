@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .chat import prefix_target_examples, read_loss, read_turns
 from .common import shared_path
+from .divergence import divergence_audit
 from .exact_dedup import stream_exact_dedup
 from .graph_search import graph_nearest
+from .impact_search import lexical_search
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import harmonic_packing
@@ -162,3 +165,95 @@ def op9_prefix_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return graph_nearest(vectors, vectors.where("vec_id % 20 = 0"), neighbours=20)
+
+
+@query
+def op11_levelled_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op11_levelled_line_runs"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS nth
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), repeated AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT doc_id, line, nth, keeper IS NOT NULL AND keeper <> doc_id AS dropped FROM keyed LEFT JOIN repeated USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, sum(dropped::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query
+def op12_sparse_group_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+SQL["op12_sparse_group_vectors"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), vocab AS (
+  SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM vocab GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d
+), counts AS (SELECT lang, source, term, count(*) AS c FROM t JOIN vocab USING (lang, term) GROUP BY ALL
+), sizes AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM counts GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+         (1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v))::BIGINT AS p,
+         (1 + (1000000000::HUGEINT * (v.total + 2)) // (l.n + 2 * l.v))::BIGINT AS q
+  FROM groups g JOIN langs l USING (lang) JOIN vocab v USING (lang) LEFT JOIN counts c USING (lang, source, term) LEFT JOIN sizes s USING (lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), terms AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM shares WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, value FROM terms
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM ranked
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query
+def op13_norm_bucket_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search(docs, table(spark, sf_dir, "benchmark")).select(
+        F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+SQL["op13_norm_bucket_search"] = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL
+), lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL
+), whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs
+), items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM lengths, whole
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
