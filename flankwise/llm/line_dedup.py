@@ -153,7 +153,7 @@ def dedup_lines(
     spark = docs.sparkSession
     body = small_batches(docs).select(
         F.struct("*").alias("_doc"), F.col(doc).alias("doc"), text_or_empty(text).alias("body"), row_digest(doc, text).alias("row"))
-    batch = F.lit(batches - 1) - value_range(body.select("doc"), "doc", batches)
+    batch = F.lit(batches - 1) - (value_range(body.select("doc"), "doc", batches) if batches > 1 else F.lit(0))
     lines = body.select(batch.alias("batch"), "row", "doc", F.explode(line_hashes(F.col("body"), min_chars)).alias("hash"))
     path = shared_path(spark, "lines")
     lines.write.option("compression", "zstd").partitionBy("batch").parquet(path)
