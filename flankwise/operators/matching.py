@@ -103,15 +103,38 @@ def verified_pairs(pairs: DataFrame, length: int, mismatches: int, masks: list[l
     )
 
 
-def windows(targets: DataFrame, length: int, sequence: str = "target_sequence") -> DataFrame:
-    """Every placement of `length` bases as (columns of targets, start, window, window_digits)."""
-    last = F.length(sequence) - length
+# Bases of a target that one tile owns.
+TILE = 512
+
+
+def tiles(targets: DataFrame, longest: int, flank: int, keys: list[str] = [], tile: int = TILE) -> DataFrame:
+    """Targets as overlapping tiles: (keys, target_id, tile_start, lead, owned, tile_text).
+
+    A tile owns the `owned` starts from `tile_start` on. Its text begins `lead` bases earlier and goes on behind, so that every
+    placement of up to `longest` bases at an owned start lies in it with both flanks: a hit at a border is found by
+    the owner of its start and by no other tile. The sequence is cut once; no row holds more than a tile.
+    """
+    halo = longest - 1 + flank
+    tile = max(tile, halo)
+    parts = F.regexp_extract_all(F.col("target_sequence"), F.lit(f"(?s).{{1,{tile}}}"), F.lit(0))
+    cut = targets.select(*keys, "target_id", parts.alias("_parts"))
+    before = lambda i: F.when(i > 0, F.right(F.get("_parts", i - 1), F.lit(flank))).otherwise(F.lit(""))
+    after = lambda i: F.substring(F.coalesce(F.get("_parts", i + 1), F.lit("")), F.lit(1), F.lit(halo))
+    framed = F.transform("_parts", lambda part, i: F.struct(
+        F.length(before(i)).alias("lead"), F.length(part).alias("owned"), F.concat(before(i), part, after(i)).alias("tile_text")))
+    return cut.select(*keys, "target_id", F.posexplode(framed).alias("_number", "_tile")).select(
+        *keys, "target_id", (F.col("_number").cast("long") * tile).alias("tile_start"), "_tile.*")
+
+
+def windows(tile_rows: DataFrame, length: int) -> DataFrame:
+    """Every owned placement of `length` bases as (columns of the tiles, at, window, window_digits); `at` counts in the tile's text."""
+    last = F.least(F.col("lead") + F.col("owned"), F.length("tile_text") - length + 1) - 1
     return (
-        targets.where(last >= 0)
-        .withColumn("_digits", digits_of(F.col(sequence), "4"))
-        .withColumn("start", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("window", F.expr(f"substring({sequence}, start + 1, {length})"))
-        .withColumn("window_digits", F.expr(f"substring(_digits, start + 1, {length})"))
+        tile_rows.where(last >= F.col("lead"))
+        .withColumn("_digits", digits_of(F.col("tile_text"), "4"))
+        .withColumn("at", F.explode(F.sequence(F.col("lead"), last)))
+        .withColumn("window", F.expr(f"substring(tile_text, at + 1, {length})"))
+        .withColumn("window_digits", F.expr(f"substring(_digits, at + 1, {length})"))
         .drop("_digits")
     )
 
@@ -129,40 +152,109 @@ def matched_windows(
     return verified_pairs(pairs, length, mismatches, masks).select(*keys, "query", "window", "mismatches")
 
 
-def searched_lengths(sequences: DataFrame, sequence: Column, lengths: list[int] | None) -> list[int]:
+def searched_lengths(sequences: DataFrame, sequence: Column, lengths: list[int] | None, mismatches: int) -> list[int]:
     """The lengths to search: by default those of the sequences; given ones must list them all, so that none is lost."""
+    if mismatches < 0:
+        raise ValueError("mismatches must not be negative")
     found = sequences.select(F.length(sequence).alias("n")).where("n > 0").distinct().collect()
     found = sorted(row.n for row in found)
+    if found and found[0] <= mismatches:
+        raise ValueError(f"{mismatches} mismatches leave nothing of a sequence of {found[0]} bases")
     if lengths is None:
-        return found or [1]
+        return found or [mismatches + 1]
     unlisted = sorted(set(found) - set(lengths))
     if unlisted:
         raise ValueError(f"sequences of lengths {unlisted} would be lost, only {sorted(lengths)} are searched")
     return lengths
 
 
-def hamming_matches(
-    queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int] | None = None, key_bases: int = KEY_BASES
+# Lengths of the seeds that are searched. A longer query is found by the first bases of it, a shorter one by all of them.
+SEEDS = (24, 16, 12, 8)
+
+
+def seed_length(length: int) -> int:
+    return next((n for n in SEEDS if n <= length), length)
+
+
+def refused(condition: Column, name: Column | str, message: str, value: Column) -> Column:
+    """`value`, or an error that names the row."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.when(condition, F.raise_error(F.concat(name.cast("string"), F.lit(f": {message}"))).cast("string")).otherwise(value)
+
+
+def checked_query(sequence: Column, name: Column | str) -> Column:
+    only = F.coalesce((sequence != "") & (F.translate(sequence, "ACGT", "") == ""), F.lit(False))
+    return refused(~only, name, "must contain only A/C/G/T", sequence)
+
+
+def checked_targets(targets: DataFrame, keys: list[str] = []) -> DataFrame:
+    """Targets with normalised sequences; a repeated id raises ValueError now, a letter outside ACGTN when its row is read."""
+    repeated = duplicate_targets(targets, keys).first()
+    if repeated is not None:
+        raise ValueError(f"repeated target id: {repeated['target_id']}")
+    sequence = normalize_dna("target_sequence")
+    only = F.coalesce((sequence != "") & (F.translate(sequence, "ACGTN", "") == ""), F.lit(False))
+    return targets.select(*keys, "target_id", refused(~only, "target_id", "must contain only A/C/G/T/N", sequence).alias("target_sequence"))
+
+
+def differing_bases(left: Column, right: Column, longest: int) -> Column:
+    """Places where two texts of equal length differ; a letter of `right` outside ACGT differs from all."""
+    ones = sum(1 << (3 * k) for k in range(CHUNK))
+    total = F.lit(0)
+    for at in range(0, longest, CHUNK):
+        piece = lambda text, other: F.coalesce(F.conv(digits_of(F.substring(text, at + 1, CHUNK), other), 8, 10).cast("long"), F.lit(0))
+        d = piece(left, "5").bitwiseXOR(piece(right, "4"))
+        total = total + F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(ones)))
+    return total
+
+
+def placed_matches(
+    strands: DataFrame, targets: DataFrame, lengths: list[int], mismatches: int, flank: int, keys: list[str], key_bases: int
 ) -> DataFrame:
-    """All ungapped placements of `queries(query)` in `targets(target_id, target_sequence)`; `lengths` as in `spacer_hits`."""
-    lengths = searched_lengths(queries, F.col("query"), lengths)
+    """(columns of strands, target_id, start, at, window, mismatches, tile_text) of all placements of `query` in the targets.
+
+    Queries that share a seed length are searched together: the targets are read once per seed length (at most
+    eleven, mostly one or two), whatever the number of query lengths, and the rest of a longer query is compared where its seed fits.
+    """
+    tile_rows = tiles(targets, max(lengths), flank, keys)
+    place = ["target_id", "tile_start"]
     parts = []
-    for length in lengths:
-        fitting = queries.where(F.length("query") == length)
-        placed = windows(targets.select("target_id", "target_sequence"), length)
-        hits = matched_windows(fitting, placed, length, mismatches, key_bases)
-        parts.append(placed.select("target_id", "start", "window").join(hits, "window"))
+    for seed in sorted({seed_length(n) for n in lengths}):
+        members = [n for n in lengths if seed_length(n) == seed]
+        fitting = strands.where(F.length("query").isin(members)).withColumn("full", F.col("query")).withColumn("query", F.substring("full", 1, seed))
+        window_rows = windows(tile_rows, seed)
+        if at_most(fitting, MAX_COPIED_QUERIES):
+            found = _scan_windows(fitting, window_rows, seed, mismatches, keys, key_bases).drop("window")
+        else:
+            # Windows meet their pairs without their tile, which is fetched for the hits alone.
+            slim = window_rows.select(*keys, *place, "at", "window")
+            pairs = matched_windows(fitting, slim, seed, mismatches, key_bases, keys)
+            found = slim.join(pairs.join(fitting, [*keys, "query"]), [*keys, "window"]).drop("window").join(tile_rows, [*keys, *place])
+        found = found.withColumn("window", F.substring(F.col("tile_text"), F.col("at") + 1, F.length("full"))).where(F.length("window") == F.length("full"))
+        if members != [seed]:
+            found = found.withColumn("mismatches", differing_bases(F.col("full"), F.col("window"), max(members))).where(F.col("mismatches") <= mismatches)
+        parts.append(found.withColumn("start", F.col("tile_start") + F.col("at") - F.col("lead")).drop("query", "owned", "lead", "tile_start").withColumnRenamed("full", "query"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def hamming_matches(
+    queries: DataFrame, targets: DataFrame, mismatches: int, lengths: list[int] | None = None, key_bases: int = KEY_BASES
+) -> DataFrame:
+    """All ungapped placements (target_id, start, window, query, mismatches) of `queries(query)` in `targets(target_id, target_sequence)`."""
+    lengths = searched_lengths(queries, F.col("query"), lengths, mismatches)
+    rows = queries.select(checked_query(F.col("query"), "query").alias("query")).distinct()
+    found = placed_matches(rows, targets.select("target_id", "target_sequence"), lengths, mismatches, 0, [], key_bases)
+    return found.select("target_id", "start", "window", "query", "mismatches")
+
+
 def first_spacers(spacers: DataFrame, keys: list[str] = []) -> DataFrame:
     """One row per distinct sequence with its first id; first = lowest `spacer_order`, else lowest id."""
     order = "spacer_order" if "spacer_order" in spacers.columns else "spacer_id"
     return (
-        spacers.withColumn("spacer_sequence", normalize_dna("spacer_sequence"))
+        spacers.withColumn("spacer_sequence", checked_query(normalize_dna("spacer_sequence"), "spacer_id"))
         .groupBy(*keys, "spacer_sequence")
         .agg(F.min_by("spacer_id", order).alias("spacer_id"))
     )
@@ -178,15 +270,18 @@ def spacer_hits(
     keys: list[str] = [],
     key_bases: int = KEY_BASES,
 ) -> DataFrame:
-    """Both-strand placements of spacers in targets with flanks turned to the spacer's strand.
+    """Both-strand placements of spacers in targets, of any length, with flanks turned to the spacer's strand.
 
     spacers: (keys, spacer_id, spacer_sequence[, spacer_order]); targets: (keys,
     target_id, target_sequence). `lengths` are the spacer lengths to search,
     by default all that the spacers have; a spacer of a length not listed raises ValueError. `keys` are
     the columns within which spacers and targets belong together. A palindromic
-    spacer is reported on both strands at weight 0.5 each.
+    spacer is reported on both strands at weight 0.5 each. Refused with an error: spacer letters outside ACGT, target letters
+    outside ACGTN, empty sequences, repeated target ids within their keys.
     """
-    lengths = searched_lengths(spacers, normalize_dna("spacer_sequence"), lengths)
+    if flank_length <= 0:
+        raise ValueError("flank_length must be positive")
+    lengths = searched_lengths(spacers, normalize_dna("spacer_sequence"), lengths, mismatches)
     spacers = first_spacers(spacers, keys)
     turned = reverse_complement("spacer_sequence")
     strands = spacers.withColumn(
@@ -198,29 +293,11 @@ def spacer_hits(
             F.struct(F.lit("-").alias("strand"), turned.alias("query")),
         )),
     ).select(*keys, "spacer_id", "spacer_sequence", "orientation_weight", "side.*")
-    targets = targets.select(*keys, "target_id", normalize_dna("target_sequence").alias("target_sequence"))
-    parts = [_placed_hits(strands, targets, mismatches, flank_length, n, keys, key_bases) for n in lengths]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return hits
-
-
-# Distinct spacer strands that may be copied to every executor: some 200 bytes each with their keys.
-MAX_COPIED_QUERIES = 200_000
-
-
-def _placed_hits(strands, targets, mismatches, flank_length, length, keys, key_bases) -> DataFrame:
-    fitting = strands.where(F.length("query") == length)
-    window_rows = windows(targets, length)
-    if at_most(fitting, MAX_COPIED_QUERIES):
-        found = _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases)
-    else:
-        pairs = matched_windows(fitting, window_rows, length, mismatches, key_bases, keys)
-        found = window_rows.join(pairs.join(fitting, [*keys, "query"]), [*keys, "window"])
+    found = placed_matches(strands, checked_targets(targets, keys), lengths, mismatches, flank_length, keys, key_bases)
+    length = F.length("query")
     plus = F.col("strand") == "+"
-    left = F.expr(f"substring(target_sequence, greatest(start - {flank_length}, 0) + 1, least(start, {flank_length}))")
-    right = F.expr(f"substring(target_sequence, start + {length} + 1, {flank_length})")
+    left = F.expr(f"substring(tile_text, greatest(at - {flank_length}, 0) + 1, least(at, {flank_length}))")
+    right = F.substring(F.col("tile_text"), F.col("at") + length + 1, F.lit(flank_length))
     return found.select(
         *keys,
         "spacer_id",
@@ -237,6 +314,10 @@ def _placed_hits(strands, targets, mismatches, flank_length, length, keys, key_b
     )
 
 
+# Distinct spacer strands that may be copied to every executor: some 200 bytes each with their keys.
+MAX_COPIED_QUERIES = 200_000
+
+
 def _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases) -> DataFrame:
     """Few queries (counted): their keys go to every executor and the targets are read once, unshuffled."""
     masks = block_masks(length, mismatches, key_bases)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,42 +128,97 @@ def bootstrap_picks(iterations: int) -> tuple[int, int]:
     return low + 1, high + 1
 
 
-def hashed_draws(seed: int, block: Column, draw: Column, size: Column) -> Column:
-    """Four draws in 0..size-1 from one digest of (seed, block, draw): the same on every engine and any partitioning."""
-    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), block.cast("string"), draw.cast("string")))
-    return F.array(*[F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % size for at in (1, 9, 17, 25)])
+# Values of one block, and draws that one task deals to the blocks.
+BLOCK = 1 << 16
+DEALT = 1 << 18
+# Draws that a task holds at once, and resamples that one task makes of a block.
+HELD = 1 << 20
+RESAMPLES = 250
 
 
-def resampled(placed: DataFrame, sizes: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
-    """(keys, iteration, place): every draw of every resample as a row."""
-    draws = placed.join(sizes, keys) if keys else placed.withColumn("size", sizes.select("size").scalar())
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((iterations + 3) // 4 - 1)))
-    drawn = draws.select(*keys, "size", F.col("place").alias("draw"), blocks.alias("block")).select(
-        *keys, "block", F.posexplode(hashed_draws(seed, F.col("block"), F.col("draw"), F.col("size"))).alias("slot", "place")
-    )
-    return drawn.select(*keys, (F.col("block") * 4 + F.col("slot")).alias("iteration"), "place").where(F.col("iteration") < iterations)
+def hashed_numbers(prefix: str, count: int) -> np.ndarray:
+    """Numbers below 2^60, two per digest of `prefix` and a counter: the same on every engine and any partitioning."""
+    start = md5(prefix.encode())
+    digests = []
+    for n in range((count + 1) // 2):
+        one = start.copy()
+        one.update(str(n).encode())
+        digests.append(one.digest())
+    return (np.frombuffer(b"".join(digests), ">u8")[:count] >> np.uint64(4)).astype(np.int64)
 
 
-# Resampled values that may be copied to every executor (some 50 bytes each).
-MAX_COPIED_VALUES = 1_000_000
+def dealt_draws(placed: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
+    """(keys, block, run, size, counts): how many draws of each resample of a run fall into a block of values, per range of draws.
 
+    Draw `j` of a resample belongs to the block of place number(seed-iteration-range, j) modulo size. A task counts the
+    draws of one range into arrays, one per block; no draw is a row.
+    """
+    def deal(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                *key, size, at = row
+                blocks, draws = -(-size // BLOCK), min(DEALT, size - at * DEALT)
+                counts = np.zeros((blocks, iterations), np.int64)
+                if blocks == 1:
+                    counts[0] = draws
+                else:
+                    for i in range(iterations):
+                        counts[:, i] = np.bincount(hashed_numbers(f"{seed}-{i}-{at}-", draws) % size // BLOCK, minlength=blocks)
+                for block in range(blocks):
+                    yield pd.DataFrame([[*key, block, run, size, counts[block, run * RESAMPLES:(run + 1) * RESAMPLES]] for run in range(runs)], columns=names)
+
+    runs = -(-iterations // RESAMPLES)
+    names = [*keys, "block", "run", "size", "counts"]
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    ranges = sizes.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / DEALT) - 1)))
+    ranges = ranges.repartition(*[*keys, "_range"])
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["block bigint", "run int", "size bigint", "counts array<bigint>"])
+    return ranges.select(*keys, "size", "_range").mapInPandas(deal, schema)
 
-def drawn_values(drawn: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
-    """The values at the drawn places with `times`; few values are copied to the draws, many are met after counting."""
-    if at_most(placed, MAX_COPIED_VALUES):
-        return drawn.join(F.broadcast(placed), [*keys, "place"]).withColumn("times", F.lit(1))
-    counted = drawn.groupBy(*keys, "iteration", "place").agg(F.count(F.lit(1)).alias("times"))
-    return counted.join(placed, [*keys, "place"])
+
+def resample_sums(placed: DataFrame, values: list[str], keys: list[str], iterations: int, seed: int) -> DataFrame:
+    """(keys, iteration, size, one sum per value) of bootstrap resamples of the rows (keys, place, values).
+
+    A resample draws as many rows as its key has. Its draws are first dealt to blocks of BLOCK places (an exact
+    multinomial split), then drawn inside each block where its values lie: draw `r` there is place
+    number(seed-iteration-block, r) modulo the block's size. A task makes one run of resamples of one block and gives one
+    array of partial sums per value; its memory depends on the block and the run, not on the number of draws.
+    """
+    def draw(key, left, right):
+        if not len(left):
+            return pd.DataFrame(columns=names)
+        block, run = int(key[-2]), int(key[-1])
+        left = left.sort_values("place")
+        columns = [left[v].to_numpy(dtype=float) for v in values]
+        counts = np.stack(right["counts"].to_numpy()).sum(axis=0)
+        sums = np.zeros((len(values), len(counts)))
+        for i in range(len(counts)):
+            for first in range(0, counts[i], HELD):
+                n = min(HELD, counts[i] - first)
+                place = hashed_numbers(f"{seed}-{run * RESAMPLES + i}-{block}-{first // HELD}-", n) % len(left)
+                for v, column in enumerate(columns):
+                    sums[v, i] += column[place].sum()
+        return pd.DataFrame([[*key[:-2], run, int(right["size"].iloc[0]), *sums]], columns=names)
+
+    names = [*keys, "run", "size", *values]
+    runs = F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // RESAMPLES) - 1)))
+    rows = placed.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long")).withColumn("run", runs)
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["run int", "size bigint"] + [f"`{v}` array<double>" for v in values])
+    group = [*keys, "block", "run"]
+    parts = rows.groupBy(*group).cogroup(dealt_draws(placed, keys, iterations, seed).groupBy(*group)).applyInPandas(draw, schema)
+    spread_out = parts.select(*keys, "run", "size", F.posexplode(F.arrays_zip(*values)).alias("_at", "_sums"))
+    spread_out = spread_out.withColumn("iteration", F.col("run") * RESAMPLES + F.col("_at"))
+    return spread_out.groupBy(*keys, "iteration", "size").agg(*[F.sum(f"_sums.{v}").alias(v) for v in values])
 
 
 def bootstrap_mean_interval(
     values: DataFrame, *, value: str, identity: list[str], keys: list[str] = [], iterations: int = 2000, seed: int = 17
 ) -> DataFrame:
-    """Bootstrap interval of the mean per key with digest-driven draws; resampling is one join and one aggregate."""
+    """Bootstrap interval of the mean per key, from digest-driven draws that are summed where the values lie."""
     placed = materialize(dense_position(values.where(F.col(value).isNotNull()), identity, keys, "place").select(*keys, "place", value))
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    drawn = drawn_values(resampled(placed, sizes, keys, iterations, seed), placed, keys)
-    means = drawn.groupBy(*keys, "iteration").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    means = resample_sums(placed, [value], keys, iterations, seed).withColumn("mean", F.col(value) / F.col("size"))
     low, high = bootstrap_picks(iterations)
     # One row per resample and key.
     ranked = means.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "iteration")))
@@ -170,13 +229,10 @@ def bootstrap_mean_interval(
 def cluster_bootstrap_ratio(items: DataFrame, *, cluster: str, value: str, iterations: int = 2000, seed: int = 20260927) -> DataFrame:
     """Component bootstrap: resample clusters, ratio of sums, 2.5 and 97.5 percent quantiles."""
     sums = items.where(F.col(value).isNotNull()).groupBy(cluster).agg(
-        F.sum(value).alias("total"), F.count(F.lit(1)).alias("items")
+        F.sum(value).cast("double").alias("total"), F.count(F.lit(1)).cast("double").alias("items")
     )
     placed = materialize(dense_position(sums, [cluster], [], "place").select("place", "total", "items"))
-    drawn = drawn_values(resampled(placed, placed.agg(F.count(F.lit(1)).alias("size")), [], iterations, seed), placed, [])
-    ratios = drawn.groupBy("iteration").agg(
-        (F.sum(F.col("total") * F.col("times")) / F.sum(F.col("items") * F.col("times"))).alias("ratio")
-    )
+    ratios = resample_sums(placed, ["total", "items"], [], iterations, seed).withColumn("ratio", F.col("total") / F.col("items"))
     return ratios.agg(
         F.percentile("ratio", F.lit(0.025)).alias("ci_low"), F.percentile("ratio", F.lit(0.975)).alias("ci_high")
     )

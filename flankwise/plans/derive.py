@@ -68,6 +68,32 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Letters of a text read as bases; three rare ones are unknown bases.
+TEXT_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+TEXT_BASES = "ACGTACGTACGTACGTNCGTACGNAN"
+
+
+def text_bases(text: Column) -> Column:
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), TEXT_LETTERS, TEXT_BASES)
+
+
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts as sequences of any length; texts without letters are none."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("doc_id").alias("target_id"), text_bases(F.col("text")).alias("target_sequence")).where("target_sequence <> ''")
+
+
+def passage_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spacer of 20 to 32 bases from each benchmark passage; some with one base changed, some turned to the other strand."""
+    i = F.col("item_id")
+    bases = F.translate(text_bases(F.col("text")), "N", "A")
+    core = F.substring(bases, (F.lit(5) + i % 11).cast("int"), (F.lit(20) + i % 13).cast("int"))
+    changed = F.concat(F.substring(core, 1, 14), F.translate(F.substring(core, 15, 1), "ACGT", "CGTA"), F.substring(core, 16, 100))
+    core = F.when(i % 3 == 1, changed).otherwise(core)
+    rows = table(spark, sf_dir, "benchmark").where(F.length(bases) >= 48)
+    return rows.select(i.alias("spacer_id"), F.when(i % 4 == 2, reverse_complement(core)).otherwise(core).alias("spacer_sequence"))
+
+
 def system_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         integer_divide(F.col("s_suppkey"), SUPPLIERS_PER_SYSTEM).alias("system_id")
@@ -163,6 +189,32 @@ def sql_hits(mismatches: int = 1, spacer_expr: str = "spacer_sequence") -> str:
       from raw_hits)"""
 
 
+def sql_text_bases(text: str) -> str:
+    return f"translate(lower(regexp_replace({text}, '[^A-Za-z]', '', 'g')), '{TEXT_LETTERS}', '{TEXT_BASES}')"
+
+
+def sql_contig_hits() -> str:
+    """Every spacer strand against every place where its first or its last ten bases stand: with one mismatch one of them is exact."""
+    f, rc = FLANK_LENGTH, SQL["revcomp"]
+    return f"""contigs as (select doc_id as target_id, {sql_text_bases('text')} as t from documents where {sql_text_bases('text')} <> ''),
+    cores as (select item_id as spacer_id, substr(translate({sql_text_bases('text')}, 'N', 'A'), cast(5 + item_id % 11 as int), cast(20 + item_id % 13 as int)) as c
+      from benchmark where length({sql_text_bases('text')}) >= 48),
+    changed as (select spacer_id, case when spacer_id % 3 = 1 then substr(c, 1, 14) || translate(substr(c, 15, 1), 'ACGT', 'CGTA') || substr(c, 16) else c end as c from cores),
+    firsts as (select s as spacer_sequence, min(spacer_id) as spacer_id from (select spacer_id, case when spacer_id % 4 = 2 then {rc('c')} else c end as s from changed) group by s),
+    strands as (select *, '+' as strand, spacer_sequence as q from firsts union all select *, '-', {rc('spacer_sequence')} from firsts),
+    seeds as (select *, substr(q, 1, 10) as gram, 0 as shift from strands union all select *, substr(q, length(q) - 9, 10), length(q) - 10 from strands),
+    places as (select target_id, t, unnest(range(0, length(t) - 9)) as at from contigs),
+    found as (select distinct s.spacer_id, s.spacer_sequence, s.strand, s.q, p.target_id, p.t, p.at - s.shift as start
+      from places p join seeds s on substr(p.t, cast(p.at + 1 as int), 10) = s.gram where p.at >= s.shift and p.at - s.shift + length(s.q) <= length(p.t)),
+    wins as (select *, length(q) as n, substr(t, cast(start + 1 as int), length(q)) as win from found),
+    raw_hits as (select *, hamming(q, win) as mm from wins where hamming(q, win) <= 1),
+    hits as (select spacer_id, spacer_sequence, target_id, cast(start as bigint) as start, cast(start + n as bigint) as "end", strand, cast(mm as bigint) as mismatches,
+      case when strand = '+' then win else {rc('win')} end as protospacer,
+      case when strand = '+' then substr(t, cast(greatest(start - {f}, 0) + 1 as int), cast(least(start, {f}) as int)) else {rc(f'substr(t, cast(start + n + 1 as int), {f})')} end as upstream_flank,
+      case when strand = '+' then substr(t, cast(start + n + 1 as int), {f}) else {rc(f'substr(t, cast(greatest(start - {f}, 0) + 1 as int), cast(least(start, {f}) as int))')} end as downstream_flank,
+      case when {rc('spacer_sequence')} = spacer_sequence then 0.5::double else 1.0::double end as orientation_weight from raw_hits)"""
+
+
 def sql_flanks() -> str:
     lengths = ", ".join(str(n) for n in LENGTHS)
     return f"""flanks as (select system_id, spacer_sequence, target_id, orientation_weight, n as motif_length,

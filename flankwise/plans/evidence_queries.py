@@ -87,6 +87,12 @@ def q_spacer_hits_two(spark, sf_dir):
     return hits_of(spark, sf_dir, 2).groupBy("system_id", "spacer_id", "strand", "mismatches").agg(F.count(F.lit(1)).alias("n"))
 
 
+@registry.add("contig_hits", d.with_ctes(d.sql_contig_hits(), final="select * from hits"))
+def q_contig_hits(spark, sf_dir):
+    """Spacers of many lengths on whole texts as contigs, in overlapping tiles."""
+    return spacer_hits(d.passage_spacers(spark, sf_dir), d.contigs(spark, sf_dir), mismatches=1, flank_length=d.FLANK_LENGTH)
+
+
 @registry.add("flank_motifs", d.with_ctes(
     *SQL_HITS, d.sql_flanks(),
     final="select system_id, motif_length as pam_length, motif, count(*) as n from flanks group by all",

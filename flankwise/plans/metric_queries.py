@@ -80,35 +80,42 @@ def q_paired_delta(spark, sf_dir):
     return rows.select("comparison", "n", d.micro(F.col("mean_mrr_delta")).alias("mean_micro"))
 
 
-BOOT = 200
+# Each draw of each of the 2,000 resamples as a row: dealt to a block of 65,536 places, then to a place of the block.
+def sql_draws(seed: int, key: str, iterations: int = 2000) -> str:
+    number = lambda text, n: f"('0x' || substr(md5({text} || cast({n} // 2 as varchar)), cast(1 + 16 * ({n} % 2) as int), 15))::bigint"
+    return f"""dealt as (select {key} as k, it, place as j, size, case when size <= 65536 then 0
+        else {number(f"'{seed}-' || it || '-' || place // 262144 || '-'", "(place % 262144)")} % size // 65536 end as block
+      from placed, (select unnest(range(0, {iterations})) as it)),
+    numbered as (select *, row_number() over (partition by k, it, block order by j) - 1 as r from dealt),
+    draws as (select k, it, block * 65536 + {number(f"'{seed}-' || it || '-' || block || '-' || r // 1048576 || '-'", "(r % 1048576)")} % least(65536, size - block * 65536) as place from numbered)"""
 
 
 @registry.add("bootstrap_ci_hashed", d.with_ctes(
     SQL_METHODS, SQL_DELTAS,
     """placed as (select *, row_number() over (partition by comparison order by substr(md5(cast(system_id as varchar)), 1, 3), system_id) - 1 as place,
-      count(*) over (partition by comparison) as size from deltas),
-    draws as (select comparison, it, ('0x' || substr(md5('17-' || cast(it // 4 as varchar) || '-' || cast(place as varchar)), cast(1 + 8 * (it % 4) as int), 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
-    means as (select comparison, it, avg(delta) as m from draws join placed using (comparison, place) group by all),
+      count(*) over (partition by comparison) as size from deltas)""",
+    sql_draws(17, "comparison"),
+    """means as (select comparison, it, avg(delta) as m from draws d join placed p on p.comparison = d.k and p.place = d.place group by all),
     ordered as (select *, row_number() over (partition by comparison order by m, it) as n from means)""",
-    final=f"""select comparison, {MICRO('max(m) filter (where n = 5)')} as low_micro, {MICRO('max(m) filter (where n = 196)')} as high_micro from ordered group by comparison""",
+    final=f"""select comparison, {MICRO('max(m) filter (where n = 50)')} as low_micro, {MICRO('max(m) filter (where n = 1951)')} as high_micro from ordered group by comparison""",
 ))
 def q_bootstrap(spark, sf_dir):
     deltas = me.paired_deltas(order_methods(spark, sf_dir))
-    rows = me.bootstrap_mean_interval(deltas, value="mrr_delta", identity=["system_id"], keys=["comparison"], iterations=BOOT)
+    rows = me.bootstrap_mean_interval(deltas, value="mrr_delta", identity=["system_id"], keys=["comparison"])
     return rows.select("comparison", d.micro(F.col("ci_low")).alias("low_micro"), d.micro(F.col("ci_high")).alias("high_micro"))
 
 
 @registry.add("cluster_bootstrap", d.with_ctes(
     SQL_METHODS, SQL_DELTAS,
     """clusters as (select system_id // 10 as cluster, sum(delta) as total, count(*) as items from deltas group by all),
-    placed as (select *, row_number() over (order by substr(md5(cast(cluster as varchar)), 1, 3), cluster) - 1 as place, count(*) over () as size from clusters),
-    draws as (select it, ('0x' || substr(md5('20260927-' || cast(it // 4 as varchar) || '-' || cast(place as varchar)), cast(1 + 8 * (it % 4) as int), 8))::bigint % size as place from placed, (select unnest(range(0, 200)) as it)),
-    ratios as (select it, sum(total) / sum(items) as ratio from draws join placed using (place) group by it)""",
+    placed as (select *, row_number() over (order by substr(md5(cast(cluster as varchar)), 1, 3), cluster) - 1 as place, count(*) over () as size from clusters)""",
+    sql_draws(20260927, "0"),
+    "ratios as (select it, sum(total) / sum(items) as ratio from draws join placed using (place) group by it)",
     final=f"select {MICRO('quantile_cont(ratio, 0.025)')} as low_micro, {MICRO('quantile_cont(ratio, 0.975)')} as high_micro from ratios",
 ))
 def q_cluster_bootstrap(spark, sf_dir):
     deltas = me.paired_deltas(order_methods(spark, sf_dir)).withColumn("cluster", d.integer_divide(F.col("system_id"), 10))
-    rows = me.cluster_bootstrap_ratio(deltas, cluster="cluster", value="mrr_delta", iterations=BOOT)
+    rows = me.cluster_bootstrap_ratio(deltas, cluster="cluster", value="mrr_delta")
     return rows.select(d.micro(F.col("ci_low")).alias("low_micro"), d.micro(F.col("ci_high")).alias("high_micro"))
 
 

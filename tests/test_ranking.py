@@ -179,15 +179,124 @@ def test_candidates(spark):
         ca.concrete_candidates(spark.createDataFrame([("x", [9])], "system_id string, pam_lengths array<int>")).collect()
 
 
-@pytest.mark.parametrize("copied", [1_000_000, 0])
-def test_bootstrap_matches_plain_python(spark, monkeypatch, copied):
-    monkeypatch.setattr(me, "MAX_COPIED_VALUES", copied)
+def plain_resamples(values, seed, iterations, block, dealt, held):
+    """Sums of each resample of values in place order, every draw by itself."""
     from hashlib import md5
 
-    values = [0.1, 0.4, 0.9, 0.3, 0.7]
-    rows = spark.createDataFrame(list(enumerate(values)), "id long, v double")
-    got = me.bootstrap_mean_interval(rows, value="v", identity=["id"], iterations=100, seed=3).first()
-    order = sorted(range(5), key=lambda i: (md5(str(i).encode()).hexdigest()[:3], i))
-    index = lambda it, j: int(md5(f"3-{it // 4}-{j}".encode()).hexdigest()[it % 4 * 8:it % 4 * 8 + 8], 16) % 5
-    means = sorted(sum(values[order[index(it, j)]] for j in range(5)) / 5 for it in range(100))
-    assert isclose(got.ci_low, means[1]) and isclose(got.ci_high, means[97])
+    def number(prefix, n):
+        return int(md5(f"{prefix}{n // 2}".encode()).hexdigest()[16 * (n % 2):16 * (n % 2) + 15], 16)
+
+    n, sums = len(values), []
+    for i in range(iterations):
+        counts = [0] * -(-n // block)
+        for j in range(n):
+            counts[number(f"{seed}-{i}-{j // dealt}-", j % dealt) % n // block if len(counts) > 1 else 0] += 1
+        sums.append(sum(
+            values[b * block + number(f"{seed}-{i}-{b}-{r // held}-", r % held) % min(block, n - b * block)]
+            for b, count in enumerate(counts) for r in range(count)))
+    return sums
+
+
+@pytest.mark.parametrize("n,block,dealt,held,resamples", [(5, 1 << 16, 1 << 18, 1 << 20, 250), (47, 10, 16, 6, 30), (40, 8, 4, 100, 7)])
+def test_bootstrap_matches_plain_python(spark, monkeypatch, n, block, dealt, held, resamples):
+    from hashlib import md5
+
+    for name, value in (("BLOCK", block), ("DEALT", dealt), ("HELD", held), ("RESAMPLES", resamples)):
+        monkeypatch.setattr(me, name, value)
+    rng = Random(n)
+    values = [rng.random() for _ in range(n)]
+    rows = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)] + [("other", i, 1.0) for i in range(3)] + [("k", 99, None)], "key string, id long, v double")
+    got = {r.key: r for r in me.bootstrap_mean_interval(rows, value="v", identity=["id"], keys=["key"], iterations=100, seed=3).collect()}
+    order = sorted(range(n), key=lambda i: (md5(str(i).encode()).hexdigest()[:3], i))
+    means = sorted(s / n for s in plain_resamples([values[i] for i in order], 3, 100, block, dealt, held))
+    assert isclose(got["k"].ci_low, means[1]) and isclose(got["k"].ci_high, means[97])
+    assert (got["other"].ci_low, got["other"].ci_high) == (1.0, 1.0)
+
+
+def test_bootstrap_counts_are_a_multinomial(spark, monkeypatch):
+    monkeypatch.setattr(me, "BLOCK", 50)
+    monkeypatch.setattr(me, "DEALT", 64)
+    placed = spark.range(500).select(F.col("id").alias("place"), F.lit(1.0).alias("v"))
+    dealt = me.dealt_draws(placed, [], 300, 9).collect()
+    counts = {}
+    for r in dealt:
+        for i, c in enumerate(r["counts"]):
+            counts[r.run * me.RESAMPLES + i, r.block] = counts.get((r.run * me.RESAMPLES + i, r.block), 0) + c
+    by_iteration = [[counts[i, b] for b in range(10)] for i in range(300)]
+    assert all(sum(row) == 500 for row in by_iteration)
+    ones = [row[0] for row in by_iteration]
+    mean = sum(ones) / 300
+    assert abs(mean - 50) < 2 and 30 < sum((x - mean) ** 2 for x in ones) / 299 < 62
+    assert {r.v for r in me.resample_sums(placed, ["v"], [], 300, 9).collect()} == {500.0}
+
+
+@pytest.mark.parametrize("levels", [(0.0,), (0.5, 0.2, 0.0), (0.9, 0.0)])
+def test_top_neighbours_need_no_minimum(spark, levels):
+    from flankwise.operators import similarity as si
+
+    rng = Random(4)
+    base = ["".join(rng.choice("ACDEFGHIK") for _ in range(30)) for _ in range(12)]
+    words = base + [w[:15] + "".join(rng.choice("ACDEFGHIK") for _ in range(15)) for w in base] + [base[0][:20] + "WWWWWWWWWW", "LLLLLLLL", "MM"]
+    words += [base[1], base[1]]
+    grams = lambda t: {t[i:i + 4] for i in range(len(t) - 3)} if len(t) >= 4 else {t}
+    sim = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    table = lambda rows: spark.createDataFrame([(w, rows.count(w)) for w in sorted(set(rows))], "sequence string, copies long")
+    queries = words[5:20] + words[-5:-2] + ["WWWWKKKKLL", "QQQQQ"]
+    got = {r.query: r.mean_similarity for r in si.mean_top_similarity(table(queries), table(words), top=5, levels=levels).collect()}
+    for query in set(queries):
+        best = sorted((sim(query, w) for w in words if grams(query) & grams(w)), reverse=True)[:5]
+        assert isclose(got[query], sum(best) / len(best) if best else 0.0, abs_tol=1e-12), query
+    proteins = spark.createDataFrame([(i, w, w[0]) for i, w in enumerate(words)], "protein_id long, sequence string, pam string")
+    partner = {r.protein_id: (r.partner_id, r.similarity) for r in si.nearest_partner(proteins, levels=levels).collect()}
+    for i, w in enumerate(words):
+        others = [(-sim(w, o), j) for j, o in enumerate(words) if j != i and grams(w) & grams(o)]
+        if others:
+            score, j = min(others)
+            assert isclose(partner[i][1], -score) and partner[i][0] == j, i
+        else:
+            assert i not in partner
+
+
+@pytest.mark.parametrize("k,copied,tile", [(0, True, 40), (1, False, 40), (2, True, 64)])
+def test_hits_on_tile_borders_equal_brute_force(spark, monkeypatch, k, copied, tile):
+    monkeypatch.setattr(ma, "TILE", tile)
+    if not copied:
+        monkeypatch.setattr(ma, "MAX_COPIED_QUERIES", 0)
+    rng = Random(tile + k)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets = [(f"t{i}", dna(rng.randint(1, 400))) for i in range(6)] + [("poly", "A" * 130), ("n", dna(70) + "N" + dna(70)), ("edge", dna(tile)), ("two", dna(2 * tile))]
+    texts = dict(targets)
+    spacers = []
+    for n in (7, 9, 12, 19, 25, 33):
+        for name in ("t1", "n", "two"):
+            for at in range(0, max(1, len(texts[name]) - n), 17):
+                core = list(texts[name][at:at + n].replace("N", "A"))
+                if k:
+                    core[rng.randrange(n)] = rng.choice("ACGT")
+                spacers.append((f"s{len(spacers):03}", "".join(core) if at % 2 else revcomp("".join(core))))
+    spacers = [s for s in spacers if len(s[1]) > k] + [("poly", "A" * 30)]
+    hits = ma.spacer_hits(
+        spark.createDataFrame(spacers, "spacer_id string, spacer_sequence string"), spark.createDataFrame(targets, "target_id string, target_sequence string"),
+        mismatches=k, flank_length=5).collect()
+    got = [(r.spacer_id, r.target_id, r.start, r.strand, r.mismatches, r.upstream_flank, r.downstream_flank) for r in hits]
+    assert len(got) == len(set(got)) and set(got) == brute_hits(spacers, targets, k, 5)
+
+
+def test_hit_search_refuses_bad_input(spark):
+    spacers = lambda *s: spark.createDataFrame(list(enumerate(s)), "spacer_id int, spacer_sequence string")
+    targets = lambda *t: spark.createDataFrame(list(t), "target_id string, target_sequence string")
+    search = lambda s, t, **given: ma.spacer_hits(s, t, **{"mismatches": 0, "flank_length": 3, **given}).collect()
+    good = targets(("a", "ACGTNACGT"))
+    assert len(search(spacers("acgu", "ACGT "), good)) == 4
+    for bad in ("ACRT", "", "AC-T"):
+        with pytest.raises(Exception, match="must contain only A/C/G/T"):
+            search(spacers(bad, "ACGT"), good)
+    for bad in ("ACGTR", "", None):
+        with pytest.raises(Exception, match="must contain only A/C/G/T/N"):
+            search(spacers("ACGT"), targets(("a", bad), ("b", "ACGT")))
+    with pytest.raises(ValueError, match="repeated target id: a"):
+        search(spacers("ACGT"), targets(("a", "ACGT"), ("b", "ACG"), ("a", "TTT")))
+    with pytest.raises(ValueError, match="flank_length"):
+        search(spacers("ACGT"), good, flank_length=0)
+    with pytest.raises(ValueError, match="4 mismatches"):
+        search(spacers("ACGT"), good, mismatches=4)
