@@ -106,12 +106,10 @@ FILTER_BITS = 1 << 24
 
 
 def row_key(doc: str, text: str | Column) -> Column:
-    """Names a row by its id and its bytes; rows of equal key are repeats of each other."""
-    return F.xxhash64(F.col(doc), text_or_empty(text))
+    """Names a row by 128 bits of the SHA-256 of its id and its text; rows of equal key are repeats of each other.
 
-
-def row_digest(doc: str, text: str | Column) -> Column:
-    """Names a row by 128 bits of the SHA-256 of its id and its text; null text is empty, a null id is no other id."""
+    Null text is empty, a null id is no other id.
+    """
     named = F.when(F.col(doc).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(doc).cast("string")))
     return F.unhex(F.substring(F.sha2(F.concat(named, F.lit("\n"), text_or_empty(text)), 256), 1, 32))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_position
-from .common import row_digest, small_batches, stored, term_bytes, terms, text_or_empty, tidy
+from .common import row_key, small_batches, stored, term_bytes, terms, text_or_empty, tidy
 
 LETTERS = term_bytes(string.ascii_lowercase)
 #: Smoothing and scale of a term's share.
@@ -102,7 +102,7 @@ def document_vectors(docs: DataFrame, min_docs: int = 10, doc: str = "doc_id", t
                                    pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3] for r in rows], pa.int64())],
                                   names=["row_key", "lang", "term", "count"])
 
-    rows = small_batches(docs).select(F.col(doc).alias("doc"), row_digest(doc, text).alias("row_key"), text_or_empty(lang).alias("lang"), text_or_empty(text).alias("text"))
+    rows = small_batches(docs).select(F.col(doc).alias("doc"), row_key(doc, text).alias("row_key"), text_or_empty(lang).alias("lang"), text_or_empty(text).alias("text"))
     entries = rows.select("row_key", "lang", "text").mapInArrow(count, "row_key binary, lang string, term string, count bigint")
     held = entries.distinct().join(index, ["lang", "term"]).groupBy("row_key", "lang").agg(F.array_sort(F.collect_list(F.struct("index", "count"))).alias("held"))
     return rows.select("doc", "row_key", "lang").distinct().join(held, ["row_key", "lang"], "left").select(

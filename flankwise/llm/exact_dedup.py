@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .common import flagged, read_back, row_key, rows_kept, shared_path, small_batches, stored, text_or_empty, write_shared
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "digest string, keep struct<id: bigint, key: bigint>, n bigint"
+STATE = "digest string, keep struct<id: bigint, key: binary>, n bigint"
 
 
 @F.pandas_udf(T.StringType())

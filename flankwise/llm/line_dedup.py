@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import value_range
-from .common import flagged, remove_shared, row_digest, shared_path, small_batches, stored, text_or_empty
+from .common import flagged, remove_shared, row_key, shared_path, small_batches, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: A line is hot when it makes up this share of a batch: at most HOT_LINES of them, so they may be copied to all tasks.
@@ -152,7 +152,7 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     body = small_batches(docs).select(
-        F.struct("*").alias("_doc"), F.col(doc).alias("doc"), text_or_empty(text).alias("body"), row_digest(doc, text).alias("row"))
+        F.struct("*").alias("_doc"), F.col(doc).alias("doc"), text_or_empty(text).alias("body"), row_key(doc, text).alias("row"))
     batch = F.lit(batches - 1) - (value_range(body.select("doc"), "doc", batches) if batches > 1 else F.lit(0))
     lines = body.select(batch.alias("batch"), "row", "doc", F.explode(line_hashes(F.col("body"), min_chars)).alias("hash"))
     path = shared_path(spark, "lines")

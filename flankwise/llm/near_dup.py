@@ -91,7 +91,7 @@ def prob_min_hash(owner: np.ndarray, hashes: np.ndarray, weights: np.ndarray, te
     return sketch.reshape(texts, REGISTERS)
 
 
-SKETCH = "id long, key long, digest string, sketch array<int>, bands array<long>, members array<int>, counts array<int>, plain boolean"
+SKETCH = "id long, key binary, digest string, sketch array<int>, bands array<long>, members array<int>, counts array<int>, plain boolean"
 
 
 def sketch_batches(batches):
@@ -123,7 +123,7 @@ def sketch_batches(batches):
                 banded.append(bands[i].view(np.int64) if len(full) else [])
             small = (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids[part], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
+                pa.array(ids[part], pa.int64()), pa.array(keys[part], pa.binary()), pa.array(digests), pa.array(list(small), pa.list_(pa.int32())),
                 pa.array(banded, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int32())),
                 pa.array(numbers, pa.list_(pa.int32())), pa.array(plain),
             ], names=["id", "key", "digest", "sketch", "bands", "members", "counts", "plain"])
