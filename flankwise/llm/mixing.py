@@ -79,7 +79,7 @@ def mix_sources(
     equal key width whose sums give each range its start. The target is taken as
     whole epochs of the source plus the first words of that order, cut inside the
     row where the budget ends: `taken` words. `copies` rounds the cut row to
-    whole documents. Both depend on seed and rows alone. The cut is one key per source, so each
+    whole documents; a row without words gets the copy when it lies before the cut, a source without any words none. Both depend on seed and rows alone. The cut is one key per source, so each
     row is decided where it is read and no text moves.
 
     Null text has size 0, null is a source of its own (the last one), repeated rows have one key
@@ -100,4 +100,4 @@ def mix_sources(
     passes = F.col("passes")
     return sized.alias("d").join(cuts.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source"))).select(
         "row", "size", "source_size", "target", (passes * F.col("size") + extra).cast("long").alias("taken"),
-        (passes + F.when((F.col("size") > 0) & (2 * extra >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"))
+        (passes + F.when(F.when(F.col("size") > 0, 2 * extra >= F.col("size")).otherwise(F.col("key") < F.col("cut_key")), 1).otherwise(0)).cast("int").alias("copies"))

@@ -99,3 +99,22 @@ def test_control_strings_in_token_files_and_packing(spark, tmp_path):
     packed = harmonic_packing(df, public_tokenizers.path("word_bpe_49k.json")).collect()
     totals = {r.doc: r.doc_tokens for r in packed}
     assert all(totals[doc] - len(own) == totals[6] - len(ids["word_bpe_49k.json"][6]) for doc, own in enumerate(ids["word_bpe_49k.json"]))
+
+
+def test_row_keys_name_id_and_text(spark):
+    from flankwise.llm.common import row_key
+
+    rows = [(1, "a"), (1, "b"), (11, "a"), (None, "a"), (None, None), (1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = [bytes(r.k) for r in df.select(row_key("doc_id", "text").alias("k")).collect()]
+    assert len(set(keys)) == 6 and keys[5] == keys[6] and {len(k) for k in keys} == {16}
+
+
+def test_empty_rows_before_the_cut_stay_in_the_mix(spark):
+    from flankwise.llm.mixing import mix_sources
+
+    rows = [(i, "big", "w " * 9 if i % 2 else None) for i in range(400)] + [(1000 + i, "small", "w") for i in range(5)] + [(2000, "none", "")]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.5).select("row.source", "size", "copies").collect()
+    empty = [r.copies for r in found if r.source == "big" and r.size == 0]
+    assert 40 < sum(empty) < 160 and max(empty) == 1
+    assert [r.copies for r in found if r.source == "none"] == [0]
