@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,62 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def component_fingerprints(components: DataFrame) -> DataFrame:
-    """SHA-256 of a component's sorted names joined by bars, the same rule at every size."""
-    joined = F.array_join(F.array_sort(F.collect_list("name")), "|")
-    return components.groupBy("component").agg(F.sha2(joined, 256).alias("fingerprint"))
+    """SHA-256 of a component's sorted names joined by bars, the same rule at every size.
+
+    Names are range-partitioned by (component, name), so a giant component is spread over many sorted runs; one task then
+    reads its runs in order as a stream of blocks of names, a running digest at a time. No row holds all names.
+    """
+    order = ["component", "name"]
+    runs = components.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = materialize(runs.mapInArrow(_name_blocks, "component string, first string, names binary"))
+    streamed = blocks.repartition("component").sortWithinPartitions("component", "first")
+    return streamed.mapInArrow(_running_digests, "component string, fingerprint string")
+
+
+# Bytes of joined names in one row, a longer single name aside; an Arrow batch holds up to 10,000 rows.
+BLOCK_BYTES = 1 << 13
+
+
+def _rows(batches, *columns):
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _blocks(component: list, first: list, names: list) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(component, pa.string()), pa.array(first, pa.string()), pa.array(names, pa.binary())], names=["component", "first", "names"])
+
+
+def _name_blocks(batches):
+    """Sorted rows (component, name) as blocks (component, first name, names joined by bars)."""
+    now, held, size = None, [], 0
+    for component, name in _rows(batches, 0, 1):
+        if held and (component != now or size > BLOCK_BYTES):
+            yield _blocks([now], [held[0]], ["|".join(held).encode()])
+            held, size = [], 0
+        now = component
+        held.append(name)
+        size += len(name) + 1
+    if held:
+        yield _blocks([now], [held[0]], ["|".join(held).encode()])
+
+
+def _running_digests(batches):
+    """Blocks in order as one digest per component."""
+    now, digest = None, None
+
+    def row():
+        return pa.record_batch([pa.array([now], pa.string()), pa.array([digest.hexdigest()], pa.string())], names=["component", "fingerprint"])
+
+    for component, names in _rows(batches, 0, 2):
+        if digest is None or component != now:
+            if digest is not None:
+                yield row()
+            now, digest = component, hashlib.sha256()
+        else:
+            digest.update(b"|")
+        digest.update(names)
+    if digest is not None:
+        yield row()
 
 
 def component_split(components: DataFrame, previously_used: DataFrame) -> DataFrame:

@@ -239,6 +239,26 @@ def report_status(protein: Column, spacer: Column, has_spacer: Column, effective
     )
 
 
+def report_candidates(protein: DataFrame, spacer: DataFrame | None, *, keys: list[str] = ["system_id"], orientation_warning: Column | None = None) -> DataFrame:
+    """Report row of every protein candidate: both scores, rank, spacer support and the presentation label.
+
+    protein: (keys, candidate_pam, specificity_adjusted_score, protein_rank); spacer: the scored spacer candidates of the same
+    keys, or None where none were supplied; candidates without a spacer row have no spacer values.
+    """
+    rows = protein.select(*keys, "candidate_pam", F.col("specificity_adjusted_score").alias("protein_score"), F.col("protein_rank").alias("rank_within_length"))
+    names = {"spacer_evidence_score": "spacer_score", "effective_spacer_count": "effective_spacers", "support_spacer_count": "support_spacers",
+             "support_target_count": "support_target_contigs"}
+    if spacer is None:
+        types = {"spacer_score": "double"}
+        rows = rows.select("*", *[F.lit(None).cast(types.get(n, "bigint")).alias(n) for n in names.values()], F.lit(False).alias("_has"))
+    else:
+        found = spacer.select(*keys, "candidate_pam", *[F.col(c).alias(n) for c, n in names.items()], F.lit(True).alias("_has"))
+        rows = rows.join(found, [*keys, "candidate_pam"], "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+    warning = F.lit(False) if orientation_warning is None else orientation_warning
+    return rows.withColumn("status", report_status(
+        F.col("protein_score"), F.col("spacer_score"), F.col("_has"), F.col("effective_spacers"), warning)).drop("_has")
+
+
 def ranking_list(rows: DataFrame, score: str, keys: list[str] = ["system_id"]) -> DataFrame:
     """Place of every candidate of a key: score, then motif. A missing score ranks as the best one."""
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_first(score), "candidate_pam")

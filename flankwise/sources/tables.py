@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 from html import escape
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.iupac import valid_motif
 from ..operators.candidates import listed_candidates
 from ..operators.contract import DOCUMENT_SCHEMA, SYSTEM_SCHEMA
+from .committed import write_committed
 
 CANDIDATE_COLUMNS = ["candidate_pam", "pam", "pam_consensus"]
 
@@ -116,10 +119,11 @@ def six_digits(value: Column) -> Column:
 
 
 def write_tsv(rows: DataFrame, path: str, columns: list[str] | None = None, *, allow_empty: bool = True) -> None:
-    """Header and tab-separated rows in part files; nested or missing values are for the caller to flatten."""
-    if not allow_empty and rows.isEmpty():
-        raise ValueError(f"refusing to write an empty table to {path}")
-    rows.select(*(columns or rows.columns)).write.mode("errorifexists").option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    """Header and tab-separated rows in part files; nested or missing values are for the caller to flatten.
+
+    A table that is there already is accepted when its rows are the same, and refused otherwise (`sources/committed.py`).
+    """
+    write_committed(rows.select(*(columns or rows.columns)), path, sep="\t", allow_empty=allow_empty)
 
 
 def write_union_tsv(tables: list[DataFrame], path: str) -> None:
@@ -134,41 +138,109 @@ def write_candidates_csv(rows: DataFrame, path: str, columns: list[str]) -> None
     """Contract columns as text; an unavailable value is an empty cell, never 0."""
     have = set(rows.columns)
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
-    rows.select(*[cell(c).alias(c) for c in columns]).write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    write_committed(rows.select(*[cell(c).alias(c) for c in columns]), path, sep=",")
 
 
-def write_once(rows: DataFrame, path: str, spark: SparkSession) -> None:
-    """Write, or accept an existing table with the same rows; different content is refused."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-        rows.write.mode("errorifexists").parquet(path)
-        return
-    old = spark.read.parquet(path)
-    digest = lambda df: df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("h"), F.sum("h")).first()
-    if old.columns != rows.columns or digest(old) != digest(rows):
-        raise ValueError(f"{path} already holds different content")
+def write_once(rows: DataFrame, path: str) -> None:
+    """Write as tab-separated text, or accept an existing table with the same rows; different content is refused."""
+    write_committed(rows, path, sep="\t")
 
 
-def report_rows(summary: DataFrame) -> list[dict]:
-    """All rows of a printed report, fetched partition by partition."""
-    return [r.asDict(recursive=True) for r in summary.toLocalIterator()]
+def _shown(value: Column, kind: str) -> Column:
+    """Text of a report cell; unknown values are n/a, doubles have three digits."""
+    text = F.format_string("%.3f", value) if kind in ("double", "float") else value.cast("string")
+    return F.when(value.isNull(), F.lit("n/a")).otherwise(text)
 
 
-def markdown_report(summary: DataFrame) -> str:
-    """Markdown table with n/a for unknown values."""
-    rows = report_rows(summary)
-    show = lambda v: "n/a" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
-    head = "| " + " | ".join(summary.columns) + " |\n|" + "---|" * len(summary.columns)
-    return "\n".join([head, *("| " + " | ".join(show(r[c]) for c in summary.columns) + " |" for r in rows)]) + "\n"
+def _escaped(text: Column) -> Column:
+    """Text safe inside HTML."""
+    for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(safe))
+    return text
+
+
+def markdown_rows(summary: DataFrame) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[_shown(F.col(c), t) for c, t in summary.dtypes]), F.lit(" |\n"))
 
 
-def html_report(summary: DataFrame, title: str) -> str:
-    rows = report_rows(summary)
-    cell = lambda v: escape("n/a" if v is None else str(v))
-    body = "".join("<tr>" + "".join(f"<td>{cell(r[c])}</td>" for c in summary.columns) + "</tr>" for r in rows)
-    head = "".join(f"<th>{escape(c)}</th>" for c in summary.columns)
-    return f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+def html_rows(summary: DataFrame) -> Column:
+    return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), _escaped(F.coalesce(F.col(c).cast("string"), F.lit("n/a"))), F.lit("</td>")) for c in summary.columns], F.lit("</tr>\n"))
 
 
-def json_report(summary: DataFrame) -> str:
-    return json.dumps(report_rows(summary), ensure_ascii=False, indent=2, default=str)
+def write_report(rows: DataFrame, fragment: Column, path: str, order: list[str], head: str = "", tail: str = "", between: str = "") -> int:
+    """One report file from one text fragment per row, in the order of `order`; the number of rows.
+
+    Fragments are rendered where the rows are and ordered by ranges. The driver streams one partition after the other into
+    the file and holds one partition at a time, whose size the session's shuffle partitions bound.
+    """
+    system, name = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    ordered = rows.select(fragment.alias("_fragment"), *order).orderBy(*order).select("_fragment")
+    n = 0
+    with system.open_output_stream(name) as out:
+        out.write(head.encode())
+        for row in ordered.toLocalIterator():
+            if n and between:
+                out.write(between.encode())
+            out.write(row[0].encode())
+            n += 1
+        out.write(tail.encode())
+    return n
+
+
+def markdown_report(summary: DataFrame, path: str, order: list[str]) -> int:
+    """Markdown table with n/a for unknown values."""
+    head = "| " + " | ".join(summary.columns) + " |\n|" + "---|" * len(summary.columns) + "\n"
+    return write_report(summary, markdown_rows(summary), path, order, head)
+
+
+def html_report(summary: DataFrame, path: str, order: list[str], title: str, notes: str = "", nothing: str = "") -> int:
+    """A page with one table; `notes` is markup above it, `nothing` the text of the one row of an empty table."""
+    cells = "".join(f"<th>{escape(c)}</th>" for c in summary.columns)
+    head = f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title>{notes}<table><tr>{cells}</tr>\n"
+    empty = f'<tr><td colspan="{len(summary.columns)}">{escape(nothing)}</td></tr>' if nothing and summary.isEmpty() else ""
+    return write_report(summary, html_rows(summary), path, order, head + empty, "</table>")
+
+
+def json_report(summary: DataFrame, path: str, order: list[str], fields: dict | None = None, name: str = "rows") -> int:
+    """A JSON document: `fields`, then the rows as an array under `name`; null stays null."""
+    head = json.dumps(fields or {}, ensure_ascii=False)[:-1] + (", " if fields else "") + json.dumps(name) + ": [\n"
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return write_report(summary.select("*", row.alias("_json")), F.col("_json"), path, order, head, "\n]}\n", ",\n")
+
+
+# Presentation texts of a candidate report.
+NO_CLEAR_MOTIF = "未得到明确 PAM。请勿把本次结果当作该 Cas9 的生物学 PAM，也不要把占位符当作候选筛选成功。可在明确候选集合下重跑。"
+NO_CANDIDATE_ROWS = "没有候选行：模型没有给出可评分的明确 PAM。这不是生物学 PAM 结论，也不代表候选筛选成功。"
+REPORT_COLUMNS = ["candidate_pam", "protein_score", "rank_within_length", "spacer_score", "effective_spacers", "support_spacers",
+                  "support_target_contigs", "status"]
+
+
+def candidate_report(candidates: DataFrame, proteins: DataFrame, folder: str, *, model: str, limitations: list[str], scope_note: str | None = None) -> dict:
+    """The report of a run: report.json, candidates.tsv and report.html in `folder`; its summary fields.
+
+    candidates: rows with REPORT_COLUMNS (`report_candidates`); proteins: (protein_id, predicted_pam, partial_consensus,
+    determined_positions, no_clear_pam), the few proteins of the run. "No clear motif" is said of the proteins, not of the number of rows: a
+    partial consensus gives no candidate rows and still has determined positions.
+    """
+    found = [r.asDict() for r in proteins.limit(MAX_REPORT_PROTEINS + 1).collect()]
+    if len(found) > MAX_REPORT_PROTEINS:
+        raise ValueError(f"a report is of at most {MAX_REPORT_PROTEINS} proteins")
+    partial = [p["predicted_pam"] for p in found if p["partial_consensus"]]
+    rows = candidates.select(*REPORT_COLUMNS)
+    fields = {
+        "format_version": 1, "model": model, "proteins": found, "training_exposure": "unknown", "limitations": limitations,
+        "no_clear_pam": any(p["no_clear_pam"] for p in found), "no_candidate_rows": rows.isEmpty(), "partial_consensus": partial,
+        "candidate_scope_note": scope_note,
+    }
+    order = ["rank_within_length", "candidate_pam"]
+    json_report(rows, f"{folder}/report.json", order, fields, "candidates")
+    cells = F.concat(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REPORT_COLUMNS]), F.lit("\n"))
+    write_report(rows, cells, f"{folder}/candidates.tsv", order, "\t".join(REPORT_COLUMNS) + "\n")
+    notes = f"<aside class=warn>{NO_CLEAR_MOTIF}</aside>" if fields["no_clear_pam"] else ""
+    notes += "".join(f"<p>{escape(text)}</p>" for text in (model, scope_note, *partial, *limitations) if text)
+    html_report(rows, f"{folder}/report.html", order, model, notes, NO_CANDIDATE_ROWS)
+    return fields
+
+
+# Proteins that one report document lists.
+MAX_REPORT_PROTEINS = 1000

@@ -173,11 +173,13 @@ def test_tables_and_reports(spark, tmp_path):
         ta.write_tsv(rows.limit(0), str(tmp_path / "e"), allow_empty=False)
     ta.write_candidates_csv(rows, str(tmp_path / "c"), ["a", "b", "missing"])
     assert {tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).fillna("").collect()} == {("x", "1.5", ""), ("y", "", "")}
-    ta.write_once(rows, str(tmp_path / "w"), spark)
-    ta.write_once(rows, str(tmp_path / "w"), spark)
-    with pytest.raises(ValueError):
-        ta.write_once(rows.limit(1), str(tmp_path / "w"), spark)
-    assert "n/a" in ta.markdown_report(rows) and "<td>1.5</td>" in ta.html_report(rows, "t") and json.loads(ta.json_report(rows))
+    order = ["a"]
+    assert ta.markdown_report(rows, str(tmp_path / "r.md"), order) == 2 and "| y | n/a |" in (tmp_path / "r.md").read_text()
+    assert ta.html_report(rows, str(tmp_path / "r.html"), order, "t") == 2 and "<td>1.5</td>" in (tmp_path / "r.html").read_text()
+    assert ta.json_report(rows, str(tmp_path / "r.json"), order, {"k": 1}) == 2
+    assert json.loads((tmp_path / "r.json").read_text()) == {"k": 1, "rows": [{"a": "x", "b": 1.5}, {"a": "y", "b": None}]}
+    ta.html_report(rows.limit(0), str(tmp_path / "n.html"), order, "t", nothing="none <here>")
+    assert '<td colspan="2">none &lt;here&gt;</td>' in (tmp_path / "n.html").read_text()
     assert spark.range(1).select(ta.six_digits(F.lit(0.1234567)).alias("x")).first().x == "0.123457"
     path = tmp_path / "list.txt"
     path.write_text("# note\nngg\nTTTN\nNGG\n")
@@ -211,18 +213,21 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
         z.writestr("inner.zip", inner.getvalue())
         z.writestr("t.csv", "﻿a,b\n1,\"x,y\"\n")
-    rows = ar.xlsx_grid(ar.binary_files(spark, str(tmp_path), "*.xlsx")).orderBy("row").collect()
+    rows = ar.xlsx_grid(spark, str(tmp_path)).orderBy("row").collect()
     assert [r.cells for r in rows] == [["PAM", "", "Organism"], ["ACGTACG", "x", ""]]
-    zips = ar.binary_files(spark, str(tmp_path), "*.zip")
-    nested = ar.zipped_xlsx_grid(zips)
+    nested = ar.xlsx_grid(spark, str(tmp_path), nested=True)
     assert nested.count() == 2 and nested.first().file.endswith("s.zip::inner.zip::deep.xlsx")
-    assert [r.cells for r in ar.zip_csv_rows(zips, "t.csv").orderBy("row").collect()] == [["a", "b"], ["1", "x,y"]]
+    assert [r.cells for r in ar.zip_csv_rows(spark, str(tmp_path), "t.csv").orderBy("row").collect()] == [["a", "b"], ["1", "x,y"]]
     (tmp_path / "m.xlsx").write_bytes(workbook([["PAMs"], ["ACGTACG"], ["TTTTTTT"]]))
-    cells = ar.motif_cells(ar.xlsx_grid(ar.binary_files(spark, str(tmp_path), "m.xlsx")))
+    cells = ar.motif_cells(ar.xlsx_grid(spark, str(tmp_path / "m.xlsx")))
     assert {(r.address, r.motif) for r in cells.collect()} == {("A2", "ACGTACG"), ("A3", "TTTTTTT")}
     (tmp_path / "m.xlsx").write_bytes(workbook([["PAMs"], ["ACGTACG"], ["ACGTACG"]]))
     with pytest.raises(Exception, match="not a distinct motif"):
-        ar.motif_cells(ar.xlsx_grid(ar.binary_files(spark, str(tmp_path), "m.xlsx"))).collect()
+        ar.motif_cells(ar.xlsx_grid(spark, str(tmp_path / "m.xlsx"))).collect()
+    (tmp_path / "m.xlsx").write_bytes(workbook([["PAMs"], ["ACGTACG"], ["TTTTTTT"]]))
+    assert ar.motif_cells(ar.xlsx_grid(spark, str(tmp_path / "m.xlsx")), expected=2).count() == 2
+    with pytest.raises(Exception, match="expected 3 motifs, found 2"):
+        ar.motif_cells(ar.xlsx_grid(spark, str(tmp_path / "m.xlsx")), expected=3).collect()
     assert ar.missing_files(ar.file_digests(spark, str(tmp_path)), spark.createDataFrame([("b.xlsx",), ("no.tab",)], "name string")).first().name == "no.tab"
 
 
@@ -270,5 +275,95 @@ def test_quoted_commas_stay_in_list_items(spark):
     assert [r[0] for r in df.select(literal_list("t")).collect()] == [["a, b", "c,d", "e"], [], ["x"]]
 
 
-def test_reports_print_every_row(spark):
-    assert ta.markdown_report(spark.range(1500)).count("\n") == 1502
+def test_reports_print_every_row(spark, tmp_path):
+    path = tmp_path / "r.md"
+    assert ta.markdown_report(spark.range(65_536).repartition(8), str(path), ["id"]) == 65_536
+    lines = path.read_text().splitlines()
+    assert len(lines) == 65_538 and lines[2] == "| 0 |" and lines[-1] == "| 65535 |"
+
+
+def test_candidate_report(spark, tmp_path):
+    from flankwise.operators.fusion import report_candidates
+
+    protein = spark.createDataFrame([("s", "NGG", 90.0, 1), ("s", "NAG", 50.0, 2), ("s", "N<G", 10.0, 3)], "system_id string, candidate_pam string, specificity_adjusted_score double, protein_rank int")
+    spacer = spark.createDataFrame([("s", "NGG", 95.0, 5, 4, 3), ("s", "NAG", 10.0, 1, 0, 0)], "system_id string, candidate_pam string, spacer_evidence_score double, effective_spacer_count long, support_spacer_count long, support_target_count long")
+    rows = report_candidates(protein, spacer)
+    proteins = spark.createDataFrame([("p", "NNGN", True, "3", False)], "protein_id string, predicted_pam string, partial_consensus boolean, determined_positions string, no_clear_pam boolean")
+    fields = ta.candidate_report(rows, proteins, str(tmp_path), model="m", limitations=["l1"])
+    document = json.loads((tmp_path / "report.json").read_text())
+    assert {k: document[k] for k in fields} == fields and fields["partial_consensus"] == ["NNGN"] and not fields["no_clear_pam"]
+    assert [(c["candidate_pam"], c["spacer_score"], c["status"]) for c in document["candidates"]] == [
+        ("NGG", 95.0, "两路均支持（非独立验证）"), ("NAG", 10.0, "spacer 证据不足（少于 2 条有效 spacer）"), ("N<G", None, "仅蛋白预测；未提供 spacer 证据")]
+    assert (tmp_path / "candidates.tsv").read_text().splitlines()[2] == "NAG\t50.0\t2\t10.0\t1\t0\t0\tspacer 证据不足（少于 2 条有效 spacer）"
+    assert "<td>N&lt;G</td>" in (tmp_path / "report.html").read_text()
+    alone = report_candidates(protein, None).limit(0)
+    fields = ta.candidate_report(alone, proteins.withColumn("no_clear_pam", F.lit(True)), str(tmp_path), model="m", limitations=[])
+    assert fields["no_clear_pam"] and fields["no_candidate_rows"] and ta.NO_CANDIDATE_ROWS in (tmp_path / "report.html").read_text()
+
+
+def test_tables_are_written_once(spark, tmp_path):
+    path = tmp_path / "once"
+    rows = spark.range(100).select("id", F.concat(F.lit("x\ty "), "id").alias("t"), F.when(F.col("id") > 50, F.col("id")).alias("n")).repartition(5)
+    ta.write_once(rows, str(path))
+    ta.write_once(rows.repartition(3).orderBy(F.desc("id")), str(path))
+    names = sorted(p.name for p in path.iterdir())
+    assert len([n for n in names if n.startswith("part-")]) == 5 and not [n for n in names if n.startswith("_aside")]
+    back = ta.read_tsv(spark, str(path / "part-*"))
+    assert sorted((r.id, r.t, r.n) for r in back.collect()) == sorted((str(i), f"x\ty {i}", str(i) if i > 50 else "") for i in range(100))
+    for other in (rows.limit(99), rows.withColumnRenamed("t", "u"), rows.withColumn("n", F.lit(1)), rows.unionByName(rows)):
+        with pytest.raises(Exception, match="different content"):
+            ta.write_once(other, str(path))
+    assert sorted(p.name for p in path.iterdir()) == names
+    broken = tmp_path / "broken"
+    failing = rows.withColumn("t", F.when(F.col("id") == 77, F.raise_error(F.lit("no such row")).cast("string")).otherwise(F.col("t")))
+    with pytest.raises(Exception, match="no such row"):
+        ta.write_once(failing, str(broken))
+    assert not [p for p in broken.rglob("*") if p.is_file()]
+    ta.write_once(rows, str(broken))
+    assert ta.read_tsv(spark, str(broken / "part-*")).count() == 100
+    with pytest.raises(ValueError, match="nested"):
+        ta.write_once(spark.sql("select array(1) as a"), str(tmp_path / "nested"))
+
+
+def test_each_sheet_is_a_task_and_can_be_chosen(spark, tmp_path):
+    data = io.BytesIO()
+    sheet = lambda rows: "<worksheet><sheetData>" + "".join(
+        f'<row r="{r}">' + "".join(f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>' for ref, v in cells) + "</row>" for r, cells in rows) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="one" r:id="a"/><sheet name="two" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="/xl/worksheets/s1.xml"/><Relationship Id="b" Target="worksheets/s2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s1.xml", sheet([(2, [("A2", "x"), ("C2", "y")]), (4, [("B4", "z")])]))
+        z.writestr("xl/worksheets/s2.xml", sheet([(1, [("A1", "only")])]))
+    (tmp_path / "b.xlsx").write_bytes(data.getvalue())
+    both = ar.xlsx_grid(spark, str(tmp_path))
+    assert both.rdd.getNumPartitions() == 2
+    assert [r.cells for r in both.where("sheet = 'one'").orderBy("row").collect()] == [["", "", ""], ["x", "", "y"], ["", "", ""], ["", "z", ""]]
+    assert [r.cells for r in ar.xlsx_grid(spark, str(tmp_path), sheet="two").collect()] == [["only"]]
+    assert {r.sheet for r in ar.xlsx_grid(spark, str(tmp_path), first_only=True).collect()} == {"one"}
+    with pytest.raises(Exception, match="nowhere"):
+        ar.xlsx_grid(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_a_large_member_streams(tmp_path):
+    import tracemalloc
+
+    with zipfile.ZipFile(tmp_path / "big.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        with z.open("t.csv", "w") as out:
+            for i in range(4000):
+                out.write((f"{i}," + "ACGT" * 2500 + "\n").encode())
+        with z.open("inner.xlsx", "w") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="a"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
+            with book.open("xl/worksheets/s.xml", "w") as sheet:
+                sheet.write(b"<worksheet><sheetData>")
+                for i in range(3000):
+                    sheet.write(b"<row><c t='inlineStr'><is><t>" + b"x" * 10_000 + b"</t></is></c></row>")
+                sheet.write(b"</sheetData></worksheet>")
+    tracemalloc.start()
+    reader = ar.ZipCsvReader({"path": str(tmp_path), "member": "t.csv"})
+    assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 4000
+    sheets = ar.SheetReader({"path": str(tmp_path), "nested": "true"})
+    (planned,) = sheets.partitions()
+    assert sum(len(cells[0]) for _, _, _, cells in sheets.read(planned)) == 30_000_000
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
