@@ -135,3 +135,22 @@ def flank_motif(upstream: Column | str, downstream: Column | str, side: str, len
     )
     return F.when((F.length(motif) == n) & is_dna(motif), motif)
 
+
+
+def shuffled_letters(sequence: Column | str, seed: int, *keys: Column | str) -> Column:
+    """A permutation of a sequence's letters, the same for the same seed and keys on every engine: composition is kept.
+
+    Letters are put into the order of the digests of (seed, keys, place).
+    """
+    s = col(sequence)
+    tag = [F.lit(str(seed)), *[col(k).cast("string") for k in keys]]
+    letters = F.transform(F.split(s, ""), lambda c, i: F.struct(F.md5(F.concat_ws("-", *tag, i.cast("string"))).alias("d"), i.alias("i"), c.alias("c")))
+    return F.array_join(F.transform(F.array_sort(letters), lambda x: x["c"]), "")
+
+
+def random_bases(length: Column, seed: int, *keys: Column | str) -> Column:
+    """ACGT letters from the digests of (seed, keys, place)."""
+    tag = [F.lit(str(seed)), *[col(k).cast("string") for k in keys]]
+    places = F.sequence(F.lit(0), length - 1)
+    digit = lambda i: F.conv(F.substring(F.md5(F.concat_ws("-", *tag, F.lit("r"), i.cast("string"))), 1, 1), 16, 10).cast("int")
+    return F.array_join(F.transform(places, lambda i: F.substring(F.lit("ACGT"), digit(i) % 4 + 1, F.lit(1))), "")

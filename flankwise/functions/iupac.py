@@ -74,16 +74,41 @@ def expansion_size(motif: Column | str) -> Column:
     return F.aggregate(masks(motif), F.lit(1).cast("long"), lambda acc, m: acc * F.bit_count(m).cast("long"))
 
 
-def free_pattern(motif: Column | str) -> Column:
-    """The motif's shape: `.` where any base is allowed, `x` elsewhere."""
-    return F.translate(F.regexp_replace(normalize_motif(motif), "[^N]", "x"), "N", ".")
+#: Letters of a motif that a join key looks at, and letters in one packed integer.
+WINDOW = 8
+PACKED = 15
+HEX_BY_MASK = "123456789ABCDEF"
+
+
+def packed_masks(motif: Column | str) -> Column:
+    """Four bits per letter, PACKED letters per integer: a set of bases as bits, so that subsets are one AND per integer."""
+    digits = F.translate(normalize_motif(motif), SYMBOL_BY_MASK, HEX_BY_MASK)
+    pieces = F.regexp_extract_all(digits, F.lit(f".{{1,{PACKED}}}"), F.lit(0))
+    return F.transform(pieces, lambda p: F.conv(p, 16, 10).cast("long"))
+
+
+def packed_subset(inner: Column | str, outer: Column | str) -> Column:
+    """Every base set of one packed motif lies inside the one of the other, both of one length."""
+    return F.forall(F.zip_with(col(inner), col(outer), lambda a, b: a.bitwiseAND(b) == a), lambda ok: ok)
+
+
+def key_window(motif: Column | str) -> Column:
+    """struct(at, shape): where the WINDOW letters that say most begin, and of these `x` where at most two bases are allowed, else `.`."""
+    motif = normalize_motif(motif)
+    said = F.transform(masks(motif), lambda m: F.greatest(F.lit(3) - F.bit_count(m), F.lit(0)))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(motif) - WINDOW + 1, F.lit(1)))
+    valued = F.transform(starts, lambda at: F.struct(
+        (-F.aggregate(F.slice(said, at, F.lit(WINDOW)), F.lit(0), lambda s, x: s + x)).alias("said"), at.alias("at")))
+    at = F.array_min(valued)["at"]
+    shape = F.translate(F.regexp_replace(F.substring(motif, at, F.lit(WINDOW)), "[NBDHV]", "."), "ACGTRYSWKM", "x" * 10)
+    return F.struct(at.alias("at"), shape.alias("shape"))
 
 
 def restricted_keys(motif: Column | str) -> Column:
-    """All spellings of the motif with `.` left in its free positions."""
+    """All spellings of a motif of few letters with `.` left where more than two bases are allowed."""
     choices = F.transform(
         masks(motif),
-        lambda m: F.when(m == 15, F.array(F.lit("."))).otherwise(
+        lambda m: F.when(F.bit_count(m) > 2, F.array(F.lit("."))).otherwise(
             F.filter(
                 F.transform(
                     F.array(*[F.struct(F.lit(b).alias("b"), F.lit(1 << i).alias("bit")) for i, b in enumerate(BASES)]),

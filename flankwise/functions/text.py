@@ -229,3 +229,10 @@ def supplement_links(xml: Column | str, base: Column | str) -> Column:
         return F.transform(hrefs, lambda h: F.struct(resolve(h).alias("url"), label.alias("label")))
 
     return F.flatten(F.transform(blocks, of_block))
+
+
+def accession_tokens(value: Column | str) -> Column:
+    """The distinct non-empty parts of a bar-separated list, in order of first occurrence."""
+    c = F.col(value) if isinstance(value, str) else value
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), "\\|"), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))

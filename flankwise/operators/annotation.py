@@ -133,3 +133,21 @@ def select_system(systems: DataFrame, requested: str | None = None, *, allow_fla
     if found["choice"] == "blocked" and allow_flagged or found["choice"] != "eligible" and not allow_flagged:
         raise ValueError(f"system {requested} cannot be used: {', '.join(found['issues'])}")
     return named
+
+
+def token_set_join(rows: DataFrame, registry: DataFrame, *, tokens: str, accession: str, first_only: bool = False) -> DataFrame:
+    """Rows matched to every registry row whose accession is among the row's tokens, with the token's 0-based place.
+
+    `tokens` is an array of distinct texts, `accession` the registry's key, each key once. Tokens are exploded and
+    reduced to those the registry has before anything is joined back; a token that very many rows share stays spread, as only
+    the registry's side is unique. With `first_only` a row keeps its match of lowest place.
+    """
+    named = registry.withColumn("_accession", F.col(accession))
+    exploded = rows.select("*", F.posexplode(tokens).alias("token_place", "_accession"))
+    matched = exploded.join(named, "_accession").drop("_accession")
+    if not first_only:
+        return matched
+    kept = matched.columns
+    # Matches of one row are few: at most its own tokens.
+    best = matched.withColumn("_row", F.struct(*rows.columns)).groupBy("_row").agg(F.min_by(F.struct(*kept), "token_place").alias("_best"))
+    return best.select("_best.*")

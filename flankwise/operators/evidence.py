@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import flank_motif, normalize_dna, reverse_complement
+from ..functions.dna import flank_motif, normalize_dna, random_bases, reverse_complement, shuffled_letters
 from ..functions.iupac import BASES, masks, valid_motif
 from ..functions.matrix import TINY, probability_consensus, row_bits, total
-from .matching import motif_match_join
+from ..session import materialize
+from .matching import motif_match_join, spacer_hits
 
 PRIOR_STRENGTH = 2.0
 MIN_EFFECTIVE_SPACERS = 5
@@ -336,3 +337,70 @@ def orient_published_rows(
     ).withColumn(
         "oriented_upstream_flank", F.expr(f"substring(_up, 1, greatest(length(_up) - {overlap}, 0))")
     ).withColumn("oriented_downstream_flank", F.expr(f"substring(_down, {overlap + 1})")).drop("_up", "_down")
+
+
+CONTROLS = ("positive_declared_orientation", "control_reverse_orientation", "control_shuffled_spacers", "control_shuffled_targets",
+            "control_random_spacers")
+# When the signal counts as there, and as gone.
+SURVIVES, COLLAPSES = 0.5, 0.1
+
+
+def control_measures(hits: DataFrame, *, side: str, length: int, keys: list[str], motifs: list[str] = XGG) -> DataFrame:
+    """Per key: alignments, motifs, mapped spacers and the share of motifs of the set by alignment, spacer and contig.
+
+    A spacer counts at its best hit that has a motif (fewest mismatches, then target, start, strand); a contig has the most
+    frequent motif of these, of equals the one seen first.
+    """
+    pam = flank_motif("upstream_flank", "downstream_flank", side, length)
+    inside = lambda c: F.coalesce(F.avg(F.col(c).isin(motifs).cast("double")), F.lit(0.0))
+    rows = hits.withColumn("pam", pam)
+    by_hit = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("alignments"), F.count("pam").alias("scored_flanks"), F.count_distinct("spacer_id").alias("mapped_spacers"),
+        inside("pam").alias("xgg_fraction"))
+    best = rows.where("pam is not null").groupBy(*keys, "spacer_id").agg(F.min(F.struct("mismatches", "target_id", "start", "strand", "pam")).alias("b")).select(
+        *keys, "spacer_id", "b.target_id", "b.pam")
+    by_spacer = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("spacer_best_hits_with_pam"), inside("pam").alias("spacer_level_xgg_fraction"))
+    counts = best.groupBy(*keys, "target_id", "pam").agg(F.count(F.lit(1)).alias("n"), F.min("spacer_id").alias("first_seen"))
+    contigs = counts.groupBy(*keys, "target_id").agg(F.min_by("pam", F.struct(-F.col("n"), "first_seen")).alias("pam"), F.sum("n").alias("spacers"))
+    by_contig = contigs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("distinct_target_contigs"), inside("pam").alias("contig_level_xgg_fraction"), F.max("spacers").alias("max_spacers_on_one_contig"))
+    return by_hit.join(by_spacer, keys, "left").join(by_contig, keys, "left").na.fill(0)
+
+
+def negative_controls(
+    spacers: DataFrame, targets: DataFrame, *, side: str, length: int, mismatches: int, flank_length: int = 10, keys: list[str] = [], seed: int = 0
+) -> DataFrame:
+    """(control, measures): the declared search beside four that must not find its signal.
+
+    Spacers turned to the other strand; letters of each spacer, or of each target, permuted by seed (their composition is kept); spacers of
+    random letters. A control without any alignment has a row of zeros.
+    """
+    changed = lambda rows, column, value: rows.withColumn(column, value)
+    spacers = spacers.withColumn("spacer_sequence", normalize_dna("spacer_sequence"))
+    targets = targets.withColumn("target_sequence", normalize_dna("target_sequence"))
+    variants = {
+        CONTROLS[0]: (spacers, targets),
+        CONTROLS[1]: (changed(spacers, "spacer_sequence", reverse_complement("spacer_sequence")), targets),
+        CONTROLS[2]: (changed(spacers, "spacer_sequence", shuffled_letters("spacer_sequence", seed, "spacer_id")), targets),
+        CONTROLS[3]: (spacers, changed(targets, "target_sequence", shuffled_letters("target_sequence", seed, "target_id"))),
+        CONTROLS[4]: (changed(spacers, "spacer_sequence", random_bases(F.length("spacer_sequence"), seed, "spacer_id")), targets),
+    }
+    found = None
+    for name, (queries, places) in variants.items():
+        hits = spacer_hits(queries, places, mismatches=mismatches, flank_length=flank_length, keys=keys).withColumn("control", F.lit(name))
+        found = hits if found is None else found.unionByName(hits)
+    measures = control_measures(materialize(found), side=side, length=length, keys=["control"])
+    names = spacers.sparkSession.createDataFrame([(c,) for c in CONTROLS], "control string")
+    return names.join(measures, "control", "left").na.fill(0)
+
+
+def control_verdict(measures: DataFrame) -> DataFrame:
+    """One row: does the signal stand, is it gone on the wrong strand, and do the controls without homology align nowhere."""
+    value = lambda control, column: F.max(F.when(F.col("control") == control, F.col(column)))
+    none = F.greatest(*[value(c, "alignments") for c in CONTROLS[2:]]) == 0
+    return measures.agg(
+        (value(CONTROLS[0], "xgg_fraction") > SURVIVES).alias("signal_survives_positive"),
+        (value(CONTROLS[1], "xgg_fraction") < COLLAPSES).alias("collapses_under_wrong_orientation"),
+        none.alias("collapses_under_homology_destroying_nulls"),
+        value(CONTROLS[0], "max_spacers_on_one_contig").alias("contig_redundancy_max_spacers_on_one_contig"),
+        value(CONTROLS[0], "contig_level_xgg_fraction").alias("contig_level_xgg_fraction"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.iupac import motifs_overlap
+
 from ..functions.text import normalize_doi
 
 
@@ -124,6 +126,30 @@ def failure_mode(labels: Column, replay_cosine: Column, label_gold_overlap: Colu
     )
 
 
+def best_rank(ranks: DataFrame, method: str, name: str, keys: list[str] = ["system_id"]) -> DataFrame:
+    """Best gold rank over all motif lengths of one method, null without any."""
+    return ranks.where(F.col("method") == method).groupBy(*keys).agg(F.min("gold_rank").alias(name))
+
+
+def failure_lookup(systems: DataFrame, golds: DataFrame, ranks: DataFrame, replay: DataFrame, keys: list[str] = ["system_id"]) -> DataFrame:
+    """Diagnosis of every benchmark system from its registry, its ranks and the replay of its training labels.
+
+    systems: (keys); golds: (keys, gold_pam); ranks: (keys, method, gold_rank); replay: (keys, label, cosine), a label per row, none for
+    systems without training label. A label agrees when it overlaps any gold motif of the system.
+    """
+    labels = replay.where(F.col("label").isNotNull()).groupBy(*keys).agg(
+        F.count_distinct("label").alias("training_labels"), F.max("cosine").alias("best_replay_cosine"))
+    pairs = replay.select(*keys, "label").distinct().join(golds.select(*keys, "gold_pam").distinct(), keys)
+    overlap = pairs.groupBy(*keys).agg(F.bool_or(F.coalesce(motifs_overlap("label", "gold_pam"), F.lit(False))).alias("label_gold_overlap"))
+    joined = systems.select(*keys).distinct()
+    for side in (labels, overlap, best_rank(ranks, "protein_only", "protein_rank", keys), best_rank(ranks, "spacer_only", "spacer_rank", keys)):
+        joined = joined.join(side, keys, "left")
+    joined = joined.withColumn("training_labels", F.coalesce("training_labels", F.lit(0))).withColumn(
+        "label_gold_overlap", F.coalesce("label_gold_overlap", F.lit(False)))
+    mode = failure_mode(F.col("training_labels"), F.col("best_replay_cosine"), F.col("label_gold_overlap"), F.col("protein_rank"), F.col("spacer_rank"))
+    return joined.withColumn("failure_mode", mode)
+
+
 def exposure_files(corpora: DataFrame, wanted: DataFrame) -> DataFrame:
     """Corpus files in which a wanted sequence or accession occurs: (wanted_id, files, rows).
 

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import normalize_dna, reverse_complement
-from ..functions.iupac import chars, free_pattern, hide_free, is_subset, restricted_keys, symbol_mask, valid_motif
+from ..functions.iupac import (
+    WINDOW, chars, hide_free, is_subset, key_window, normalize_motif, packed_masks, packed_subset, restricted_keys, symbol_mask, valid_motif,
+)
 from ..session import at_most
 
 
@@ -336,34 +338,33 @@ def canonical_hit_order(hits: DataFrame) -> DataFrame:
     return hits.orderBy("spacer_id", "target_id", "start", "strand")
 
 
-MAX_MOTIF = 16
-
-
 def motif_match_join(concrete: DataFrame, motifs: DataFrame, sequence: str, motif: str) -> DataFrame:
-    """Pairs (concrete string, motif) where the string spells the motif.
+    """Pairs (concrete string, motif) where the string spells the motif, of any length.
 
-    Motifs are spelled out except in their free positions, which are blanked on
-    both sides. There are at most 2^length blanking shapes of motifs of one length,
-    and the length is bounded, so these few rows are what is copied.
+    A motif is keyed by the eight letters that say most: these are spelled out, at most 2^8 ways, with `.` where
+    more than two bases are allowed. Strings are cut to the same place and blanked alike; pairs of one key are
+    verified over all letters by bits. The shapes of keys, at most 2^8 a place of a length, are copied where they are
+    counted to be few, and joined by length otherwise.
     """
     wanted = (
         motifs.select(F.col(motif).alias("_motif")).distinct().where(valid_motif("_motif"))
-        .withColumn("_len", F.length("_motif"))
-        .withColumn("_shape", F.when(F.col("_len") <= MAX_MOTIF, free_pattern("_motif")).otherwise(
-            F.raise_error(F.concat(F.lit("motif too long: "), F.col("_motif")))))
-        .withColumn("_key", F.explode(restricted_keys("_motif")))
+        .withColumn("_len", F.length(normalize_motif("_motif")))
+        .withColumn("_w", key_window("_motif"))
+        .select("_motif", "_len", "_w.at", "_w.shape", packed_masks("_motif").alias("_outer"),
+                F.explode(restricted_keys(F.substring(normalize_motif("_motif"), F.col("_w.at"), F.lit(WINDOW)))).alias("_key"))
     )
-    shapes = wanted.select("_len", "_shape").distinct()
+    shapes = wanted.select("_len", "at", "shape").distinct()
+    shapes = F.broadcast(shapes) if at_most(shapes, MAX_COPIED_QUERIES) else shapes
     strings = (
         concrete.select(F.col(sequence).alias("_string")).distinct()
         .where(F.col("_string").rlike("^[ACGT]+$"))
         .withColumn("_len", F.length("_string"))
-        .join(F.broadcast(shapes), "_len")
-        .withColumn("_key", hide_free(F.col("_string"), F.col("_shape")))
-    )
-    return strings.join(wanted, ["_len", "_shape", "_key"]).select(
-        F.col("_string").alias(sequence), F.col("_motif").alias(motif)
+        .withColumn("_inner", packed_masks("_string"))
+        .join(shapes, "_len")
+        .withColumn("_key", hide_free(F.substring(F.col("_string"), F.col("at"), F.lit(WINDOW)), F.col("shape")))
     )
+    pairs = strings.join(wanted, ["_len", "at", "shape", "_key"]).where(packed_subset("_inner", "_outer"))
+    return pairs.select(F.col("_string").alias(sequence), F.col("_motif").alias(motif))
 
 
 def motif_subset_join(candidates: DataFrame, golds: DataFrame, candidate: str, gold: str) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.iupac import normalize_motif
+from ..functions.iupac import augmented_matrix, is_subset, normalize_motif, valid_motif
+from ..functions.matrix import matrix_cosine
 from ..session import at_most, materialize
 from .fusion import TIE
 from .matching import motif_subset_join
@@ -62,6 +63,39 @@ def gold_rank_by_length(scored: DataFrame, golds: DataFrame, *, score: str, keys
     )
 
 
+def prior_scores(candidates: DataFrame, priors: DataFrame, keys: list[str] = ["system_id"]) -> DataFrame:
+    """Candidates (keys, candidate_pam, score) under a prior motif: 1 inside it, 0 outside, null where the length differs."""
+    rows = candidates.select(*keys, normalize_motif("candidate_pam").alias("candidate_pam")).join(
+        priors.select(*keys, normalize_motif("prior_pam").alias("_prior")), keys)
+    score = F.when(F.length("candidate_pam") == F.length("_prior"), is_subset("candidate_pam", "_prior").cast("double"))
+    return rows.select(*keys, "candidate_pam", score.alias("score"))
+
+
+def best_spectrum_cosine(predictions: DataFrame, golds: DataFrame, *, keys: list[str] = ["system_id"], same_length: bool = True) -> DataFrame:
+    """Predictions (keys, predicted_pam) with the best cosine of their matrix to a gold motif of the key; 0 without a valid one.
+
+    By default only golds of the same length count, so a short broad motif gets no credit for a longer one.
+    """
+    matrix = lambda rows, name: rows.withColumn(f"_{name}", augmented_matrix(name))
+    pred = predictions.select(*keys, normalize_motif("predicted_pam").alias("predicted_pam")).distinct()
+    gold = golds.select(*keys, normalize_motif("gold_pam").alias("gold_pam")).distinct().where(valid_motif("gold_pam"))
+    pairs = matrix(pred.where(valid_motif("predicted_pam")), "predicted_pam").join(matrix(gold, "gold_pam"), keys)
+    if same_length:
+        pairs = pairs.where(F.length("predicted_pam") == F.length("gold_pam"))
+    best = pairs.groupBy(*keys, "predicted_pam").agg(F.max(matrix_cosine("_predicted_pam", "_gold_pam")).alias("spectrum_cosine"))
+    return pred.join(best, [*keys, "predicted_pam"], "left").withColumn("spectrum_cosine", F.coalesce("spectrum_cosine", F.lit(0.0)))
+
+
+def select_scope(variants: DataFrame, scope: str, *, control: str, variant: str = "variant_id", split: str = "future_task_split") -> DataFrame:
+    """Variants of the development split, or all; the control variant must be among them."""
+    if scope not in ("development", "all"):
+        raise ValueError(f"unknown scope {scope}")
+    chosen = variants if scope == "all" else variants.where(F.col(split) == "development")
+    if chosen.where(F.col(variant) == control).isEmpty():
+        raise ValueError(f"control variant {control} is missing")
+    return chosen
+
+
 def system_metrics(by_length: DataFrame, keys: list[str] = ["system_id"]) -> DataFrame:
     """Means over all gold lengths of a key; a length without scored candidates counts as 0."""
     return by_length.groupBy(*keys).agg(
