@@ -27,6 +27,14 @@ def read_tsv(spark: SparkSession, path: str, required: list[str] = []) -> DataFr
     return rows.fillna("")
 
 
+def optional_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A TSV with these columns, or an empty table of them where an annotator left no file: it writes none without findings."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return read_tsv(spark, path, columns)
+
+
 def filled_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A few columns of the rows in which all of them are filled, each combination once."""
     rows = rows.select(*columns)

@@ -367,3 +367,12 @@ def test_a_large_member_streams(tmp_path):
     assert sum(len(cells[0]) for _, _, _, cells in sheets.read(planned)) == 30_000_000
     assert tracemalloc.get_traced_memory()[1] < 8_000_000
     tracemalloc.stop()
+
+
+def test_a_missing_annotator_table_is_empty(spark, tmp_path):
+    none = ta.optional_tsv(spark, str(tmp_path / "crisprs_all.tab"), ["Contig", "CRISPR"])
+    assert none.columns == ["Contig", "CRISPR"] and none.count() == 0
+    (tmp_path / "crisprs_all.tab").write_text("Contig\tCRISPR\tx\nc1\ta1\t\n")
+    assert [tuple(r) for r in ta.optional_tsv(spark, str(tmp_path / "crisprs_all.tab"), ["Contig", "CRISPR"]).collect()] == [("c1", "a1", "")]
+    with pytest.raises(ValueError, match="lacks columns"):
+        ta.optional_tsv(spark, str(tmp_path / "crisprs_all.tab"), ["Operon"])
