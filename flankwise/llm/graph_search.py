@@ -13,10 +13,12 @@ from .common import stored
 
 #: Distinct vectors of a shard, queries of a block: bound the memory of a task.
 SHARD_ROWS, QUERY_BLOCK = 12_000, 10_000
-DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAXED = 24, 48, 80, 1.2
+DEGREE, BUILD_BEAM, RELAXED = 24, 48, 1.2
 INSERT = 400
 #: Vectors of a shard whose norms differ by more than 2 ** BAND_BITS get graphs of their own; so few points are scanned whole.
-BAND_BITS, SCAN_ROWS = 3, 256
+BAND_BITS, SCAN_ROWS = 1, 256
+#: A graph's search beam begins at LEAST_BEAM and doubles until HELD searches find the share RECALL of what a scan finds.
+LEAST_BEAM, HELD, RECALL = 80, 128, 0.96
 
 
 def usable(vector: Column) -> Column:
@@ -28,8 +30,8 @@ def usable(vector: Column) -> Column:
 def bands(vectors: np.ndarray) -> list[np.ndarray]:
     """Places of the vectors by bands of like norms, the middle band around the median norm.
 
-    One far longer vector would leave the others no digits in the lifting. Norms are taken as
-    logarithms, so none overflows.
+    A graph knows directions only; among like norms the largest inner products lie in the nearest directions. Norms
+    are taken as logarithms, so none overflows.
     """
     most = np.abs(vectors).max(axis=1)
     bits = np.log2(most) + 0.5 * np.log2(((vectors / most[:, None]) ** 2).sum(axis=1))
@@ -42,18 +44,20 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
-def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Scaled together, and one more component makes all norms equal; then the largest inner product is the smallest distance."""
-    vectors = np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max())[1]))
-    squares = (vectors ** 2).sum(axis=1)
-    extra = np.sqrt(np.maximum(squares.max() - squares, 0))
-    return np.hstack([vectors, extra[:, None]])
+def together(vectors: np.ndarray) -> np.ndarray:
+    """All vectors divided by the power of two above the largest component of them all."""
+    return np.ldexp(vectors, -int(np.frexp(np.abs(vectors).max())[1]))
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
 
 
 def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(indices, negative inner products) of the `beam` nearest points found for each query, all queries step by step.
 
-    Points have equal norms, so the inner product alone ranks them: the norms would only cost digits. Each query walks greedily: it opens the nearest point of its beam not opened yet and adds that point's
+    Each query walks greedily: it opens the nearest point of its beam not opened yet and adds that point's
     neighbours, until its whole beam is opened. Missing places are -1.
     """
     n, q = len(points), len(queries)
@@ -62,8 +66,8 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
     opened = np.ones((q, beam), bool)
     ids[:, 0], opened[:, 0] = entry, False
     far[:, 0] = -(queries @ points[entry])
-    seen = np.zeros((q, n), bool)
-    seen[:, entry] = True
+    seen = np.zeros((q, n + 1), bool)  # The last place stands for a missing neighbour.
+    seen[:, [entry, n]] = True
     live = np.arange(q)
     while len(live):
         pending = np.where(opened[live], np.inf, far[live])
@@ -74,10 +78,10 @@ def beam_search(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entr
             break
         opened[live, place] = True
         near = links[ids[live, place]]
-        known = (near < 0) | seen[live[:, None], np.maximum(near, 0)]
-        near = np.where(known, 0, near)
-        away = np.where(known, np.inf, -np.einsum("qd,qkd->qk", queries[live], points[near]))
-        seen[live[:, None], near] |= ~known
+        near = np.where(near < 0, n, near)
+        known = seen[live[:, None], near]
+        seen[live[:, None], near] = True
+        away = np.where(known, np.inf, -np.einsum("qd,qkd->qk", queries[live], points[np.minimum(near, n - 1)]))
         all_ids = np.hstack([ids[live], np.where(known, -1, near)])
         all_far = np.hstack([far[live], away])
         all_open = np.hstack([opened[live], known])
@@ -112,7 +116,7 @@ def robust_prune(points: np.ndarray, point: int, candidates: np.ndarray) -> np.n
 
 
 def build_graph(points: np.ndarray) -> tuple[np.ndarray, int]:
-    """(neighbours per point, -1 where fewer; entry point). Points join in batches: greedy searches
+    """(neighbours per point, -1 where fewer; entry point) of unit vectors. Points join in batches: greedy searches
     in the graph so far propose neighbours, pruning keeps diverse ones, and edges go back, pruned again where too many."""
     n = len(points)
     links = np.full((n, DEGREE), -1, np.int64)
@@ -124,10 +128,12 @@ def build_graph(points: np.ndarray) -> tuple[np.ndarray, int]:
     while start < n:
         batch = order[start:start + min(INSERT, max(1, start))]
         found, _ = beam_search(points, links, points[batch], entry, BUILD_BEAM)
+        # Points of one batch do not see each other in the graph yet, so the nearest of them are candidates as well.
+        most = min(BUILD_BEAM, len(batch))
+        mates = batch[np.argpartition(-(points[batch] @ points[batch].T), most - 1, axis=1)[:, :most]]
         back: dict[int, list[int]] = {}
-        for point, candidates in zip(batch, found):
-            # Points of one batch do not see each other in the graph yet, so they are candidates as well.
-            kept = robust_prune(points, point, np.concatenate([candidates, batch]))
+        for point, candidates in zip(batch, np.hstack([found, mates])):
+            kept = robust_prune(points, point, candidates)
             links[point, :len(kept)] = kept
             links[point, len(kept):] = -1
             for other in kept:
@@ -142,6 +148,26 @@ def build_graph(points: np.ndarray) -> tuple[np.ndarray, int]:
     return links, entry
 
 
+def beam_width(points: np.ndarray, links: np.ndarray, entry: int, held: np.ndarray, own: np.ndarray, neighbours: int) -> int:
+    """The narrowest of the doubled beams whose recall reaches RECALL on the held queries; the number of points if none does.
+
+    `own` is each query's place among the points, -1 where it is none of them: it finds itself too easily to count.
+    """
+    scores = held @ points.T
+    inside = np.flatnonzero(own >= 0)
+    scores[inside, own[inside]] = -np.inf
+    most = min(neighbours, len(points) - 1)
+    best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    beam = max(LEAST_BEAM, 2 * (neighbours + 1))
+    while beam < len(points):
+        found, _ = beam_search(points, links, held, entry, beam)
+        hits = sum(len(np.intersect1d(b, f[f != o][:most])) for b, f, o in zip(best, found, own))
+        if hits >= RECALL * best.size:
+            return beam
+        beam *= 2
+    return len(points)
+
+
 def build_index(vectors: DataFrame, key: str, vector: str, neighbours: int) -> DataFrame:
     """The written index: a row per shard and band of norms with its distinct vectors, the smallest ids of each and the graph.
 
@@ -158,18 +184,26 @@ def build_index(vectors: DataFrame, key: str, vector: str, neighbours: int) -> D
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("first")
         data = np.array(group["vector"].tolist(), dtype=np.float64)
+        sample = np.random.default_rng(11).permutation(len(data))[:HELD]
+        held = scaled(data[sample])
         rows = []
         for places in bands(data):
             own, ids = data[places], [group["ids"].iloc[i] for i in places]
-            links, entry = build_graph(lifted(own)) if len(own) > SCAN_ROWS else (np.empty(0), 0)
-            rows.append((group["shard"].iloc[0], len(own), entry, own.tobytes(), links.astype(np.int32).tobytes(),
+            links, entry, beam = np.empty(0), 0, len(own)
+            if len(own) > SCAN_ROWS:
+                links, entry = build_graph(directions(own))
+                at = np.full(len(data), -1)
+                at[places] = np.arange(len(places))
+                beam = beam_width(together(own), links, entry, held, at[sample], neighbours)
+            rows.append((group["shard"].iloc[0], len(own), entry, beam, own.tobytes(), links.astype(np.int32).tobytes(),
                          np.concatenate(ids).astype(np.int64).tobytes(), np.array([len(i) for i in ids], np.int32).tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "n", "entry", "vectors", "links", "ids", "counts"])
+        return pd.DataFrame(rows, columns=["shard", "n", "entry", "beam", "vectors", "links", "ids", "counts"])
 
     spread = points.select("vector", "ids", F.element_at("ids", 1).alias("first")).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(3), "first"), F.lit(shards)).cast("int"))
-    return stored(spread.groupBy("shard").applyInPandas(
-        build, "shard int, n int, entry int, vectors binary, links binary, ids binary, counts binary"), "graph-index")
+    # By range, so that each shard is a task of its own.
+    return stored(spread.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(
+        build, "shard int, n int, entry int, beam int, vectors binary, links binary, ids binary, counts binary"), "graph-index")
 
 
 def graph_nearest(
@@ -178,7 +212,8 @@ def graph_nearest(
     """(query_id, rank, vec_id, score): each query's nearest other rows by inner product, nearest first.
 
     Every usable row is in the graph of one shard and band of norms; a query beam-searches each graph, in blocks
-    of queries, and scans small bands whole. Scores are inner products of the original vectors in double precision; ties go to the
+    of queries, and scans small bands whole. Each graph's beam was widened when it was built until the recall measured on a
+    held sample reached RECALL. Scores are inner products of the original vectors in double precision; ties go to the
     smaller id. A query without other candidates has no rows; null, zero and non-finite vectors and null keys
     take no part, equal ids and vectors are rows like others, an empty table gives nothing. Vectors
     must have one length; columns beside the two are not read.
@@ -201,10 +236,9 @@ def graph_nearest(
             for g in graphs.itertuples():
                 data = np.frombuffer(g.vectors, np.float64).reshape(g.n, -1)
                 ids, first = np.frombuffer(g.ids, np.int64), np.concatenate([[0], np.cumsum(np.frombuffer(g.counts, np.int32))])
-                if g.n > SCAN_ROWS:
+                if g.beam < g.n:
                     links = np.frombuffer(g.links, np.int32).reshape(g.n, DEGREE).astype(np.int64)
-                    seek = np.hstack([scaled(exact), np.zeros((len(exact), 1))])
-                    found, _ = beam_search(lifted(data), links, seek, int(g.entry), SEARCH_BEAM)
+                    found, _ = beam_search(together(data), links, scaled(exact), int(g.entry), int(g.beam))
                 else:
                     found = np.broadcast_to(np.arange(g.n), (len(exact), g.n))
                 for query, own, row, all_ in zip(some["query_id"], exact, found, near):

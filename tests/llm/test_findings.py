@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from flankwise.llm import license_scan
+from flankwise.llm import graph_search, license_scan
 from flankwise.llm.graph_search import graph_nearest
 from flankwise.llm.packing import harmonic_packing
 from flankwise.llm.token_files import document_digests, read_token_files, write_token_files
@@ -118,3 +118,25 @@ def test_empty_rows_before_the_cut_stay_in_the_mix(spark):
     empty = [r.copies for r in found if r.source == "big" and r.size == 0]
     assert 40 < sum(empty) < 160 and max(empty) == 1
     assert [r.copies for r in found if r.source == "none"] == [0]
+
+
+@pytest.mark.parametrize("shape", ["gaussian", "unit", "clusters"])
+def test_recall_at_every_shape_over_two_shards(spark, monkeypatch, shape):
+    monkeypatch.setattr(graph_search, "SHARD_ROWS", 2500)
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(5000, 64))
+    if shape == "unit":
+        data /= np.linalg.norm(data, axis=1)[:, None]
+    if shape == "clusters":
+        centres = rng.normal(size=(40, 64)) * rng.uniform(0.5, 2, size=(40, 1))
+        data = centres[rng.integers(0, 40, 5000)] + 0.3 * data
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(3)
+    asked = range(0, 5000, 20)
+    found = {(r.query_id, r.vec_id) for r in graph_nearest(df, df.where("vec_id % 20 = 0"), neighbours=20).collect()}
+    assert len(found) == 20 * len(asked)
+    hits = 0
+    for q in asked:
+        scores = data @ data[q]
+        scores[q] = -np.inf
+        hits += sum((q, int(v)) in found for v in np.argsort(-scores)[:20])
+    assert hits / len(found) >= 0.93
