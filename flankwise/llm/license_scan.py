@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, text_or_empty
+from .common import WORD_BYTES, small_batches, text_or_empty
 
 #: Phrases whose places are all counted, with their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -39,6 +40,23 @@ TEMPLATES = [
 ]
 #: A match counts from this many words; matches chain over gaps of at most MOST_GAP words; a chain labels from this share of its template.
 LEAST_MATCH, MOST_GAP, LEAST_COVER = 3, 4, 0.75
+#: A span is denied by one of these among the NEAR words before it or in a gap of its chain (fixed values).
+DENIALS, NEAR = {b"not", b"never", b"neither", b"nor", b"cannot", b"without", b"isn", b"aren", b"wasn"}, 2
+
+
+def family_of(label: str) -> str:
+    """A label without its version: what a text supports that does not repeat the template's version."""
+    return re.sub(r"-[0-9.]+$", "", label)
+
+
+@dataclass
+class Chain:
+    """Matches with one template, in order: where they lie in the text and in the template, and the text's gaps between them."""
+
+    first: int
+    end: int
+    covered: list[tuple[int, int]]
+    gaps: list[tuple[int, int]] = field(default_factory=list)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -132,6 +150,8 @@ class Scanner:
         self.base = len(base)
         self.vocabulary = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.automaton = Automaton([[self.vocabulary[w] for w in t] for t in texts])
+        # Per template the places of its version: words with a digit.
+        self.versions = [[i for i, w in enumerate(t) if any(48 <= b <= 57 for b in w)] for t in texts]
         sizes, states = self.automaton.sizes, self.automaton.states
         self.least = min([LEAST_MATCH, *(n for n in sizes[:self.base] if n)])
         # Per state the base phrases that end with it, by the length they need: a phrase is the longest string of its own
@@ -148,7 +168,7 @@ class Scanner:
         ids = np.array([get(w, 0) for w in words], dtype=np.int32)
         known = np.flatnonzero(np.concatenate([[0], (ids > 0).view(np.int8), [0]]))
         places: list[tuple[str, int, int]] = []
-        chains: dict[int, list[list[int]]] = {}
+        chains: dict[int, list[Chain]] = {}
         if len(known):
             breaks = np.flatnonzero(np.diff(known) > 1)
             firsts = known[np.concatenate([[0], breaks + 1])] - 1
@@ -156,9 +176,9 @@ class Scanner:
             for first, end in zip(firsts.tolist(), ends.tolist()):
                 if end - first >= self.least:
                     self._run(ids[first:end].tolist(), first, places, chains)
-        return len(words), places, self._spans(chains)
+        return len(words), places, self._spans(words, chains)
 
-    def _run(self, ids: list[int], first: int, places: list, chains: dict[int, list[list[int]]]) -> None:
+    def _run(self, ids: list[int], first: int, places: list, chains: dict[int, list[Chain]]) -> None:
         matched = list(self.automaton.stream(ids))
         for place, state, length in matched:
             for phrase, size in self.phrases[state]:
@@ -172,26 +192,37 @@ class Scanner:
                         self._chain(chains.setdefault(template, []), first + place + 1 - length, first + place + 1, at + 1 - length, at + 1)
 
     @staticmethod
-    def _chain(chains: list[list[int]], first: int, end: int, from_: int, to: int) -> None:
-        """Lengthen the last chain of a template by a later match, or begin one: [first, end, covered, template place]."""
+    def _chain(chains: list[Chain], first: int, end: int, from_: int, to: int) -> None:
+        """Lengthen the last chain of a template by a later match, or begin one."""
         if chains:
             last = chains[-1]
-            new = min(end - max(first, last[1]), to - max(from_, last[3]))
-            if first - last[1] <= MOST_GAP and end > last[1] and to > last[3] and new > 0:
-                last[1], last[2], last[3] = end, last[2] + new, to
+            reached = last.covered[-1][1]
+            new = min(end - max(first, last.end), to - max(from_, reached))
+            if first - last.end <= MOST_GAP and end > last.end and to > reached and new > 0:
+                last.gaps.append((last.end, end - new))
+                last.covered.append((to - new, to))
+                last.end = end
                 return
-            if end <= last[1]:
+            if end <= last.end:
                 return
-        chains.append([first, end, end - first, to])
+        chains.append(Chain(first, end, [(from_, to)]))
 
-    def _spans(self, chains: dict[int, list[list[int]]]) -> list[tuple[str, int, int, float]]:
-        spans = []
+    def _spans(self, words: list[bytes], chains: dict[int, list[Chain]]) -> list[tuple[str, int, int, float]]:
+        """Chains that cover enough and are not denied: of the template's label, or of its family where its version is not covered."""
+        exact, loose = [], []
         for template, found in chains.items():
-            for first, end, covered, _ in found:
-                cover = covered / self.automaton.sizes[template]
-                if cover >= LEAST_COVER:
-                    spans.append((self.labels[template], first, end, min(1.0, cover)))
-        return sorted(spans)
+            label = self.labels[template]
+            for chain in found:
+                cover = sum(b - a for a, b in chain.covered) / self.automaton.sizes[template]
+                around = [(max(0, chain.first - NEAR), chain.first), *chain.gaps]
+                if cover < LEAST_COVER or any(w in DENIALS for a, b in around for w in words[a:b]):
+                    continue
+                whole = all(any(a <= v < b for a, b in chain.covered) for v in self.versions[template])
+                (exact if whole else loose).append((label if whole else family_of(label), chain.first, chain.end, cover))
+        # A family is left out where a member of it is named at the same place.
+        named = [(family_of(label), first, end) for label, first, end, _ in exact]
+        rest = [s for s in set(loose) if not any(s[0] == f and s[1] < end and first < s[2] for f, first, end in named)]
+        return sorted(exact + rest)
 
 
 RESULT = T.StructType([
@@ -210,7 +241,9 @@ def scan_licenses(
     """(row {all columns}, scan {n_words, places, spans}) of every whole text.
 
     `places` are the places of the base phrases (words from 0, end exclusive); `spans` are
-    the chained long matches with a template and the share of it they cover. Null text
+    the chained long matches with a template and the share of it they cover. A template that names a version gives
+    its label only where the version is matched too, else the label of its family (`apache` for Version 1.1). A span with a
+    denial in a gap or up to two words before it ("is not licensed under") is none; places are never denied. Null text
     is empty and has no words; every row keeps its own scan, an empty table gives none. Columns keep
     their names inside the struct `row`. Texts stream word by word, whatever their length.
     """
@@ -226,4 +259,4 @@ def scan_licenses(
                 "spans": [[dict(zip(("label", "first", "end", "cover"), s)) for s in spans] for _, _, spans in found],
             })
 
-    return docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("_text")).select("row", scan("_text").alias("scan"))
+    return small_batches(docs).select(F.struct("*").alias("row"), text_or_empty(text).alias("_text")).select("row", scan("_text").alias("scan"))

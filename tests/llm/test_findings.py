@@ -47,6 +47,62 @@ def test_nested_and_one_word_base_phrases():
         assert sorted(scanner.scan(text)[1]) == plain_places(text, base)
 
 
+def spans_of(text):
+    return {s[0] for s in license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES).scan(text)[2]}
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("This work is licensed under the GNU General Public License.", {"gpl"}),
+    ("This work is licensed under the GNU General Public License, version 4", {"gpl"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}),
+    ("Licensed under the Apache License, Version 1.1", {"apache"}),
+    ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+    ("This work is not licensed under the GNU General Public License, version 3.", set()),
+    ("It was never released under the MIT License.", set()),
+    ("Released under the MIT License. Not all of it.", {"mit"}),
+    ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0"}),
+    ("Licensed under CC BY-SA 3.0.", set()),
+])
+def test_versions_and_denials_decide_the_label(text, labels):
+    assert spans_of(f"some words {text} more words") == labels
+
+
+def test_every_template_has_its_label_and_a_cover_of_one():
+    scanner = license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES)
+    for label, text in license_scan.TEMPLATES:
+        spans = scanner.scan("x " + text + " y")[2]
+        assert (label, 1, 1 + len(license_scan.words_of(text)), 1.0) in spans
+        assert all(0.75 <= s[3] <= 1 for s in spans)
+
+
+def test_matching_statistics_equal_a_plain_search():
+    templates = ["a b c a b d", "b c a", "a a b", "d c b a b c"]
+    words = {w: i + 1 for i, w in enumerate("abcd")}
+    coded = [[words[w] for w in t.split()] for t in templates]
+    parts = {tuple(t[i:j]) for t in coded for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    automaton = license_scan.Automaton(coded)
+    rng = random.Random(6)
+    for _ in range(200):
+        text = rng.choices([0, 1, 2, 3, 4], k=40)
+        for place, state, length in automaton.stream(text):
+            plain = max([n for n in range(1, place + 2) if tuple(text[place + 1 - n:place + 1]) in parts], default=0)
+            assert length == plain
+            ends = {(t, i + length - 1) for t, own in enumerate(coded) for i in range(len(own) - length + 1)
+                    if length and own[i:i + length] == text[place + 1 - length:place + 1]}
+            assert ends == {e for e in automaton.states[state].ends} or not length
+
+
+def test_licence_scan_of_awkward_tables(spark):
+    schema = "doc_id long, text string, row string, scan string"
+    long = "x " * 200_000 + "Released under the MIT License. " + "y " * 200_000
+    rows = [(1, None, "r", "s"), (2, "", "r", "s"), (3, long, "r", "s"), (3, long, "r", "s"), (4, "cc by", "r", None)]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.row.doc_id, r.scan.n_words, len(r.scan.places), tuple(s.label for s in r.scan.spans)) for r in found) == [
+        (1, 0, 0, ()), (2, 0, 0, ()), (3, 400_005, 0, ("mit",)), (3, 400_005, 0, ("mit",)), (4, 2, 1, ())]
+    assert {r.row.row for r in found} == {"r"}
+    assert license_scan.scan_licenses(spark.createDataFrame([], schema)).count() == 0
+
+
 # nearest neighbours
 
 @pytest.mark.parametrize("norms", [[1e3], [1e4], [3e38, -3e38, 2e19], [10.0 ** k for k in range(-30, 31, 6) for _ in range(30)]])
