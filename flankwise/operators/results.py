@@ -11,6 +11,11 @@ from .ordering import ordered_position
 # The corpus columns in their order.
 CORPUS_COLUMNS = ["crispr_type", "cas_family", "source", "protein_id", "citation", "doi", "protein_sequence", "pid_sequence",
                   "pam_consensus", "pam_logo_acgt", "raw_ref", "created_at", "sha256"]
+# What a published row says about its order.
+RANKED_BY_PROTEIN = "protein_only: ranked by protein compatibility within PAM length"
+SPACER_MISSING = "spacer evidence unavailable for this candidate"
+RANKED_BY_GATE = "fusion gate="
+GATE_MISSING = "fusion gate not recorded"
 INGEST_SOURCE = "Literature (new; unreviewed)"
 
 
@@ -48,9 +53,44 @@ def ingest_counts(rows: DataFrame) -> DataFrame:
                     filled("protein_sequence").alias("with_protein_sequence"), filled("protein_id").alias("with_protein_id"))
 
 
-def assemble_results(protein: DataFrame, spacer: DataFrame, fusion: DataFrame, systems: DataFrame, keys: list[str] = ["system_id", "candidate_pam"]) -> DataFrame:
-    """Protein rows with what the spacer channel, the fusion and the manifest say about them."""
-    return protein.join(spacer, keys, "left").join(fusion, keys, "left").join(systems, "system_id", "left")
+def assemble_results(
+    protein: DataFrame, spacer: DataFrame, fusion: DataFrame, systems: DataFrame, *, display: DataFrame | None = None, top: int = 0,
+    notes: dict[str, str] = {}, no_track_note: str = "", keys: list[str] = ["system_id", "candidate_pam"],
+) -> DataFrame:
+    """Published rows: each protein candidate of a system in the manifest with its spacer evidence, status and ranking basis.
+
+    `systems` has system_id, evidence_track, evidence_source and further columns that every row repeats; a system without
+    an entry has no rows. Rows stay if `display` lists their key, or a system is in no row of `display`, or their rank
+    within the motif length is among the system's first `top`; with `top` alone, only those stay. What the spacer
+    channel or the fusion does not say is null, never 0, and a system of the track protein_only has the note
+    `no_track_note` in place of the one that `notes` gives for its source. Candidate ids count the kept rows of a system by length, rank and motif.
+    The three tables have one row per key: all joins keep the number of protein rows.
+    """
+    kept = lambda df, have: df.select(*keys, *have, F.lit(True).alias("_" + have[0]))
+    evidence = kept(spacer, ["spacer_evidence_score", "spacer_rank", "support_spacer_count", "support_target_count"])
+    gates = kept(fusion, ["evidence_status", "fusion_gate"])
+    rows = protein.join(systems, "system_id").join(evidence, keys, "left").join(gates, keys, "left")
+    if display is not None:
+        listed = display.select(*keys).distinct()
+        rows = rows.join(listed.withColumn("_listed", F.lit(True)), keys, "left").join(
+            listed.select("system_id").distinct().withColumn("_chosen", F.lit(True)), "system_id", "left")
+        stay = F.coalesce("_listed", F.lit(False)) if top else F.coalesce("_listed", F.col("_chosen").isNull())
+    else:
+        stay = F.lit(not top)
+    if top:
+        first = Window.partitionBy("system_id").orderBy("protein_rank", "pam_length", "candidate_pam")
+        rows = rows.withColumn("_n", F.row_number().over(first))
+        stay = stay | (F.col("_n") <= top)
+    alone, found = F.col("evidence_track") == "protein_only", F.col("_spacer_evidence_score").isNotNull()
+    gate = F.nullif(F.trim("fusion_gate"), F.lit(""))
+    basis = F.when(found, F.coalesce(F.concat(F.lit(RANKED_BY_GATE), gate), F.lit(GATE_MISSING))).otherwise(
+        F.when(alone, F.lit(RANKED_BY_PROTEIN)).otherwise(F.lit(SPACER_MISSING)))
+    known = F.create_map(*[F.lit(x) for pair in notes.items() for x in pair]) if notes else F.create_map().cast("map<string,string>")
+    note = F.when(alone, F.lit(no_track_note)).otherwise(F.coalesce(known[F.col("evidence_source")], F.lit(no_track_note)))
+    rows = rows.where(stay).withColumn("evidence_status", F.when(found, F.col("evidence_status"))).withColumn(
+        "ranking_basis", basis).withColumn("notes", note)
+    inner = [c for c in rows.columns if c.startswith("_")]
+    return sequential_ids(rows.drop("fusion_gate", *inner), ["pam_length", "protein_rank", "candidate_pam"], name="candidate_id")
 
 
 def presentation_subset(rows: DataFrame, display: DataFrame, top: int, keys: list[str] = ["system_id", "candidate_pam"]) -> DataFrame:

@@ -352,6 +352,33 @@ def q_result_rows(spark, sf_dir):
         "system_id", "candidate_pam", "evidence_status", F.col("protein_rank").cast("long").alias("protein_rank"), "row_id")
 
 
+# Every third system has no spacer track, every fourth publishes aggregates only; every fifth lists two candidates.
+RESULT_NOTES = {"raw": "counts of targets", "aggregate": "targets unknown"}
+NO_TRACK = "no spacer evidence"
+
+
+@registry.add("results_assembly", d.with_ctes(*rq.SQL_BOTH, """numbered as (select *, system_id % 3 = 0 as alone, system_id % 5 = 0 as chosen, candidate_pam in ('AGG', 'TGG') as listed,
+      row_number() over (partition by system_id order by protein_rank, pam_length, candidate_pam) as n, spacer_rank is not null or sc is not null as has_spacer from statuses where ps is not null)""",
+    final=f"""select system_id, candidate_pam, cast(system_id as varchar) || '-' || lpad(cast(row_number() over (partition by system_id order by pam_length, protein_rank, candidate_pam) as varchar), 4, '0') as candidate_id,
+      {d.SQL['micro']('ps')} as protein_micro, case when not alone then {d.SQL['micro']('ss')} end as spacer_micro, case when not alone then cast(sc as bigint) end as support_spacer_count,
+      case when not alone then status end as evidence_status,
+      case when alone then '{re_.RANKED_BY_PROTEIN}' when has_spacer then '{re_.RANKED_BY_GATE}' || gate else '{re_.SPACER_MISSING}' end as ranking_basis,
+      case when alone then '{NO_TRACK}' when system_id % 4 = 0 then '{RESULT_NOTES['aggregate']}' else '{RESULT_NOTES['raw']}' end as notes
+    from numbered where n <= 7 or (chosen and listed)"""))
+def q_results_assembly(spark, sf_dir):
+    protein, spacer = rq.protein_rows(spark, sf_dir), rq.spacer_rows(spark, sf_dir)
+    system = F.col("system_id")
+    systems = d.system_ids(spark, sf_dir).select(
+        system, F.when(system % 3 == 0, F.lit("protein_only")).otherwise(F.lit("dual")).alias("evidence_track"),
+        F.when(system % 4 == 0, F.lit("aggregate")).otherwise(F.lit("raw")).alias("evidence_source"))
+    display = systems.where(system % 5 == 0).select(system, F.explode(F.array(F.lit("AGG"), F.lit("TGG"))).alias("candidate_pam"))
+    rows = re_.assemble_results(
+        protein, spacer.where(system % 3 != 0), rq.fused_rows(spark, sf_dir), systems, display=display, top=7, notes=RESULT_NOTES, no_track_note=NO_TRACK)
+    return rows.select(
+        "system_id", "candidate_pam", "candidate_id", d.micro(F.col("specificity_adjusted_score")).alias("protein_micro"),
+        d.micro(F.col("spacer_evidence_score")).alias("spacer_micro"), "support_spacer_count", "evidence_status", "ranking_basis", "notes")
+
+
 @registry.add("optional_numbers", "select event_id, try_cast(nullif(trim(case when event_id % 3 = 0 then '' when event_id % 5 = 0 then 'n/a' else cast(value as varchar) end), '') as double) as value from events")
 def q_optional_numbers(spark, sf_dir):
     e = d.table(spark, sf_dir, "events").select("event_id", "value")

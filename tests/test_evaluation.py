@@ -97,3 +97,35 @@ def test_failure_lookup(spark):
         "a": "no_exact_training_label", "b": "checkpoint_replay_failure", "c": "training_label_vs_experimental_gold_mismatch", "d": "weak_checkpoint_replay",
         "e": "protein_ranking_failure_despite_label_alignment", "f": "no_primary_failure_detected"}
     assert got["e"].protein_rank == 7 and got["f"].spacer_rank is None
+
+
+def test_results_assembly_keeps_unknown_apart_from_zero(spark):
+    from flankwise.operators.results import assemble_results
+
+    protein = spark.createDataFrame(
+        [(s, p, 3, r, 50.0 - r) for s in (1, 2, 3) for r, p in enumerate(("AAA", "CCC", "GGG"), 1)],
+        "system_id long, candidate_pam string, pam_length int, protein_rank int, specificity_adjusted_score double")
+    spacer = spark.createDataFrame(
+        [(1, "AAA", None, None, 0, None), (1, "GGG", 70.0, 1, 2, 3)],
+        "system_id long, candidate_pam string, spacer_evidence_score double, spacer_rank int, support_spacer_count long, support_target_count long")
+    fusion = spark.createDataFrame(
+        [(1, "AAA", "protein_only_unverified", " "), (1, "CCC", "x", "g"), (1, "GGG", "concordant_support", "g")],
+        "system_id long, candidate_pam string, evidence_status string, fusion_gate string")
+    systems = spark.createDataFrame(
+        [(1, "dual", "raw"), (2, "protein_only", "raw")], "system_id long, evidence_track string, evidence_source string")
+    display = spark.createDataFrame([(2, "GGG"), (2, "GGG"), (2, "TTT")], "system_id long, candidate_pam string")
+
+    def found(**options):
+        rows = assemble_results(protein, spacer, fusion, systems, notes={"raw": "n"}, no_track_note="none", **options)
+        assert not [c for c in rows.columns if c.startswith("_")]
+        return {r.candidate_id: r for r in rows.collect()}
+
+    rows = found(display=display)
+    assert {k: r.candidate_pam for k, r in rows.items()} == {"1-0001": "AAA", "1-0002": "CCC", "1-0003": "GGG", "2-0001": "GGG"}
+    assert [rows[k].ranking_basis for k in sorted(rows)] == [
+        "fusion gate not recorded", "spacer evidence unavailable for this candidate", "fusion gate=g",
+        "protein_only: ranked by protein compatibility within PAM length"]
+    assert (rows["1-0001"].support_spacer_count, rows["1-0002"].support_spacer_count, rows["1-0002"].evidence_status) == (0, None, None)
+    assert (rows["1-0003"].notes, rows["2-0001"].notes) == ("n", "none")
+    assert {r.candidate_pam for r in found(display=display, top=1).values() if r.system_id == 2} == {"AAA", "GGG"}
+    assert len(found(top=2)) == 4 and len(found()) == 6
