@@ -201,7 +201,7 @@ def build_index(vectors: DataFrame, key: str, vector: str, neighbours: int) -> D
 
     spread = points.select("vector", "ids", F.element_at("ids", 1).alias("first")).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(3), "first"), F.lit(shards)).cast("int"))
-    # By range, so that each shard is a task of its own.
+    # By range: mostly a task per shard, where a hash would put several into one.
     return stored(spread.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(
         build, "shard int, n int, entry int, beam int, vectors binary, links binary, ids binary, counts binary"), "graph-index")
 
