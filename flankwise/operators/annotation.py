@@ -13,6 +13,12 @@ OVERRIDABLE = ["ambiguous_or_putative_subtype", "unsupported_subtype"]
 BLOCKING = ["gene_integrity_unverified", "missing_protein_sequence", "gene_coordinates_missing",
             "contig_not_in_input_genome", "gene_coordinates_invalid"]
 
+# Files an annotation run writes, and the text of its known crash.
+OPERON_TABLES = ["cas_operons.tab", "cas_operons_putative.tab", "cas_operons_orphan.tab"]
+REQUIRED_OUTPUTS = ["genes.tab", "proteins.faa"]
+RESULT_TABLES = [*OPERON_TABLES, "crisprs_all.tab", "CRISPR_Cas.tab"]
+CRASH_TEXTS = ["['Hmm', 'ORF'] not in index", "KeyError"]
+
 
 def union_with_precedence(tables: list[DataFrame], key: str) -> DataFrame:
     """Rows of all tables; of rows with one key those of the earliest table count."""
@@ -151,3 +157,32 @@ def token_set_join(rows: DataFrame, registry: DataFrame, *, tokens: str, accessi
     # Matches of one row are few: at most its own tokens.
     best = matched.withColumn("_row", F.struct(*rows.columns)).groupBy("_row").agg(F.min_by(F.struct(*kept), "token_place").alias("_best"))
     return best.select("_best.*")
+
+
+
+def run_diagnosis(runs: DataFrame, files: DataFrame, logs: DataFrame, keys: list[str] = ["run_id"]) -> DataFrame:
+    """Per run (keys, succeeded): `usable`, `no_usable_output` or `failed`, what is missing, and whether it is the known crash.
+
+    files: (keys, path) below the run's folder, logs: (keys, text). A run that failed, wrote no result table and no search hits, and whose log
+    holds the crash texts broke off upstream: it says nothing about the genome, so it is never a negative result. A run that
+    succeeded needs all required files and one of the operon tables; tables of arrays may be absent.
+    """
+    path = F.col("path")
+    seen = files.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.when(path.isin([*REQUIRED_OUTPUTS, *RESULT_TABLES, "hmmer.tab"]), path))).alias("_files"),
+        F.bool_or(path.startswith("hmmer/")).alias("_hits"))
+    crashed = F.lit(True)
+    for text in CRASH_TEXTS:
+        crashed = crashed & F.contains(F.col("text"), F.lit(text))
+    signs = logs.groupBy(*keys).agg(F.bool_or(F.coalesce(crashed, F.lit(False))).alias("_crash"))
+    rows = runs.join(seen, keys, "left").join(signs, keys, "left")
+    has = F.coalesce("_files", F.array().cast("array<string>"))
+    literal = lambda names: F.array(*[F.lit(n) for n in names])
+    nothing = ~F.arrays_overlap(has, literal([*RESULT_TABLES, "hmmer.tab"])) & ~F.coalesce("_hits", F.lit(False))
+    ok = F.coalesce("succeeded", F.lit(False))
+    absent = F.array_except(literal(REQUIRED_OUTPUTS), has)
+    absent = F.when(F.arrays_overlap(has, literal(OPERON_TABLES)), absent).otherwise(F.concat(absent, literal(["operon table"])))
+    return rows.select(
+        *keys, F.when(~ok, F.lit("failed")).when(F.size(absent) > 0, F.lit("no_usable_output")).otherwise(F.lit("usable")).alias("state"),
+        F.when(ok, absent).otherwise(F.array().cast("array<string>")).alias("missing"),
+        (~ok & nothing & F.coalesce("_crash", F.lit(False))).alias("upstream_crash"))
