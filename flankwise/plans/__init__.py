@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "evidence_queries", "ranking_queries", "similarity_queries", "metric_queries", "literature_queries", "table_queries",
-    "audit_queries", "evaluation_queries",
+    "audit_queries", "evaluation_queries", "record_queries",
 ]
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = ["spacer_hits", "method_metrics", "motif_subset_join", "edit_identity_neighbors", "cluster_split", "spearman_by_group",
-         "bootstrap_ci_hashed", "statement_triples", "gold_review", "kmer_count_to_pam", "annotation_systems", "contract_violations"]
+         "bootstrap_ci_hashed", "statement_triples", "gold_review", "kmer_count_to_pam", "annotation_systems", "contract_violations", "record_coding", "record_cores", "run_diagnosis", "column_roles"]
 
 
 @pytest.fixture(scope="module")
