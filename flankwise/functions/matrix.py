@@ -21,6 +21,14 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def settled(value: Column) -> Column:
+    """Billionths of a score as a whole number, so that scores equal but for the order of addition compare as equal.
+
+    The offset keeps exact halves away from the rounding edge.
+    """
+    return F.floor(value * 1e9 + 0.5003)
+
+
 def normalize_rows(matrix: Column | str) -> Column:
     """Rows scaled to sum 1; null unless 10x4, finite, non-negative with positive row sums."""
     m = col(matrix)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iupac import BASES, normalize_motif, valid_motif
-from ..functions.matrix import score_candidate
+from ..functions.matrix import score_candidate, settled
 
 MAX_CANDIDATES = 100_000
 
@@ -63,10 +63,11 @@ def score_protein_candidates(candidates: DataFrame, matrices: DataFrame, *, key:
 def rank_protein_candidates(scored: DataFrame, key: str = "system_id") -> DataFrame:
     """Score, then geometric mean, then the motif itself; unscored candidates have no rank.
 
+    Equal sums of other parts differ in their last bits, so scores and logarithms of means are compared in billionths.
     A partition is one system's candidates of one length, at most `MAX_CANDIDATES`.
     """
     unscored = F.col("specificity_adjusted_score").isNull()
     order = Window.partitionBy(key, "pam_length", unscored).orderBy(
-        F.desc("specificity_adjusted_score"), F.desc("geometric_mean_probability"), "candidate_pam"
+        F.desc(settled(F.col("specificity_adjusted_score"))), F.desc(settled(F.ln("geometric_mean_probability"))), "candidate_pam"
     )
     return scored.withColumn("protein_rank", F.when(~unscored, F.row_number().over(order)))
