@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.iupac import chars, normalize_motif
+from ..functions.matrix import settled
 from ..session import materialize
 
 POLICIES = ("abstain", "spacer_fallback", "legacy")
@@ -267,13 +268,13 @@ def ranking_list(rows: DataFrame, score: str, keys: list[str] = ["system_id"]) -
 
 def interpretation(slim: DataFrame, golds: DataFrame, *, keys: list[str] = ["system_id"]) -> DataFrame:
     """Per key: the two tops, whether they agree, and how candidates and golds fall by status."""
-    first = lambda score: F.min_by("candidate_pam", F.struct(-F.coalesce(F.col(score), F.lit(1e9)), F.col("candidate_pam")))
+    first = lambda score: F.min_by("candidate_pam", F.struct(-F.coalesce(score, F.lit(1e9)), F.col("candidate_pam")))
     gold = golds.select(*keys, normalize_motif("gold_pam").alias("candidate_pam")).distinct().withColumn("_gold", F.lit(True))
     status = F.col("evidence_status")
     conflict = status.startswith("discordant_") | (status == "concordant_conflict")
     return slim.join(gold, [*keys, "candidate_pam"], "left").groupBy(*keys).agg(
-        first("protein_score").alias("protein_top"),
-        first("spacer_score").alias("spacer_top"),
+        first(settled(F.col("protein_score")) / 1e9).alias("protein_top"),
+        first(F.col("spacer_score")).alias("spacer_top"),
         F.count_if(F.col("_gold") & (status == "concordant_support")).alias("gold_with_concordant_support"),
         F.count_if(conflict).alias("conflicting_candidates"),
         F.count_if(status.endswith("neutral")).alias("neutral_candidates"),
