@@ -9,6 +9,7 @@ meets its positions again in the output.
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,6 +211,17 @@ def differing_bases(left: Column, right: Column, longest: int) -> Column:
     return total
 
 
+def enough_key_bases(strands: DataFrame, keys: list[str], key_bases: int) -> int:
+    """Key length that leaves a window some chance pairs at most: one base more than the largest group of `keys` needs to tell its strands apart.
+
+    Longer keys only cost more keys per strand and window, as each comes with a choice of blocks.
+    """
+    if not keys:
+        return key_bases
+    largest = strands.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    return min(key_bases, 1 + ceil(log(largest, 4)))
+
+
 def placed_matches(
     strands: DataFrame, targets: DataFrame, lengths: list[int], mismatches: int, flank: int, keys: list[str], key_bases: int
 ) -> DataFrame:
@@ -225,12 +237,13 @@ def placed_matches(
         members = [n for n in lengths if seed_length(n) == seed]
         fitting = strands.where(F.length("query").isin(members)).withColumn("full", F.col("query")).withColumn("query", F.substring("full", 1, seed))
         window_rows = windows(tile_rows, seed)
-        if at_most(fitting, MAX_COPIED_QUERIES):
-            found = _scan_windows(fitting, window_rows, seed, mismatches, keys, key_bases).drop("window")
+        bases = enough_key_bases(fitting, keys, key_bases)
+        if at_most(fitting, min(MAX_COPIED_QUERIES, MAX_COPIED_KEYS // len(block_masks(seed, mismatches, bases)))):
+            found = _scan_windows(fitting, window_rows, seed, mismatches, keys, bases).drop("window")
         else:
             # Windows meet their pairs without their tile, which is fetched for the hits alone.
             slim = window_rows.select(*keys, *place, "at", "window")
-            pairs = matched_windows(fitting, slim, seed, mismatches, key_bases, keys)
+            pairs = matched_windows(fitting, slim, seed, mismatches, bases, keys)
             found = slim.join(pairs.join(fitting, [*keys, "query"]), [*keys, "window"]).drop("window").join(tile_rows, [*keys, *place])
         found = found.withColumn("window", F.substring(F.col("tile_text"), F.col("at") + 1, F.length("full"))).where(F.length("window") == F.length("full"))
         if members != [seed]:
@@ -316,8 +329,9 @@ def spacer_hits(
     )
 
 
-# Distinct spacer strands that may be copied to every executor: some 200 bytes each with their keys.
+# Distinct spacer strands that may be copied to every executor, and their keys in all: some 200 bytes each.
 MAX_COPIED_QUERIES = 200_000
+MAX_COPIED_KEYS = 800_000
 
 
 def _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases) -> DataFrame:
