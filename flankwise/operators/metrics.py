@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import LONGEST, STEP, counter_digests
 from ..functions.iupac import augmented_matrix, is_subset, normalize_motif, valid_motif
 from ..functions.matrix import matrix_cosine
 from ..session import at_most, materialize
@@ -168,47 +169,60 @@ DEALT = 1 << 18
 # Draws that a task holds at once, and resamples that one task makes of a block.
 HELD = 1 << 20
 RESAMPLES = 250
+# Tasks at most of a step of the bootstrap.
+MAX_TASKS = 4096
 
 
 def hashed_numbers(prefix: str, count: int) -> np.ndarray:
     """Numbers below 2^60, two per digest of `prefix` and a counter: the same on every engine and any partitioning."""
-    start = md5(prefix.encode())
-    digests = []
-    for n in range((count + 1) // 2):
-        one = start.copy()
-        one.update(str(n).encode())
-        digests.append(one.digest())
-    return (np.frombuffer(b"".join(digests), ">u8")[:count] >> np.uint64(4)).astype(np.int64)
+    text, digests, first, end = prefix.encode(), [], 0, (count + 1) // 2
+    if len(text) + len(str(end)) > LONGEST:
+        words = b"".join(md5(text + str(n).encode()).digest() for n in range(end))
+        return (np.frombuffer(words, ">u8")[:count] >> np.uint64(4)).astype(np.int64)
+    while first < end:
+        last = min(first + STEP, end, 10 ** len(str(first)))
+        digests.append(counter_digests(text, first, last))
+        first = last
+    words = np.concatenate(digests).astype("<u4", copy=False) if digests else np.empty((0, 4), "<u4")
+    return (words.view(">u8").ravel()[:count] >> np.uint64(4)).astype(np.int64)
 
 
-def dealt_draws(placed: DataFrame, keys: list[str], iterations: int, seed: int) -> DataFrame:
+def run_column(iterations: int) -> Column:
+    """A row per run of at most RESAMPLES resamples."""
+    return F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // RESAMPLES) - 1)))
+
+
+def draw_ranges(placed: DataFrame, keys: list[str], iterations: int) -> DataFrame:
+    """(keys, size, _range, run): a row per range of draws and run of resamples."""
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    ranges = sizes.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / DEALT) - 1)))
+    return ranges.select(*keys, "size", "_range").withColumn("run", run_column(iterations))
+
+
+def dealt_draws(placed: DataFrame, keys: list[str], iterations: int, seed: int, tasks: int = 1) -> DataFrame:
     """(keys, block, run, size, counts): how many draws of each resample of a run fall into a block of values, per range of draws.
 
     Draw `j` of a resample belongs to the block of place number(seed-iteration-range, j) modulo size. A task counts the
-    draws of one range into arrays, one per block; no draw is a row.
+    draws of one range and run into arrays, one per block; no draw is a row.
     """
     def deal(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                *key, size, at = row
+                *key, size, at, run = row
                 blocks, draws = -(-size // BLOCK), min(DEALT, size - at * DEALT)
-                counts = np.zeros((blocks, iterations), np.int64)
+                resamples = range(run * RESAMPLES, min((run + 1) * RESAMPLES, iterations))
+                counts = np.zeros((blocks, len(resamples)), np.int64)
                 if blocks == 1:
                     counts[0] = draws
                 else:
-                    for i in range(iterations):
-                        counts[:, i] = np.bincount(hashed_numbers(f"{seed}-{i}-{at}-", draws) % size // BLOCK, minlength=blocks)
-                for block in range(blocks):
-                    yield pd.DataFrame([[*key, block, run, size, counts[block, run * RESAMPLES:(run + 1) * RESAMPLES]] for run in range(runs)], columns=names)
+                    for n, i in enumerate(resamples):
+                        counts[:, n] = np.bincount(hashed_numbers(f"{seed}-{i}-{at}-", draws) % size // BLOCK, minlength=blocks)
+                yield pd.DataFrame([[*key, block, run, size, counts[block]] for block in range(blocks)], columns=names)
 
-    runs = -(-iterations // RESAMPLES)
     names = [*keys, "block", "run", "size", "counts"]
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    ranges = sizes.withColumn("_range", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / DEALT) - 1)))
-    ranges = ranges.repartition(*[*keys, "_range"])
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["block bigint", "run int", "size bigint", "counts array<bigint>"])
-    return ranges.select(*keys, "size", "_range").mapInPandas(deal, schema)
+    return draw_ranges(placed, keys, iterations).repartition(tasks, *keys, "_range", "run").mapInPandas(deal, schema)
 
 
 def resample_sums(placed: DataFrame, values: list[str], keys: list[str], iterations: int, seed: int) -> DataFrame:
@@ -236,12 +250,15 @@ def resample_sums(placed: DataFrame, values: list[str], keys: list[str], iterati
         return pd.DataFrame([[*key[:-2], run, int(right["size"].iloc[0]), *sums]], columns=names)
 
     names = [*keys, "run", "size", *values]
-    runs = F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // RESAMPLES) - 1)))
-    rows = placed.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long")).withColumn("run", runs)
+    rows = placed.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long")).withColumn("run", run_column(iterations))
     kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in keys] + ["run int", "size bigint"] + [f"`{v}` array<double>" for v in values])
     group = [*keys, "block", "run"]
-    parts = rows.groupBy(*group).cogroup(dealt_draws(placed, keys, iterations, seed).groupBy(*group)).applyInPandas(draw, schema)
+    # The rows of draws are few and their work is large: a given number of partitions is never drawn together.
+    tasks = max(1, min(2 * draw_ranges(placed, keys, iterations).count(), MAX_TASKS))
+    dealt = dealt_draws(placed, keys, iterations, seed, tasks)
+    apart = lambda side: side.repartition(min(4 * tasks, MAX_TASKS), *group).groupBy(*group)
+    parts = apart(rows).cogroup(apart(dealt)).applyInPandas(draw, schema)
     spread_out = parts.select(*keys, "run", "size", F.posexplode(F.arrays_zip(*values)).alias("_at", "_sums"))
     spread_out = spread_out.withColumn("iteration", F.col("run") * RESAMPLES + F.col("_at"))
     return spread_out.groupBy(*keys, "iteration", "size").agg(*[F.sum(f"_sums.{v}").alias(v) for v in values])

@@ -38,3 +38,22 @@ def test_near_pairs_of_shifted_and_edited_texts_are_all_verified_in_the_join(spa
     pairs.explain()
     join = next(line for line in capsys.readouterr().out.splitlines() if "Join" in line)
     assert "bucket" in join and "levenshtein" in join and ", None)" not in join
+
+
+def test_draws_of_few_values_are_spread_over_many_tasks(spark):
+    """The rows that describe draws are small, so that adaptive execution put them all into one task."""
+    import numpy as np
+    from hashlib import md5
+    from pyspark.sql import functions as F
+    from flankwise.operators import metrics as me
+
+    for prefix in ("17-3-0-", "20260927-1234-11-0-", "x" * 52, ""):
+        for count in (0, 1, 19, 20, 21, 2001, 20011):
+            words = b"".join(md5(f"{prefix}{n}".encode()).digest() for n in range((count + 1) // 2))
+            assert (me.hashed_numbers(prefix, count) == (np.frombuffer(words, ">u8")[:count] >> np.uint64(4)).astype(np.int64)).all()
+
+    placed = spark.range(40).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 2).alias("place"), F.col("id").cast("double").alias("v"))
+    sums = me.resample_sums(placed, ["v"], ["k"], 2000, 7)
+    assert sums.count() == 4000
+    exchange = [p for p in sums._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in p]
+    assert len(exchange) == 3
