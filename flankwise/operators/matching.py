@@ -11,6 +11,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import ceil, log
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..functions.dna import normalize_dna, reverse_complement
 from ..functions.iupac import (
     WINDOW, chars, hide_free, is_subset, key_window, normalize_motif, packed_masks, packed_subset, restricted_keys, symbol_mask, valid_motif,
 )
+from ..functions.scan import TileScanner
 from ..session import at_most
 
 
@@ -72,6 +74,15 @@ def block_masks(length: int, mismatches: int, key_bases: int) -> list[list[int]]
     return masks
 
 
+def places_of_keys(length: int, mismatches: int, key_bases: int) -> list[list[int]]:
+    """Per key, the places of a seed that it compares, at most 31 of them."""
+    blocks = block_count(length, mismatches, key_bases)
+    edges = [i * length // blocks for i in range(blocks + 1)]
+    return [
+        [place for b in chosen for place in range(edges[b], edges[b + 1])][:31] for chosen in combinations(range(blocks), blocks - mismatches)
+    ]
+
+
 def with_keys(rows: DataFrame, digits: Column, length: int, masks: list[list[int]], prefix: str) -> DataFrame:
     """One row per key: (`key_number`, `key`) plus the packed integers `prefix`0, `prefix`1, ..."""
     names = [f"{prefix}{i}" for i in range(len(masks[0]))]
@@ -196,7 +207,7 @@ def checked_targets(targets: DataFrame, keys: list[str] = []) -> DataFrame:
     if repeated is not None:
         raise ValueError(f"repeated target id: {repeated['target_id']}")
     sequence = normalize_dna("target_sequence")
-    only = F.coalesce((sequence != "") & (F.translate(sequence, "ACGTN", "") == ""), F.lit(False))
+    only = F.coalesce((sequence != "") & sequence.rlike("^[ACGTN]+$"), F.lit(False))
     return targets.select(*keys, "target_id", refused(~only, "target_id", "must contain only A/C/G/T/N", sequence).alias("target_sequence"))
 
 
@@ -232,6 +243,9 @@ def placed_matches(
     """
     tile_rows = tiles(targets, max(lengths), flank, keys)
     place = ["target_id", "tile_start"]
+    wanted = [n for n in lengths if n > 0]
+    if not keys and at_most(strands, MAX_SCANNED_QUERIES):
+        return _scan_tiles(strands.where(F.length("query").isin(wanted)), tile_rows, mismatches, key_bases)
     parts = []
     for seed in sorted({seed_length(n) for n in lengths}):
         members = [n for n in lengths if seed_length(n) == seed]
@@ -343,6 +357,34 @@ def _scan_windows(fitting, window_rows, length, mismatches, keys, key_bases) ->
     return verified_pairs(pairs, length, mismatches, masks)
 
 
+# Distinct strands that one scan of the tiles holds.
+MAX_SCANNED_QUERIES = 20_000
+
+
+def _scan_tiles(strands: DataFrame, tile_rows: DataFrame, mismatches: int, key_bases: int) -> DataFrame:
+    """Few queries without keys (counted): each batch of tiles is read once for all lengths, as an array of bases; a row is a place of a query."""
+    queries = sorted(row.query for row in strands.select("query").distinct().collect())
+    kinds = {f.name: f.dataType.simpleString() for f in tile_rows.schema}
+
+    def scan(frames):
+        scanner = TileScanner(queries, {n: places_of_keys(seed_length(n), mismatches, key_bases) for n in {len(q) for q in queries}}, mismatches)
+        for frame in frames:
+            tile, at, query, differing = scanner.places(frame["tile_text"].tolist(), frame["lead"].to_numpy(), frame["owned"].to_numpy())
+            if not len(tile):
+                continue
+            texts = frame["tile_text"].to_numpy(dtype=object)[tile]
+            words = lambda values: pd.Series(list(values), dtype=object)
+            yield pd.DataFrame({
+                "target_id": frame["target_id"].to_numpy()[tile], "start": frame["tile_start"].to_numpy()[tile] + at - frame["lead"].to_numpy()[tile],
+                "at": at, "query": words(queries[q] for q in query), "mismatches": differing, "tile_text": words(texts),
+                "window": words(text[a:a + len(queries[q])] for text, a, q in zip(texts, at, query)),
+            })
+
+    found = tile_rows.mapInPandas(
+        scan, f"target_id {kinds['target_id']}, start long, at int, query string, mismatches long, tile_text string, window string")
+    return found.join(F.broadcast(strands), "query")
+
+
 def duplicate_targets(targets: DataFrame, keys: list[str] = []) -> DataFrame:
     """Target ids that occur more than once; a hit search refuses them."""
     return targets.groupBy(*keys, "target_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -80,7 +80,7 @@ def text_bases(text: Column) -> Column:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole document texts as sequences of any length; texts without letters are none."""
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select(F.col("doc_id").alias("target_id"), text_bases(F.col("text")).alias("target_sequence")).where("target_sequence <> ''")
+    return rows.select(F.col("doc_id").alias("target_id"), text_bases(F.col("text")).alias("target_sequence"), F.col("text").rlike("[A-Za-z]").alias("_some")).where("_some").drop("_some")
 
 
 def passage_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:

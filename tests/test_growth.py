@@ -57,3 +57,32 @@ def test_draws_of_few_values_are_spread_over_many_tasks(spark):
     assert sums.count() == 4000
     exchange = [p for p in sums._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in p]
     assert len(exchange) == 3
+
+
+def test_a_scan_of_tiles_finds_what_the_join_finds_without_a_row_per_place(spark, monkeypatch):
+    """Queries of several lengths, unknown bases, borders of tiles, both strands; searches without keys list no windows."""
+    from flankwise.operators import matching
+
+    pick = random.Random(3)
+    letters = lambda n, of="ACGT": "".join(pick.choice(of) for _ in range(n))
+    texts = [letters(pick.choice((7, 40, 700, 1100)), "ACGTACGTACGTN") for _ in range(6)]
+    spacers, n = [], 0
+    for text in texts:
+        for length in (9, 13, 18, 25, 33):
+            for at in (0, 505, len(text) - length):
+                piece = text[max(at, 0):max(at, 0) + length].replace("N", "A")
+                if len(piece) == length:
+                    spot = pick.randrange(length)
+                    spacers.append((n, piece[:spot] + pick.choice("ACGT") + piece[spot + 1:]))
+                    n += 1
+    s = spark.createDataFrame(spacers, "spacer_id int, spacer_sequence string")
+    t = spark.createDataFrame(list(enumerate(texts)), "target_id int, target_sequence string")
+    for mismatches in (0, 1, 2):
+        search = lambda: sorted(map(str, matching.spacer_hits(s, t, mismatches=mismatches, flank_length=4).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "windows", None)
+            scanned = search()
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "MAX_SCANNED_QUERIES", -1)
+            joined = search()
+        assert scanned == joined and scanned
