@@ -316,9 +316,14 @@ def average_rank(rows: DataFrame, *, value: str, keys: list[str], descending: bo
 def ranked_columns(rows: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
     """Distinct value combinations with their count `_n` and, per column, mid-rank and copies from either end.
 
-    The combinations are stored once; every column is ranked on its own distinct values.
+    Where every key has few rows (counted), a key is one window and rows that already lie together by key do not move again.
+    Otherwise the combinations are stored once and every column is ranked on its own distinct values.
     """
-    combos = materialize(rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n")))
+    combos = rows.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0] or 0
+    if keys and largest <= MAX_KEY_ROWS:
+        return _ranked_in_windows(combos, columns, keys)
+    combos = materialize(combos)
     whole = at_most(combos, MAX_WINDOW_VALUES)
     out = combos.join(combos.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
     for c in columns:
@@ -331,6 +336,20 @@ def ranked_columns(rows: DataFrame, columns: list[str], keys: list[str]) -> Data
     return out
 
 
+# Rows of a key up to which it is one window.
+MAX_KEY_ROWS = 100_000
+
+
+def _ranked_in_windows(combos: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    out = combos.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    for c in columns:
+        up_to = F.sum("_n").over(Window.partitionBy(*keys).orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(f"_copies_{c}", F.sum("_n").over(Window.partitionBy(*keys, c))).withColumn(f"_below_{c}", up_to - F.col(f"_copies_{c}"))
+        out = out.withColumn(f"_rank_{c}", F.col(f"_below_{c}") + (F.col(f"_copies_{c}") + 1) / 2.0)
+    # A missing value has no rank and its rows are left out, as in a join.
+    return out.where(" and ".join(f"`{c}` is not null" for c in [*keys, *columns]))
+
+
 def _correlation(left: str, right: str) -> Column:
     """Pearson of two rank columns over weighted rows, as an aggregate; null when a side is constant."""
     x, y, n = F.col(f"_rank_{left}"), F.col(f"_rank_{right}"), F.sum("_n")
@@ -367,12 +386,17 @@ def top_overlap(rows: DataFrame, *, left: str, right: str, keys: list[str], k: i
     return ranked_columns(rows, [left, right], keys).groupBy(*keys).agg(_overlap(left, right, k).alias("overlap"))
 
 
+# Items whose control values are copied to every task.
+MAX_COPIED_ITEMS = 100_000
+
+
 def variant_metrics(measures: DataFrame, control: DataFrame, *, variant: str, item: str, k: int = 5) -> DataFrame:
     """Spearman and top-k of prediction and of the control vector against each variant's target.
 
     measures: (variant, item, prediction, target); control: (item, control), one
     value per item. The deltas are variant minus control.
     """
+    control = F.broadcast(control) if at_most(control, MAX_COPIED_ITEMS) else control
     ranked = ranked_columns(measures.join(control, item), ["prediction", "target", "control"], [variant])
     return ranked.groupBy(variant).agg(
         _correlation("prediction", "target").alias("spearman"), _correlation("control", "target").alias("control_spearman"),

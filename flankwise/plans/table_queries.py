@@ -245,8 +245,15 @@ def variants(spark, sf_dir):
     return spread(d.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant_id"), "p_size"))
 
 
+# Variants of one task, each of 64 rows.
+VARIANTS_OF_A_TASK = 20_000
+
+
 def measurements(spark, sf_dir):
-    groups = qu.expected_groups(variants(spark, sf_dir))
+    """Rows by variant: variants are dealt before they become 64 rows, so that what is grouped by variant does not move."""
+    rows = variants(spark, sf_dir)
+    tasks = max(1, rows.count() // VARIANTS_OF_A_TASK, spark.sparkContext.defaultParallelism)
+    groups = qu.expected_groups(rows.repartition(tasks, "variant_id"))
     key = F.concat(F.col("variant_id").cast("string"), F.col("pam_group"))
     raw = F.when(F.col("variant_id") % 50 == 49, F.lit(-6.0)).otherwise(d.nibble("v", key, 1) / 2.0 - 7.0)
     return qu.clip(groups.select("variant_id", "pam_group", raw.alias("raw_log10_k")))
@@ -274,7 +281,9 @@ def per_variant(spark, sf_dir):
     m = measurements(spark, sf_dir)
     key = F.concat(F.col("variant_id").cast("string"), F.col("pam_group"))
     rows = m.select("variant_id", F.col("pam_group").alias("item"), d.nibble("y", key, 1).alias("prediction"), F.col("ranking_target_log10_k").alias("target"))
-    control = rows.select("item").distinct().select("item", d.nibble("x", F.col("item"), 1).alias("control"))
+    # Every variant has the same groups.
+    items = qu.expected_groups(variants(spark, sf_dir).limit(1)).select(F.col("pam_group").alias("item"))
+    control = items.select("item", d.nibble("x", F.col("item"), 1).alias("control"))
     return me.variant_metrics(rows, control, variant="variant_id", item="item")
 
 

@@ -86,3 +86,25 @@ def test_a_scan_of_tiles_finds_what_the_join_finds_without_a_row_per_place(spark
             patch.setattr(matching, "MAX_SCANNED_QUERIES", -1)
             joined = search()
         assert scanned == joined and scanned
+
+
+def test_rows_that_lie_by_variant_do_not_move_again_to_be_ranked(spark, monkeypatch, capsys):
+    """Windows of small keys give what ranks of stored combinations give, for missing and undefined values too, without a shuffle."""
+    from pyspark.sql import functions as F
+    from flankwise.operators import metrics as me
+
+    pick = random.Random(9)
+    values = [None, float("nan"), 1.0, 2.0, 2.5, 3.0]
+    rows = spark.createDataFrame([(pick.choice("abcde"), i % 8, pick.choice(values), pick.choice(values)) for i in range(300)], "variant string, item long, prediction double, target double")
+    columns = ["variant", "prediction", "target", "_n", "_total", *[f"_{kind}_{c}" for kind in ("rank", "below", "copies") for c in ("prediction", "target")]]
+    ranked = lambda: sorted(map(str, me.ranked_columns(rows, ["prediction", "target"], ["variant"]).select(columns).collect()))
+    small = ranked()
+    with monkeypatch.context() as patch:
+        patch.setattr(me, "MAX_KEY_ROWS", -1)
+        assert small == ranked() and small
+
+    control = spark.range(8).select(F.col("id").alias("item"), (F.col("id") % 3).cast("double").alias("control"))
+    capsys.readouterr()
+    me.variant_metrics(rows.repartition(4, "variant"), control, variant="variant", item="item").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
