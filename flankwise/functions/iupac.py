@@ -87,6 +87,11 @@ def packed_masks(motif: Column | str) -> Column:
     return F.transform(pieces, lambda p: F.conv(p, 16, 10).cast("long"))
 
 
+def set_sizes(motif: Column | str) -> Column:
+    """The number of bases allowed at each place, a digit per letter."""
+    return F.translate(normalize_motif(motif), SYMBOL_BY_MASK, "".join(str(m.bit_count()) for m in range(1, 16)))
+
+
 def packed_subset(inner: Column | str, outer: Column | str) -> Column:
     """Every base set of one packed motif lies inside the one of the other, both of one length."""
     return F.forall(F.zip_with(col(inner), col(outer), lambda a, b: a.bitwiseAND(b) == a), lambda ok: ok)
@@ -125,13 +130,6 @@ def restricted_keys(motif: Column | str) -> Column:
     )
 
 
-def hide_free(sequence: Column, pattern: Column) -> Column:
-    """Blank out the positions of `sequence` that `pattern` leaves free."""
-    return F.array_join(
-        F.zip_with(chars(sequence), chars(pattern), lambda s, p: F.when(p == ".", F.lit(".")).otherwise(s)), ""
-    )
-
-
 def augmented_matrix(motif: Column | str) -> Column:
     """10 rows of A, C, G, T weight plus an ambiguity cell; absent positions are zero rows."""
     def row(m: Column) -> Column:

@@ -8,6 +8,7 @@ meets its positions again in the output.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import ceil, log
 
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import normalize_dna, reverse_complement
 from ..functions.iupac import (
-    WINDOW, chars, hide_free, is_subset, key_window, normalize_motif, packed_masks, packed_subset, restricted_keys, symbol_mask, valid_motif,
+    PACKED, chars, is_subset, normalize_motif, packed_masks, packed_subset, restricted_keys, set_sizes, symbol_mask, valid_motif,
 )
 from ..functions.scan import TileScanner
-from ..session import at_most
+from ..session import at_most, materialize
 
 
 # Wanted length of a join key: long enough to be selective, short enough for few keys per window.
@@ -394,32 +395,77 @@ def canonical_hit_order(hits: DataFrame) -> DataFrame:
     return hits.orderBy("spacer_id", "target_id", "start", "strand")
 
 
+# Numbers of places that a key of a motif may have, most spelled places of two bases, and compared pairs that cost as much as one copied row.
+KEY_PLACES = (2, 4, 6, 7, 8, 10, 12)
+MAX_SPELLED = 8
+PAIRS_PER_COPY = 16
+# Packed integers that a join compares one by one.
+MAX_WORDS = 4
+
+
+def keyed_motifs(motifs: DataFrame, lengths: DataFrame, by_length: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(_motif, _len, _one, places): the places of one base, counted, and the places of each motif that its key spells, as many as is cheapest for its length.
+
+    motifs: (_motif, _len); lengths: (_len, strings); `by_length` marks tables of a row per length that are few enough to be copied. Only places of one or two bases are spelled, those of one first and of these
+    the ones that most motifs of the length share, so that few sets of places (shapes) serve all. More places mean fewer pairs
+    to compare and more shapes, for each of which every string is copied: both are counted for all motifs, and the least wins.
+    """
+    rows = materialize(motifs.withColumn("_size", set_sizes("_motif")))
+    place = F.explode(F.sequence(F.lit(1), "_len")).alias("p")
+    single = rows.select("_len", "_size", place).groupBy("_len", "p").agg(F.count_if(F.substring("_size", F.col("p"), F.lit(1)) == "1").alias("n"))
+    order = single.groupBy("_len").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "p"))), lambda x: x["p"]).alias("_order"))
+    of_size = lambda n: F.filter("_order", lambda p: F.substring("_size", p, F.lit(1)) == n)
+    ranked = F.concat(of_size("1"), F.slice(of_size("2"), 1, MAX_SPELLED))
+    one = F.length(F.translate("_size", "234", ""))
+    rows = materialize(rows.join(by_length(order), "_len").select("_motif", "_len", ranked.alias("_ranked"), one.alias("_one")))
+    places = lambda n: F.sort_array(F.slice("_ranked", 1, n))
+    options = F.array(*[F.struct(F.lit(n).alias("n"), places(n).alias("places")) for n in KEY_PLACES])
+    spelled = F.greatest(F.size("places") - F.col("_one"), F.lit(0))
+    tried = rows.select("_len", "_one", F.explode(options).alias("x")).select("_len", "_one", "x.*").withColumn("_two", spelled)
+    shapes = tried.groupBy("_len", "n", "places").agg(
+        F.sum(F.pow(F.lit(2.0), "_two")).alias("spellings"), F.sum(F.pow(F.lit(0.25), F.size("places") - F.col("_two")) * F.pow(F.lit(0.5), "_two")).alias("share"))
+    costs = shapes.groupBy("_len", "n").agg(F.count(F.lit(1)).alias("shapes"), F.sum("spellings").alias("spellings"), F.sum("share").alias("share"))
+    cost = F.col("strings") * (F.col("shapes") + F.col("share") / PAIRS_PER_COPY) + F.col("spellings")
+    best = costs.join(lengths, "_len").groupBy("_len").agg(F.min_by("n", F.struct(cost, F.col("n"))).alias("_n"))
+    return rows.join(by_length(best), "_len").select("_motif", "_len", "_one", places(F.col("_n")).alias("places"))
+
+
 def motif_match_join(concrete: DataFrame, motifs: DataFrame, sequence: str, motif: str) -> DataFrame:
     """Pairs (concrete string, motif) where the string spells the motif, of any length.
 
-    A motif is keyed by the eight letters that say most: these are spelled out, at most 2^8 ways, with `.` where
-    more than two bases are allowed. Strings are cut to the same place and blanked alike; pairs of one key are
-    verified over all letters by bits. The shapes of keys, at most 2^8 a place of a length, are copied where they are
+    A motif is keyed by its letters at some places (see `keyed_motifs`), all that are spelled there; strings are cut to the same places.
+    Pairs of one key are verified over all letters by bits. The shapes of keys are copied where they are
     counted to be few, and joined by length otherwise.
     """
-    wanted = (
-        motifs.select(F.col(motif).alias("_motif")).distinct().where(valid_motif("_motif"))
-        .withColumn("_len", F.length(normalize_motif("_motif")))
-        .withColumn("_w", key_window("_motif"))
-        .select("_motif", "_len", "_w.at", "_w.shape", packed_masks("_motif").alias("_outer"),
-                F.explode(restricted_keys(F.substring(normalize_motif("_motif"), F.col("_w.at"), F.lit(WINDOW)))).alias("_key"))
-    )
-    shapes = wanted.select("_len", "at", "shape").distinct()
-    shapes = F.broadcast(shapes) if at_most(shapes, MAX_COPIED_QUERIES) else shapes
-    strings = (
+    spellings = lambda text: F.array_join(F.transform("places", lambda p: F.substring(text, p, F.lit(1))), "")
+    strings = materialize(
         concrete.select(F.col(sequence).alias("_string")).distinct()
         .where(F.col("_string").rlike("^[ACGT]+$"))
         .withColumn("_len", F.length("_string"))
-        .withColumn("_inner", packed_masks("_string"))
-        .join(shapes, "_len")
-        .withColumn("_key", hide_free(F.substring(F.col("_string"), F.col("at"), F.lit(WINDOW)), F.col("shape")))
     )
-    pairs = strings.join(wanted, ["_len", "at", "shape", "_key"]).where(packed_subset("_inner", "_outer"))
+    lengths = materialize(strings.groupBy("_len").agg(F.count(F.lit(1)).alias("strings")))
+    listed = motifs.select(F.col(motif).alias("_motif")).distinct().where(valid_motif("_motif")).withColumn("_len", F.length(normalize_motif("_motif")))
+    found, longest = lengths.agg(F.count(F.lit(1)), F.coalesce(F.max("_len"), F.lit(0))).first()
+    by_length = F.broadcast if found <= MAX_COPIED_QUERIES else lambda rows: rows
+    words = range(min(ceil(longest / PACKED), MAX_WORDS))
+    keyed = materialize(keyed_motifs(listed.join(by_length(lengths), "_len", "left_semi"), lengths, by_length))
+    word = lambda packed, i: F.coalesce(F.get(packed, F.lit(i)), F.lit(0))
+    cut = spellings(normalize_motif("_motif"))
+    spelled = F.explode(F.when(F.size("places") <= F.col("_one"), F.array(cut)).otherwise(restricted_keys(cut)))
+    wanted = keyed.select("_motif", "_len", "places", packed_masks("_motif").alias("_outer"), spelled.alias("_key"))
+    shapes = keyed.select("_len", "places").distinct()
+    shapes = F.broadcast(shapes) if at_most(shapes, MAX_COPIED_QUERIES) else shapes
+    placed = strings.withColumn("_inner", packed_masks("_string")).join(shapes, "_len").withColumn("_key", spellings(F.col("_string")))
+    split = lambda rows, packed, prefix: rows.select("*", *[word(packed, i).alias(f"{prefix}{i}") for i in words])
+    matched = F.lit(True)
+    for i in words:
+        matched = matched & (F.col(f"_i{i}").bitwiseAND(F.col(f"_o{i}")) == F.col(f"_i{i}"))
+    left, right = split(placed, "_inner", "_i"), split(wanted, "_outer", "_o")
+    if longest > PACKED * MAX_WORDS:
+        matched = matched & packed_subset("_inner", "_outer")
+    else:
+        left, right = left.drop("_inner"), right.drop("_outer")
+    pairs = left.join(right, ["_len", "places", "_key"]).where(matched)
     return pairs.select(F.col("_string").alias(sequence), F.col("_motif").alias(motif))
 
 

@@ -12,7 +12,7 @@ from ..operators import metrics as me
 from ..operators.annotation import token_set_join
 from ..operators.candidates import concrete_candidates
 from ..operators.matching import motif_match_join
-from ..session import materialize
+from ..session import materialize, spread
 from . import derive as d
 from . import evidence_queries as eq
 from . import ranking_queries as rq
@@ -118,7 +118,7 @@ SQL_LONG = f"""letters as (select p_partkey, {d.SQL['dna']('x', 'p_partkey')} as
 @registry.add("long_motif_join", d.with_ctes(SQL_LONG, final="select pam, motif from hex_s s join hex_m m on (s.a & m.a) = s.a and (s.b & m.b) = s.b"))
 def q_long_motif_join(spark, sf_dir):
     p = F.col("p_partkey")
-    part = d.table(spark, sf_dir, "part")
+    part = spread(d.table(spark, sf_dir, "part").select("p_partkey"))
     return motif_match_join(part.select(long_string(p).alias("pam")), part.select(long_motif(p).alias("motif")), "pam", "motif")
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from flankwise.operators.similarity import identity_pairs
 
 
@@ -108,3 +110,24 @@ def test_rows_that_lie_by_variant_do_not_move_again_to_be_ranked(spark, monkeypa
     me.variant_metrics(rows.repartition(4, "variant"), control, variant="variant", item="item").explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_keys_of_long_motifs_take_their_places_anywhere_and_few_shapes_serve_all(spark):
+    """Places of one base may lie far apart; a window of neighbours said too little and had a shape for nearly every motif."""
+    from flankwise.operators import matching
+
+    sets = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "N": "ACGT", "V": "ACG"}
+    pick = random.Random(13)
+    draw = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    motifs = sorted({draw("ACGT", 3) + draw("RNVVVVVT", 14) + draw("ACGT", 4) for _ in range(300)} | {"R" * 21, "N" * 21})
+    strings = sorted({"".join(pick.choice(sets[c]) for c in m) for m in motifs} | {draw("ACGT", 21) for _ in range(300)})
+    rows = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    found = matching.motif_match_join(rows(strings, "s"), rows(motifs, "m"), "s", "m").collect()
+    expected = {(s, m) for m in motifs for s in strings if all(x in sets[y] for x, y in zip(s, m))}
+    assert len(found) == len(set(found)) and {(r.s, r.m) for r in found} == expected
+
+    lengths = spark.createDataFrame([(21, len(strings))], "_len int, strings long")
+    keyed = matching.keyed_motifs(rows(motifs, "_motif").withColumn("_len", F.lit(21)), lengths, F.broadcast).collect()
+    ends = {1, 2, 3, 18, 19, 20, 21}
+    assert len(keyed) == len(motifs) and len({tuple(r.places) for r in keyed}) <= 10
+    assert all(ends >= set(r.places) and len(r.places) >= 4 and r.places[-1] - r.places[0] > 8 for r in keyed if "R" * 21 != r._motif != "N" * 21)
