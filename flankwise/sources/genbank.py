@@ -6,10 +6,13 @@ translated where the file is read.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.dna import MAX_LENGTH, START_CODONS, reverse_complement, translate_dna
+from ..functions.dna import CODON_BASES, CODON_RESIDUES, MAX_LENGTH, START_CODONS, reverse_complement, translate_dna
 from ..functions.iupac import col
 
 # Code tables that translate alike but for their start codons, and the join of spans.
@@ -118,7 +121,8 @@ def coding_features(records: DataFrame, kind: str = "CDS") -> DataFrame:
     last stop is left out, and an alternative start codon may be annotated as M.
     """
     keep = [c for c in records.columns if c not in ("features", "sequence")]
-    rows = records.select(*keep, "sequence", F.posexplode("features").alias("feature_number", "feature")).where(F.col("feature.kind") == kind)
+    # An outer explode: Spark gives a plain one a filter on the size of its array, moves that below and so repeats every step of the reading.
+    rows = records.select(*keep, "sequence", F.posexplode_outer("features").alias("feature_number", "feature")).where(F.col("feature.kind") == kind)
     rows = rows.withColumn("parts", location_parts("feature.location")).withColumn("annotation", F.regexp_replace(_qualifier("translation"), r"\s", ""))
     size = F.length("sequence")
     inside = F.forall("parts", lambda p: (p["first"] >= 1) & (p["first"] <= p["last"]) & (p["last"] <= size))
@@ -144,25 +148,51 @@ def coding_features(records: DataFrame, kind: str = "CDS") -> DataFrame:
         notes.alias("notes"), (F.size(notes) == 0).alias("verified"))
 
 
+# A residue per three base numbers: A, C, G, T as in `CODON_BASES`, 4 for anything else, which reads as X.
+_BASE = np.full(256, 4, np.uint8)
+_BASE[np.frombuffer(CODON_BASES.encode(), np.uint8)] = range(4)
+_RESIDUE = np.full(125, ord("X"), np.uint8)
+_RESIDUE[[x * 25 + y * 5 + z for x in range(4) for y in range(4) for z in range(4)]] = np.frombuffer(CODON_RESIDUES.encode(), np.uint8)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def places_in(protein: pd.Series, sequence: pd.Series) -> pd.Series:
+    """The first bases, counted from 1, of a protein's places in the three frames of a sequence; places of one frame do not overlap.
+
+    The residues of all codons are looked up at once, for all frames; null for a null, none for an empty protein.
+    """
+    def found(protein, sequence):
+        if protein is None or sequence is None:
+            return None
+        core, places = protein.encode(), []
+        if core and len(sequence) >= 3:
+            base = _BASE[np.frombuffer(sequence.encode("ascii", "replace"), np.uint8)]
+            residues = _RESIDUE[base[:-2] * 25 + base[1:-1] * 5 + base[2:]]
+            for frame in FRAMES:
+                reading = residues[frame::3].tobytes()
+                at = reading.find(core)
+                while at >= 0:
+                    places.append(frame + 3 * at + 1)
+                    at = reading.find(core, at + len(core))
+        return places
+
+    return pd.Series([found(p, s) for p, s in zip(protein, sequence)], dtype=object)
+
+
 def core_places(cores: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Cores (keys, protein) found in the three frames of the references (keys, sequence) with the same keys.
 
     Gives (keys, frame, first, last), base places counted from 1 with both ends in, one row per place; places of one
     frame do not overlap. Unknown bases read as X.
     """
-    frames = references.select(*keys, "sequence", F.explode(F.array(*[F.lit(f) for f in FRAMES])).alias("frame"))
     wanted = cores.select(*keys, "protein").where("protein <> ''").distinct()
-    rows = frames.join(wanted, keys).withColumn("_reading", translate_dna(F.substring("sequence", F.col("frame") + 1, F.lit(MAX_LENGTH))))
-    rows = rows.where(F.contains("_reading", "protein"))
-    literal = F.concat(F.lit(r"\Q"), F.col("protein"), F.lit(r"\E"))
-    gaps = F.transform(F.split("_reading", literal, -1), F.length)
-    n = F.length("protein")
-    # The k-th place lies behind k gaps and k - 1 copies of the core.
-    ends = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), F.array().cast("array<int>"), lambda done, g: F.concat(
-        done, F.array(F.when(F.size(done) > 0, F.element_at(F.when(F.size(done) > 0, done), -1)).otherwise(F.lit(0)) + g + n)))
-    found = rows.select(*keys, "frame", n.alias("_n"), F.explode(ends).alias("_end"))
-    first = F.col("frame") + 3 * (F.col("_end") - F.col("_n")) + 1
-    return found.select(*keys, "frame", first.cast("long").alias("first"), (first + 3 * F.col("_n") - 1).cast("long").alias("last"))
+    return listed_places(references.select(*keys, "sequence").join(wanted, keys).withColumn("places", places_in("protein", "sequence")), keys)
+
+
+def listed_places(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, frame, first, last) of rows (keys, protein, places), a row per place."""
+    rows = found.select(*keys, F.length("protein").alias("_n"), F.explode("places").alias("first"))
+    return rows.select(*keys, ((F.col("first") - 1) % 3).cast("int").alias("frame"), "first", (F.col("first") + 3 * F.col("_n") - 1).cast("long").alias("last"))
 
 
 def core_verdict(cores: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:

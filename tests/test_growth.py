@@ -131,3 +131,30 @@ def test_keys_of_long_motifs_take_their_places_anywhere_and_few_shapes_serve_all
     ends = {1, 2, 3, 18, 19, 20, 21}
     assert len(keyed) == len(motifs) and len({tuple(r.places) for r in keyed}) <= 10
     assert all(ends >= set(r.places) and len(r.places) >= 4 and r.places[-1] - r.places[0] > 8 for r in keyed if "R" * 21 != r._motif != "N" * 21)
+
+
+def test_records_are_read_once_and_cores_are_searched_by_their_bytes(spark, capsys):
+    """A filter that moves below the parser repeats all of it; places equal a translation letter by letter."""
+    from flankwise.functions.dna import translate_dna
+    from flankwise.sources import genbank as gb
+
+    text = F.concat(F.lit("LOCUS  r"), F.col("id").cast("string"), F.lit('  9 bp\nFEATURES  Location\n     CDS             1..9\n                     /translation="MKV"\nORIGIN\n  1 atgaaagtt\n'))
+    features = gb.coding_features(gb.parsed_records(spark.range(3).select("id", text.alias("text"))))
+    assert [(r.protein, r.verified) for r in features.collect()] == [("MKV", True)] * 3
+    capsys.readouterr()
+    features.explain()
+    assert not [line for line in capsys.readouterr().out.splitlines() if "Filter" in line and "FEATURES" in line]
+
+    pick = random.Random(16)
+    rows = [("".join(pick.choice("ACGTACGTACGTNnü") for _ in range(pick.choice((0, 2, 3, 60, 400)))), pick.choice(("K", "KK", "X", "XX", "L*", "ü", ""))) for _ in range(80)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, sequence string, protein string")
+    readings = frame.select("k", "sequence", "protein", *[translate_dna(F.substring("sequence", f, F.lit(1000))).alias(f"f{f}") for f in (1, 2, 3)]).collect()
+    expected = []
+    for r in readings:
+        for f in range(3):
+            at = r[f"f{f + 1}"].find(r.protein) if r.protein else -1
+            while at >= 0:
+                expected.append((r.k, f, f + 3 * at + 1, f + 3 * (at + len(r.protein))))
+                at = r[f"f{f + 1}"].find(r.protein, at + len(r.protein))
+    found = gb.core_places(frame, frame.select("k", "sequence"), ["k"]).collect()
+    assert expected and sorted(tuple(r) for r in found) == sorted(expected)
