@@ -64,7 +64,7 @@ def fuse(
     """Left join of the spacer channel onto the protein rows, then status and gate.
 
     A motif that the spacer side holds twice for one key is an error. The joined
-    table is stored once, since the gate reads it along several branches.
+    table is stored once, since the gate reads it along several branches; so are the gates, a row per key and length.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -89,7 +89,7 @@ def fuse(
     )
     fused = fused.withColumn("evidence_status", F.col("_a.status")).withColumn("evidence_priority", F.col("_a.priority")).drop("_a")
     fused = materialize(fused.withColumn("pam_length", F.length("candidate_pam")))
-    return fused.join(fusion_gate(fused, keys=keys, policy=policy), [*keys, "pam_length"])
+    return fused.join(materialize(fusion_gate(fused, keys=keys, policy=policy)), [*keys, "pam_length"])
 
 
 def top_candidates(rows: DataFrame, score: str, keys: list[str], candidate: str = "candidate_pam") -> DataFrame:

@@ -475,7 +475,7 @@ def motif_subset_join(candidates: DataFrame, golds: DataFrame, candidate: str, g
     Concrete candidates are plain spellings of the gold. A degenerate one finds
     its golds by one of its own spellings and is then checked letter by letter.
     """
-    left = candidates.select(F.col(candidate).alias("_c")).distinct().where(valid_motif("_c"))
+    left = materialize(candidates.select(F.col(candidate).alias("_c")).distinct().where(valid_motif("_c")))
     concrete = left.where(F.col("_c").rlike("^[ACGT]+$"))
     degenerate = left.where(~F.col("_c").rlike("^[ACGT]+$"))
     g = golds.select(F.col(gold).alias("_g")).distinct().where(valid_motif("_g"))

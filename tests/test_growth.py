@@ -158,3 +158,14 @@ def test_records_are_read_once_and_cores_are_searched_by_their_bytes(spark, caps
                 at = r[f"f{f + 1}"].find(r.protein, at + len(r.protein))
     found = gb.core_places(frame, frame.select("k", "sequence"), ["k"]).collect()
     assert expected and sorted(tuple(r) for r in found) == sorted(expected)
+
+
+def test_gates_are_found_once_for_all_readers_of_a_fused_table(spark, capsys):
+    from flankwise.operators import fusion
+
+    scores = lambda name, first: spark.createDataFrame([(s, m, float((first + n) % 5 * 20)) for s in (1, 2) for n, m in enumerate(("AGG", "CGG", "AAT", "TTTT"))], f"system_id int, candidate_pam string, {name} double")
+    fused = fusion.fuse(scores("specificity_adjusted_score", 0), scores("evidence_score", 3))
+    assert fused.count() == 8
+    capsys.readouterr()
+    fused.explain()
+    assert "Window" not in capsys.readouterr().out
