@@ -6,42 +6,41 @@ import hashlib
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import at_most, materialize, spread
 
 CODE_LENGTH = 6
+#: Roles of so many components are copied to the executors; then a component that holds nearly all names is no one task's work.
+COPIED_ROLES = 100_000
 
 
 def signatures(names: DataFrame, distance: int = 2, length: int = CODE_LENGTH) -> DataFrame:
-    """Each name with its masked spellings: two names share one exactly when they differ in at most `distance` places."""
+    """Each row with its name's masked spellings: two names share one exactly when they differ in at most `distance` places."""
     spellings = []
     for hidden in combinations(range(length), distance):
         spellings.append(F.concat(*[F.lit("_") if i in hidden else F.substring("name", i + 1, 1) for i in range(length)]))
-    return names.select("name", F.explode(F.array(*spellings)).alias("signature"))
+    return names.select("*", F.explode(F.array(*spellings)).alias("signature"))
 
 
 def hamming_components(names: DataFrame, distance: int = 2, length: int = CODE_LENGTH) -> DataFrame:
     """(name, component) with the smallest member as component; names must be unique codes of that length.
 
-    Everybody with one signature is near everybody else, so tying each to the
-    smallest of them is enough and no pair is listed. The ties are then contracted
-    by alternating large-star and small-star steps (a logarithmic number of rounds).
+    Everybody with one signature is near everybody else, so no pair is listed. Each name first joins the smallest name near it;
+    signatures then tie these few groups instead of the names, and the ties are contracted by alternating large-star and
+    small-star steps (a logarithmic number of rounds). A signature's names differ in the hidden places only, which bounds them.
     """
-    checked = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    checked = spread(materialize(names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "name", F.when((F.col("n") == 1) & (F.length("name") == length), F.col("name")).otherwise(
             F.raise_error(F.concat(F.lit("unique codes of fixed length required: "), F.col("name"))))
-    ).select("name")
-    tied = signatures(checked, distance, length)
-    lowest = tied.groupBy("signature").agg(F.min("name").alias("low"))
-    edges = tied.join(lowest, "signature").where(F.col("name") != F.col("low")).select(
-        F.col("name").alias("u"), F.col("low").alias("v")
-    ).distinct()
-    stars = contract(edges)
-    return checked.join(stars, checked["name"] == stars["u"], "left").select(
-        "name", F.coalesce("v", "name").alias("component")
-    )
+    ).select("name")))
+    together = Window.partitionBy("signature")
+    near = signatures(checked, distance, length).select("name", F.min("name").over(together).alias("low"))
+    grouped = spread(materialize(near.groupBy("name").agg(F.min("low").alias("low"))))
+    ties = signatures(grouped, distance, length).select(F.col("low").alias("u"), F.min("low").over(together).alias("v"))
+    stars = contract(ties.where("u <> v").distinct())
+    return grouped.join(stars, grouped["low"] == stars["u"], "left").select("name", F.coalesce("v", "low").alias("component"))
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -140,4 +139,5 @@ def component_split(components: DataFrame, previously_used: DataFrame) -> DataFr
     roles = prints.join(used, "component", "left").select(
         "component", "fingerprint", F.when(reserve, F.lit("reserved_evaluation")).otherwise(F.lit("development")).alias("role")
     )
-    return components.join(roles, "component").select("name", "component", "fingerprint", "role")
+    roles = materialize(roles)
+    return components.join(F.broadcast(roles) if at_most(roles, COPIED_ROLES) else roles, "component").select("name", "component", "fingerprint", "role")

@@ -12,7 +12,7 @@ from ..functions.dna import RESIDUES
 from ..functions.text import sequence_digest
 from ..session import materialize
 from .clusters import CODE_LENGTH, component_split, hamming_components
-from .quantitative import unpivot_measurements, variant_profile
+from .quantitative import FLOOR, unpivot_measurements
 
 QUARANTINED = "other library; full mutation provenance not verified"
 
@@ -55,20 +55,26 @@ def package_variants(
     eligible = eligible.select("name", "source_library", *groups)
     quarantine = source.where(~wanted).select(F.col("name").alias("variant_id"), "source_library", F.lit(QUARANTINED).alias("reason"))
 
-    raw = F.col("raw_log10_k")
-    finite = F.coalesce(~F.isnan(raw) & (F.abs(raw) < float("inf")), F.lit(False))
-    measurements = unpivot_measurements(eligible.withColumnRenamed("name", "variant_id"), groups).withColumn(
-        "raw_log10_k", F.when(finite, raw).otherwise(F.raise_error(F.concat(F.lit("not a finite value: "), F.col("variant_id"))).cast("double")))
+    def checked(raw: Column) -> Column:
+        finite = F.coalesce(~F.isnan(raw) & (F.abs(raw) < float("inf")), F.lit(False))
+        return F.when(finite, raw).otherwise(F.raise_error(F.concat(F.lit("not a finite value: "), F.col("variant_id"))).cast("double"))
+
+    wide = eligible.withColumnRenamed("name", "variant_id")
+    measurements = unpivot_measurements(wide, groups).withColumn("raw_log10_k", checked(F.col("raw_log10_k")))
+    # A variant's values stand in its row: nothing is spread over rows to be grouped again.
+    targets = F.transform(F.array(*[F.col(g).cast("double") for g in groups]), lambda raw: F.greatest(checked(raw), F.lit(FLOOR)))
+    profile = wide.select("variant_id", targets.alias("targets")).select(
+        "variant_id", (F.array_min("targets") == F.array_max("targets")).alias("constant_target"))
     roles = materialize(component_split(materialize(hamming_components(eligible.select("name"), length=len(positions))), previously_used))
     used = previously_used.select("name").distinct().withColumn("_used", F.lit(True))
     sequence = substituted(base, positions, F.col("name"))
     distance = reduce(lambda a, b: a + b, [(F.substring("name", i + 1, 1) != wild_type[i]).cast("int") for i in range(len(wild_type))])
-    variants = roles.join(used, "name", "left").join(eligible.select("name", "source_library"), "name").select(
+    variants = roles.join(used, "name", "left").select(
         F.col("name").alias("variant_id"), sequence.alias("protein_sequence"), sequence_digest(sequence).alias("sequence_sha256"),
-        F.length(sequence).alias("protein_length"), "source_library", (F.col("name") == wild_type).alias("is_wt"),
+        F.length(sequence).alias("protein_length"), F.lit(library).alias("source_library"), (F.col("name") == wild_type).alias("is_wt"),
         F.col("_used").isNotNull().alias("previously_evaluated"), distance.alias("distance_from_wt"),
         F.col("fingerprint").alias("component"), F.col("role").alias("future_split"))
-    variants = variants.join(variant_profile(measurements).select("variant_id", "constant_target"), "variant_id")
+    variants = variants.join(profile, "variant_id")
     return {"variants": variants, "measurements": measurements, "quarantine": quarantine,
             "manifest": package_manifest(variants, measurements, quarantine, len(positions))}
 

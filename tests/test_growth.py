@@ -1,9 +1,11 @@
 """Steps whose work grew faster than their input, or stood in too few tasks."""
 
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from flankwise.operators import clusters, packaging
 from flankwise.operators.similarity import identity_pairs
 
 
@@ -169,3 +171,45 @@ def test_gates_are_found_once_for_all_readers_of_a_fused_table(spark, capsys):
     capsys.readouterr()
     fused.explain()
     assert "Window" not in capsys.readouterr().out
+
+
+def test_components_tie_groups_of_names_not_every_name_to_every_signature(spark, monkeypatch):
+    """Dense codes: each name joins the smallest near it, and only these groups are contracted."""
+    pick = random.Random(9)
+    names = sorted({"".join(pick.choice("ACDE") for _ in range(6)) for _ in range(1500)})
+    names += ["WWWWWW", "WWWWYY", "YYWWYY"]
+    tied = []
+    whole = clusters.contract
+    monkeypatch.setattr(clusters, "contract", lambda edges: (tied.append(edges.count()), whole(edges))[1])
+    got = {r.name: r.component for r in clusters.hamming_components(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    root = {n: n for n in names}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            if sum(x != y for x, y in zip(a, b)) <= 2:
+                one, other = sorted((top(a), top(b)))
+                root[other] = one
+    assert got == {n: top(n) for n in names} and len(set(got.values())) >= 2
+    hide = lambda n, places: "".join("_" if i in places else c for i, c in enumerate(n))
+    lowest = {}
+    for n in sorted(names, reverse=True):
+        lowest |= {hide(n, places): n for places in combinations(range(6), 2)}
+    assert tied[0] < len({(n, lowest[hide(n, places)]) for n in names for places in combinations(range(6), 2)}) / 2
+
+
+def test_packaged_variants_do_not_spread_their_values_over_rows(spark):
+    """Whether a variant's target is constant is read from its own row."""
+    groups = [f"N{i}" for i in range(64)]
+    rows = [("KVAHEW", "six", "good", "no", *"KVAHEW", *[-6.0 - i for i in range(64)]), ("KVAHEY", "six", "good", "no", *"KVAHEY", *[-6.0] * 63, -4.5)]
+    kinds = "name string, source_library string, status string, extra_mutations string, " + ", ".join(
+        [*[f"r{i} string" for i in range(1, 7)], *[f"{g} double" for g in groups]])
+    out = packaging.package_variants(
+        spark.createDataFrame(rows, kinds), "MKVLATGHEDRW", spark.createDataFrame([], "name string"), positions=[2, 3, 5, 8, 9, 12],
+        named_by=[f"r{i}" for i in range(1, 7)], groups=groups, library="six", wild_type="KVAHEW")["variants"]
+    assert {r.variant_id: r.constant_target for r in out.collect()} == {"KVAHEW": True, "KVAHEY": False}
+    assert "Expand " not in out._jdf.queryExecution().toString()
