@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,8 @@ from .common import small_batches, text_or_empty, tidy
 from .range_coder import BLOCK, decode_blocks, encode_blocks
 from .tokens import encoder
 
-#: Blocks that are coded side by side; bounds the memory of a task.
-LANES = 1024
+#: Pieces of a block, at most; a block of many short documents ends early.
+MOST_PIECES = 1 << 16
 FORMAT = "part int, block int, first long, n_ids int, nths array<long>, docs array<long>, lengths array<int>, payload binary"
 PIECES = "part int, nth long, doc long, place long, length int, ids binary"
 
@@ -26,7 +25,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Write every document's ids and an end id, in ascending order of `doc`, as coded blocks.
 
     Parts are ranges of ids, so parts in order and blocks in order give the whole stream. A block
-    is a row of the files: up to 4,096 ids of the part's stream from `first` on, coded by themselves with a
+    is a row of the files: up to 2^21 ids of the part's stream from `first` on, coded by themselves with a
     checksum, and whose pieces they are: number in the part, id and length. Any block can
     be read alone; long documents go on in the next blocks. A written part is committed as a
     whole, so a lost task is simply written anew.
@@ -39,18 +38,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part, codec = TaskContext.get().partitionId(), encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         block, first, nth = 0, 0, 0
-        held: list[tuple] = []
         ids: list[np.ndarray] = []
         pieces: list[tuple] = []
         filled = 0
 
-        def flush():
-            rows = [(part, n, f, len(i), [x[0] for x in own], [x[1] for x in own], [x[2] for x in own], p)
-                    for (n, f, own, i), p in zip(held, encode_blocks([h[3] for h in held]))]
-            held.clear()
+        def coded_block():
+            payload = encode_blocks([np.concatenate(ids)])[0]
+            row = (part, block, first, filled, [x[0] for x in pieces], [x[1] for x in pieces], [x[2] for x in pieces], payload)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
             names = ["part", "block", "first", "n_ids", "nths", "docs", "lengths", "payload"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(row, kinds)], names=names)
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -65,16 +62,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                         pieces.append((nth, key, len(take)))
                         filled += len(take)
                         rest = rest[len(take):]
-                        if filled == BLOCK:
-                            held.append((block, first, pieces, np.concatenate(ids)))
+                        if filled == BLOCK or len(pieces) == MOST_PIECES:
+                            yield coded_block()
                             block, first, filled, ids, pieces = block + 1, first + filled, 0, [], []
-                            if len(held) == LANES:
-                                yield flush()
                     nth += 1
         if filled:
-            held.append((block, first, pieces, np.concatenate(ids)))
-        if held:
-            yield flush()
+            yield coded_block()
 
     rows = small_batches(docs).select(F.col(doc).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     ordered = rows.repartitionByRange("doc").sortWithinPartitions("doc")
@@ -90,27 +83,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
 
-        def pieces(rows: list[dict]):
-            out = []
-            for row, ids in zip(rows, decode_blocks([r["payload"] for r in rows])):
-                at, wide = 0, ids.astype("<u4").tobytes()
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                at, out, wide = 0, [], decode_blocks([row["payload"]])[0].astype("<u4").tobytes()
                 for nth, doc, length in zip(row["nths"], row["docs"], row["lengths"]):
                     out.append((row["part"], nth, doc, row["first"] + at, length, wide[4 * at:4 * (at + length)]))
                     at += length
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "nth", "doc", "place", "length", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "nth", "doc", "place", "length", "ids"])
 
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                held.append(row)
-                if len(held) == LANES:
-                    yield pieces(held)
-                    held = []
-        if held:
-            yield pieces(held)
-
-    return spark.read.schema(FORMAT).parquet(path).mapInArrow(tidy(decode), PIECES)
+    return small_batches(spark.read.schema(FORMAT).parquet(path)).mapInArrow(tidy(decode), PIECES)
 
 
 def shift_table(length: int) -> list[int]:
