@@ -214,6 +214,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids below 65,536 as bytes: count, checksum of the ids, words of each lane, coded words."""
     out = []
     for block in blocks:
+        if len(block) > BLOCK:
+            raise ValueError(f"a block holds at most {BLOCK} ids")
         lengths = lanes_of(len(block))
         ids = np.zeros((len(lengths), int(lengths[0])), np.uint16)
         ids[np.arange(ids.shape[1]) < lengths[:, None]] = block
