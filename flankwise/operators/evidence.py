@@ -349,11 +349,11 @@ def control_measures(hits: DataFrame, *, side: str, length: int, keys: list[str]
     """Per key: alignments, motifs, mapped spacers and the share of motifs of the set by alignment, spacer and contig.
 
     A spacer counts at its best hit that has a motif (fewest mismatches, then target, start, strand); a contig has the most
-    frequent motif of these, of equals the one seen first.
+    frequent motif of these, of equals the one seen first. Of the hits only the columns that are read are stored, once for all measures.
     """
-    pam = flank_motif("upstream_flank", "downstream_flank", side, length)
     inside = lambda c: F.coalesce(F.avg(F.col(c).isin(motifs).cast("double")), F.lit(0.0))
-    rows = hits.withColumn("pam", pam)
+    rows = materialize(hits.select(
+        *keys, "spacer_id", "target_id", "start", "strand", "mismatches", flank_motif("upstream_flank", "downstream_flank", side, length).alias("pam")))
     by_hit = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("alignments"), F.count("pam").alias("scored_flanks"), F.count_distinct("spacer_id").alias("mapped_spacers"),
         inside("pam").alias("xgg_fraction"))
@@ -389,7 +389,7 @@ def negative_controls(
     for name, (queries, places) in variants.items():
         hits = spacer_hits(queries, places, mismatches=mismatches, flank_length=flank_length, keys=keys).withColumn("control", F.lit(name))
         found = hits if found is None else found.unionByName(hits)
-    measures = control_measures(materialize(found), side=side, length=length, keys=["control"])
+    measures = control_measures(found, side=side, length=length, keys=["control"])
     names = spacers.sparkSession.createDataFrame([(c,) for c in CONTROLS], "control string")
     return names.join(measures, "control", "left").na.fill(0)
 

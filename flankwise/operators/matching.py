@@ -12,9 +12,12 @@ from collections.abc import Callable
 from itertools import combinations
 from math import ceil, log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.dna import normalize_dna, reverse_complement
 from ..functions.iupac import (
@@ -223,6 +226,10 @@ def differing_bases(left: Column, right: Column, longest: int) -> Column:
     return total
 
 
+def largest_group(rows: DataFrame, keys: list[str]) -> int:
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+
+
 def enough_key_bases(strands: DataFrame, keys: list[str], key_bases: int) -> int:
     """Key length that leaves a window some chance pairs at most: one base more than the largest group of `keys` needs to tell its strands apart.
 
@@ -230,8 +237,7 @@ def enough_key_bases(strands: DataFrame, keys: list[str], key_bases: int) -> int
     """
     if not keys:
         return key_bases
-    largest = strands.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
-    return min(key_bases, 1 + ceil(log(largest, 4)))
+    return min(key_bases, 1 + ceil(log(largest_group(strands, keys), 4)))
 
 
 def placed_matches(
@@ -247,6 +253,11 @@ def placed_matches(
     wanted = [n for n in lengths if n > 0]
     if not keys and at_most(strands, MAX_SCANNED_QUERIES):
         return _scan_tiles(strands.where(F.length("query").isin(wanted)), tile_rows, mismatches, key_bases)
+    if keys and all(strands.schema[k].dataType == targets.schema[k].dataType for k in keys):
+        fitting = strands.where(F.length("query").isin(wanted))
+        largest = largest_group(fitting, keys)
+        if largest <= MAX_GROUP_QUERIES:
+            return _scan_groups(fitting, tile_rows, targets, mismatches, keys, min(key_bases, 1 + ceil(log(largest, 4))))
     parts = []
     for seed in sorted({seed_length(n) for n in lengths}):
         members = [n for n in lengths if seed_length(n) == seed]
@@ -386,6 +397,87 @@ def _scan_tiles(strands: DataFrame, tile_rows: DataFrame, mismatches: int, key_b
     return found.join(F.broadcast(strands), "query")
 
 
+# Strands of one group that a task may hold, targets of a task, and tiles that it reads at once.
+MAX_GROUP_QUERIES = 200_000
+TASK_TARGETS = 50_000
+READ_TILES = 4_000
+
+
+def group_numbers(columns: list[pa.Array], known: dict[tuple, int] | None = None) -> tuple[np.ndarray, dict[tuple, int]]:
+    """Number of each row's values, -1 for a null or, with `known` numbers, for values without one; and the numbers."""
+    encoded = [c.dictionary_encode() for c in columns]
+    codes = np.stack([e.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for e in encoded], axis=1)
+    distinct, row = np.unique(codes, axis=0, return_inverse=True)
+    words = [e.dictionary.to_pylist() for e in encoded]
+    values = [None if (d < 0).any() else tuple(w[i] for w, i in zip(words, d.tolist())) for d in distinct]
+    if known is None:
+        known = {v: n for n, v in enumerate(v for v in values if v is not None)}
+    return np.array([known.get(v, -1) for v in values], np.int64)[row.reshape(-1)], known
+
+
+def _scan_groups(strands: DataFrame, tile_rows: DataFrame, targets: DataFrame, mismatches: int, keys: list[str], key_bases: int) -> DataFrame:
+    """Strands and tiles of one group of `keys` meet in a task, which reads the tiles as arrays of bases: tiles move once, windows never.
+
+    A group of very many targets (counted) is dealt to several tasks, each with the group's strands. A task holds its strands
+    and some tiles at a time.
+    """
+    counts = targets.groupBy(*keys).count()
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    shares = F.lit(1)
+    if (most or 0) > TASK_TARGETS:
+        heavy = counts.where(F.col("count") > TASK_TARGETS).select(*keys, F.ceil(F.col("count") / TASK_TARGETS).cast("int").alias("_shares"))
+        strands, tile_rows = (rows.join(F.broadcast(heavy), keys, "left") for rows in (strands, tile_rows))
+        shares = F.coalesce("_shares", F.lit(1))
+    given = [c for c in strands.columns if c not in [*keys, "_shares"]]
+    named = [c for c in tile_rows.columns if c not in [*keys, "_shares"]]
+    present = lambda rows: rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    left = present(strands).select(
+        *keys, F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share"), F.struct(*given).alias("_strand"))
+    right = present(tile_rows).select(
+        *keys, F.pmod(F.xxhash64("target_id", "tile_start"), shares).cast("int").alias("_share"), F.struct(*named).alias("_tile"))
+    # As many tasks as the counts say: adaptive execution would see few bytes and leave the work to one of them.
+    tasks = min(4096, max(strands.sparkSession.sparkContext.defaultParallelism, 1 + (total or 0) // TASK_TARGETS))
+    shared = [*keys, "_share"]
+    both = left.unionByName(right, allowMissingColumns=True).repartition(tasks, *shared).sortWithinPartitions(F.col("_tile").isNotNull())
+    kept = [*[tile_rows.schema[c] for c in [*keys, "target_id"]], *[strands.schema[c] for c in given], tile_rows.schema["tile_text"]]
+    out = StructType([*[StructField(f.name, f.dataType) for f in kept],
+                      StructField("start", LongType()), StructField("at", IntegerType()), StructField("mismatches", LongType())])
+    names = out.names
+
+    def scan(batches):
+        held, scanner, known, queries = [], None, {}, None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            held.extend(whole.filter(whole["_strand"].is_valid()).to_batches())
+            tiles_here = whole.filter(whole["_tile"].is_valid())
+            for at in range(0, len(tiles_here), READ_TILES):
+                if scanner is None:
+                    if not held:
+                        return
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    numbers, known = group_numbers([table[k].chunk(0) for k in shared])
+                    queries = pa.Table.from_struct_array(table["_strand"].combine_chunks())
+                    texts = queries["query"].to_pylist()
+                    scanner = TileScanner(texts, {n: places_of_keys(seed_length(n), mismatches, key_bases) for n in {len(q) for q in texts}}, mismatches, numbers)
+                some = tiles_here.slice(at, READ_TILES).combine_chunks()
+                group, _ = group_numbers([some[k].chunk(0) for k in shared], known)
+                some, group = some.filter(pa.array(group >= 0)).combine_chunks(), group[group >= 0]
+                if not len(some):
+                    continue
+                tile = pa.Table.from_struct_array(some["_tile"].combine_chunks())
+                text, place, query, differing = scanner.places(tile["tile_text"].to_pylist(), tile["lead"].to_numpy(), tile["owned"].to_numpy(), group)
+                if not len(text):
+                    continue
+                mine, theirs = tile.take(pa.array(text)), queries.take(pa.array(query))
+                columns = {k: some[k].take(pa.array(text)) for k in keys} | {c: theirs[c] for c in given} | {
+                    "target_id": mine["target_id"], "start": pa.array(mine["tile_start"].to_numpy() + place - mine["lead"].to_numpy()),
+                    "at": pa.array(place.astype(np.int32)), "mismatches": pa.array(differing), "tile_text": mine["tile_text"]}
+                yield from pa.table({n: columns[n] for n in names}).combine_chunks().to_batches()
+
+    found = both.mapInArrow(scan, out)
+    return found.withColumn("window", F.expr("substring(tile_text, at + 1, length(query))"))
+
+
 def duplicate_targets(targets: DataFrame, keys: list[str] = []) -> DataFrame:
     """Target ids that occur more than once; a hit search refuses them."""
     return targets.groupBy(*keys, "target_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

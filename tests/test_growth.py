@@ -213,3 +213,46 @@ def test_packaged_variants_do_not_spread_their_values_over_rows(spark):
         named_by=[f"r{i}" for i in range(1, 7)], groups=groups, library="six", wild_type="KVAHEW")["variants"]
     assert {r.variant_id: r.constant_target for r in out.collect()} == {"KVAHEW": True, "KVAHEY": False}
     assert "Expand " not in out._jdf.queryExecution().toString()
+
+
+def test_a_search_within_groups_moves_tiles_and_no_windows(spark, monkeypatch, capsys):
+    """Many strands in small groups of two keys meet their group's tiles in a task; null keys meet nothing, a large group is dealt to several tasks."""
+    from flankwise.operators import matching
+
+    pick = random.Random(21)
+    letters = lambda n, of="ACGT": "".join(pick.choice(of) for _ in range(n))
+    targets = [(g, n % 2 == 0, f"t{i}", letters(pick.choice((30, 700)), "ACGTACGTACGTN")) for i, (g, n) in enumerate((g, n) for g in (1, 2, None) for n in range(6))]
+    targets += [(1, True, f"u{i}", letters(30)) for i in range(5)]
+    spacers = []
+    for i, (g, even, _, text) in enumerate(targets):
+        for length in (9, 12, 26):
+            piece = text[3:3 + length].replace("N", "A")
+            spacers.append((g, even, i * 100 + length if i else None, piece[:4] + pick.choice("ACGT") + piece[5:]))
+    s = spark.createDataFrame(spacers, "g int, even boolean, spacer_id long, spacer_sequence string")
+    t = spark.createDataFrame(targets, "g int, even boolean, target_id string, target_sequence string")
+    for mismatches in (0, 1, 2):
+        search = lambda: matching.spacer_hits(s, t, mismatches=mismatches, flank_length=4, keys=["g", "even"])
+        rows = lambda: sorted(map(str, search().collect()))
+        scanned = rows()
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "TASK_TARGETS", 2)
+            patch.setattr(matching, "READ_TILES", 3)
+            assert rows() == scanned
+        with monkeypatch.context() as patch:
+            patch.setattr(matching, "MAX_GROUP_QUERIES", -1)
+            patch.setattr(matching, "MAX_COPIED_QUERIES", -1)
+            assert rows() == scanned and scanned
+    capsys.readouterr()
+    with monkeypatch.context() as patch:
+        patch.setattr(matching, "MAX_COPIED_QUERIES", -1)
+        search().explain()
+    plan = capsys.readouterr().out
+    assert "xxhash64(0" not in plan and "window" not in [w for line in plan.splitlines() if "Exchange" in line for w in line.split()] and plan.count("MapInArrow") == 1
+
+
+def test_a_few_systems_become_many_rows_in_many_tasks(spark, tmp_path):
+    from flankwise.plans import derive
+
+    spark.range(400).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    systems = derive.system_ids(spark, str(tmp_path))
+    assert systems.count() == 40 and systems.select(F.spark_partition_id()).distinct().count() > 1
