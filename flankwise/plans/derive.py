@@ -95,9 +95,11 @@ def passage_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems dealt to a fixed number of tasks: their rows are few bytes, which adaptive execution would put into one task, and become many."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return table(spark, sf_dir, "supplier").select(
         integer_divide(F.col("s_suppkey"), SUPPLIERS_PER_SYSTEM).alias("system_id")
-    ).distinct()
+    ).repartition(tasks, "system_id").distinct()
 
 
 def matrix_of(key: Column, strong: Column) -> Column:

@@ -8,6 +8,7 @@ from ..functions import dna
 from ..functions import text as tx
 from ..operators import annotation as an
 from ..operators import contract as co
+from ..operators import fusion as fu
 from ..operators import grids as gr
 from ..operators import quantitative as qu
 from ..operators import results as re_
@@ -375,14 +376,18 @@ NO_TRACK = "no spacer evidence"
       case when alone then '{NO_TRACK}' when system_id % 4 = 0 then '{RESULT_NOTES['aggregate']}' else '{RESULT_NOTES['raw']}' end as notes
     from numbered where n <= 7 or (chosen and listed)"""))
 def q_results_assembly(spark, sf_dir):
-    protein, spacer = rq.protein_rows(spark, sf_dir), rq.spacer_rows(spark, sf_dir)
+    # Each channel is found once for its two readers; of its columns only those that the rows and the gate read are stored.
+    protein = materialize(rq.protein_rows(spark, sf_dir).select("system_id", "candidate_pam", "pam_length", "specificity_adjusted_score", "protein_rank"))
+    spacer = materialize(rq.spacer_rows(spark, sf_dir).select(
+        "system_id", "candidate_pam", "spacer_evidence_score", "spacer_rank", "support_spacer_count", "support_target_count"))
+    fused = fu.fuse(protein.select("system_id", "candidate_pam", "specificity_adjusted_score"), spacer)
     system = F.col("system_id")
     systems = d.system_ids(spark, sf_dir).select(
         system, F.when(system % 3 == 0, F.lit("protein_only")).otherwise(F.lit("dual")).alias("evidence_track"),
         F.when(system % 4 == 0, F.lit("aggregate")).otherwise(F.lit("raw")).alias("evidence_source"))
     display = systems.where(system % 5 == 0).select(system, F.explode(F.array(F.lit("AGG"), F.lit("TGG"))).alias("candidate_pam"))
     rows = re_.assemble_results(
-        protein, spacer.where(system % 3 != 0), rq.fused_rows(spark, sf_dir), systems, display=display, top=7, notes=RESULT_NOTES, no_track_note=NO_TRACK)
+        protein, spacer.where(system % 3 != 0), fused, systems, display=display, top=7, notes=RESULT_NOTES, no_track_note=NO_TRACK)
     return rows.select(
         "system_id", "candidate_pam", "candidate_id", d.micro(F.col("specificity_adjusted_score")).alias("protein_micro"),
         d.micro(F.col("spacer_evidence_score")).alias("spacer_micro"), "support_spacer_count", "evidence_status", "ranking_basis", "notes")
