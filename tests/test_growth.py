@@ -256,3 +256,52 @@ def test_a_few_systems_become_many_rows_in_many_tasks(spark, tmp_path):
     spark.range(400).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
     systems = derive.system_ids(spark, str(tmp_path))
     assert systems.count() == 40 and systems.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_blocks_of_a_top_search_are_stored_once_and_keep_no_pair_below_the_floor(spark, monkeypatch):
+    """Every pair of blocks read copies of both, and each passed on its best for every query, however far from the best of all."""
+    from flankwise.operators import similarity
+
+    pick = random.Random(31)
+    draw = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    words = {draw("ACDEFG", pick.choice((2, 3, 4, 9, 30))) for _ in range(60)} | {chr(0x1F600 + i) + "AÜC" * 3 for i in range(4)}
+    for base in [draw("ACDEFGHIKLMN", 60) for _ in range(40)]:
+        words |= {base, base[:10] + "W" + base[11:], base[:30] + base[31:], "".join("W" if i % 10 == 5 else c for i, c in enumerate(base))}
+    words = sorted(words)
+    sets = {w: {w[i:i + 4] for i in range(max(1, len(w) - 3))} for w in words}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    monkeypatch.setattr(similarity, "BLOCK_LETTERS", 900)
+    stored, whole = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df: (stored.append((df._jdf.queryExecution().optimizedPlan().toString(), out := whole(df), out.count())), out)[1])
+    rows = spark.createDataFrame([(w, 1) for w in words], "sequence string, copies long")
+    for top, others in ((1, True), (3, False)):
+        del stored[:]
+        got = {}
+        for r in similarity.block_top_pairs(rows, rows, top=top, others_only=others).collect():
+            got.setdefault(r.query, {})[r.reference] = round(r.similarity, 12)
+        kept = 0
+        for word in words:
+            scores = {o: round(near(word, o), 12) for o in words if near(word, o) > 0 and not (others and o == word)}
+            least = sorted(scores.values(), reverse=True)[:top][-1:] or [0]
+            best = {o: s for o, s in scores.items() if s >= least[0]}
+            assert got.get(word, {}) == best
+            kept += len(best)
+        crossed = [n for plan, _, n in stored if "Join Cross" in plan or "Join Inner" in plan]
+        assert len(crossed) == 1 and not [plan for plan, _, _ in stored if "explode" in plan]
+        assert kept <= crossed[0] < 8 * kept
+
+
+def test_numbers_of_kmers_too_many_for_an_integer_are_texts():
+    from flankwise.functions.kmers import KmerIndex, QueryBlock
+    import numpy as np
+
+    pick = random.Random(4)
+    words = sorted({"".join(pick.choice("ACDEF") for _ in range(pick.choice((5, 19, 30)))) for _ in range(60)} | {"A" * 30, "A" * 29 + "C"})
+    for k in (3, 18, 30):
+        sets = {w: {w[i:i + k] for i in range(max(1, len(w) - k + 1))} for w in words}
+        index = KmerIndex.of(words[::2], k)
+        index = KmerIndex.from_parts(index.parts(), index.count, k)
+        for floor in (0.0, 0.2):
+            at, hit, similarity = QueryBlock(words, k).top(index, words[::2], 100, False, np.full(len(words), floor))
+            want = {(a, b) for a, w in enumerate(words) for b, v in enumerate(words[::2]) if sets[w] & sets[v] and len(sets[w] & sets[v]) / len(sets[w] | sets[v]) >= floor}
+            assert set(zip(at.tolist(), hit.tolist())) == want and len(want) == len(at)
